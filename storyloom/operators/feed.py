@@ -19,32 +19,30 @@ MAX_PAGE = 100
 DEFAULT_PAGE = 30
 
 
-@dataclass
 class Store:
-    """The tables a feed or search reads."""
-
-    story: DataFrame
-    rank_signals: DataFrame
-    summary: DataFrame
-    tag: DataFrame
-    story_tag: DataFrame
-    topic: DataFrame
-    story_topic: DataFrame
-    article: DataFrame | None = None
-    heavy_articles: Column | None = None  # articles very many stories share, when known
+    """The tables a feed or search reads, each built when first asked for.
+
+    Pass DataFrames, or functions returning one. ``heavy_articles`` is the array of
+    articles very many stories share, when it is known without looking.
+    """
+
+    def __init__(self, **tables):
+        self._tables = tables
+
+    def __getattr__(self, name: str):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        value = self._tables.get(name)
+        value = value() if callable(value) and not isinstance(value, (DataFrame, Column)) else value
+        setattr(self, name, value)
+        return value
 
     @classmethod
     def of(cls, entities) -> "Store":
+        e = entities
         return cls(
-            story=entities.stories(),
-            rank_signals=entities.rank_signals(),
-            summary=entities.summary(),
-            tag=entities.tag(),
-            story_tag=entities.story_tag(),
-            topic=entities.topic(),
-            story_topic=entities.story_topic(),
-            article=entities.article_text(),
-            heavy_articles=entities.heavy_articles(),
+            story=e.stories, rank_signals=e.rank_signals, summary=e.summary, tag=e.tag, story_tag=e.story_tag,
+            topic=e.topic, story_topic=e.story_topic, article=e.article_text, heavy_articles=e.heavy_articles,
         )
 
 

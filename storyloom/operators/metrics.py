@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 RETENTION_DAYS = 8
 # Keys whose values never leave the log.
@@ -42,7 +43,7 @@ def scrub(value):
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redact_json(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Scrub JSON text in Arrow batches; text that is no JSON is passed on."""
     def one(text):

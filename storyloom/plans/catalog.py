@@ -6,7 +6,7 @@ import importlib
 
 from storyloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ["feed_queries"]
+MODULES = ["feed_queries", "search_queries", "ingest_queries"]
 
 
 def load():

@@ -68,7 +68,7 @@ VIEWS = {
     "fx_item": """
         SELECT e.user_id AS id, e.event_id AS seq,
                CASE WHEN event_type = 'signup' THEN 'job' ELSE 'story' END AS type,
-               'Item ' || e.user_id || ' ' || event_type AS title, p.url, 'u' || e.user_id AS by,
+               'Item ' || e.user_id || ' ' || event_type AS title, p.url, 'u' || e.user_id AS poster,
                CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS time,
                CAST(floor(value / 4) AS INT) AS score, k % 40 AS descendants,
                CASE WHEN p.url IS NULL THEN event_type || ' ' || props END AS text,
@@ -84,7 +84,7 @@ VIEWS = {
         SELECT seq, CASE WHEN seq % 4 = 0 THEN 'lobsters' WHEN seq % 7 <> 0 AND id <> 0 THEN 'hn' ELSE 'blog' END AS source,
                CASE WHEN seq % 7 <> 0 THEN CAST(id AS INT) END AS hn_id, title, url,
                regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS domain,
-               CASE WHEN seq % 3 <> 0 THEN by END AS author,
+               CASE WHEN seq % 3 <> 0 THEN poster END AS author,
                CASE WHEN seq % 11 <> 0 THEN make_timestamp(time * 1000000) ELSE TIMESTAMP '2024-02-01' END AS created_at,
                CASE WHEN seq % 5 <> 0 THEN score END AS points,
                CASE WHEN seq % 2 <> 0 THEN descendants END AS comments_count, text
@@ -118,8 +118,8 @@ VIEWS = {
                CASE WHEN conv_id % 3 <> 0 THEN TIMESTAMP '2024-02-01' + turn * INTERVAL 1 HOUR END AS summarized_at
         FROM conversations WHERE role = 'assistant'""",
     "fx_metrics": """
-        SELECT run_id, at, name, kind, value FROM (
-            SELECT event_id // 50 AS run_id, event_type AS name, max(ts) AS at,
+        SELECT run_id, ran_at, name, kind, value FROM (
+            SELECT event_id // 50 AS run_id, event_type AS name, max(ts) AS ran_at,
                    CAST(count(*) AS DOUBLE) AS n, round(sum(value), 4) AS ms
             FROM events GROUP BY 1, 2) r,
             LATERAL (SELECT 'counter' AS kind, n AS value UNION ALL SELECT 'timing', ms) m""",
@@ -142,6 +142,8 @@ def with_views(body: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in order)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

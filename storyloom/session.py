@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # Runtime settings every job expects. Timestamps are formatted in UTC, and Arrow
@@ -17,6 +19,8 @@ _RUNTIME = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    # Python functions travel with their code, so executors need no installed package
+    cloudpickle.register_pickle_by_value(sys.modules["storyloom"])
     for key, value in _RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

@@ -6,6 +6,8 @@ given Parquet so that every query reads the whole of its inputs.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,19 @@ def ts(value: str):
     return F.lit(value).cast("timestamp")
 
 
+def once(method):
+    """Build a frame at most once per Entities object."""
+
+    @functools.wraps(method)
+    def wrapper(self):
+        made = self.__dict__.setdefault("_made", {})
+        if method.__name__ not in made:
+            made[method.__name__] = method(self)
+        return made[method.__name__]
+
+    return wrapper
+
+
 class Entities:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -30,15 +45,12 @@ class Entities:
 
     # -- shared pieces ---------------------------------------------------------
 
+    @once
     def events(self) -> DataFrame:
-        return self.t.events.select(
-            "event_id",
-            "user_id",
-            "event_type",
-            "value",
-            F.col("ts").cast("timestamp").alias("ts"),
-            F.get_json_object("props", "$.k").cast("int").alias("k"),
-            "props",
+        return self.t.events.selectExpr(
+            "event_id", "user_id", "event_type", "value", "props",
+            "CAST(ts AS timestamp) AS ts",
+            "CAST(get_json_object(props, '$.k') AS int) AS k",
         )
 
     def with_page(self, df: DataFrame, key: str, spread: str | None = None) -> DataFrame:
@@ -54,18 +66,16 @@ class Entities:
 
     # -- story side ------------------------------------------------------------
 
+    @once
     def sig(self) -> DataFrame:
-        return (
-            self.events()
-            .groupBy("user_id")
-            .agg(
-                F.count_if(F.col("event_type").isin("view", "click")).cast("int").alias("points"),
-                F.count_if(F.col("event_type").isin("signup", "purchase")).cast("int").alias("comments_count"),
-                F.min("ts").alias("t0"),
-                F.max("ts").alias("t1"),
-            )
+        return self.events().groupBy("user_id").agg(
+            F.expr("CAST(count_if(event_type IN ('view', 'click')) AS int) AS points"),
+            F.expr("CAST(count_if(event_type IN ('signup', 'purchase')) AS int) AS comments_count"),
+            F.expr("min(ts) AS t0"),
+            F.expr("max(ts) AS t1"),
         )
 
+    @once
     def _copies(self) -> DataFrame:
         """``copy, article_id, n``: copies of one text, their first id and their number."""
         docs = self.t.documents.select("doc_id", F.sha2("text", 256).alias("copy"))
@@ -79,13 +89,8 @@ class Entities:
         """Documents as stories, copies of one text sharing an article id."""
         docs = self.t.documents.withColumn("copy", F.sha2("text", 256))
         copies = self._copies()
-        slim = docs.select(
-            F.col("doc_id").alias("id"),
-            F.substring("text", 1, 80).alias("title"),
-            F.col("source").alias("author"),
-            "lang",
-            "copy",
-            *extra,
+        slim = docs.selectExpr(
+            "doc_id AS id", "substring(text, 1, 80) AS title", "source AS author", "lang", "copy", *extra
         )
         heavy = hot_from_counts(copies, "copy")
         return lookup(slim, copies.select("copy", "article_id"), "copy", heavy=heavy).drop("copy")
@@ -93,23 +98,22 @@ class Entities:
     def story(self, *extra: str) -> DataFrame:
         posts = self.with_page(self._posts(*extra), "id")
         joined = posts.join(self.sig().withColumnRenamed("user_id", "id"), "id", "left")
-        created = F.coalesce(
-            "t0", F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60)
-        )
-        return joined.select(
+        dated = joined.selectExpr("*", "coalesce(t0, timestamp_seconds(1704067200 + id * 60)) AS created_at")
+        return dated.selectExpr(
             "id",
-            F.element_at(F.array(*[F.lit(s) for s in schemas.SOURCES]), (F.col("id") % 4 + 1).cast("int")).alias("source"),
-            F.when(F.col("id") % 4 == 0, F.col("id").cast("int")).alias("hn_id"),
+            "element_at(array('hn', 'blog', 'lobsters', 'devto'), CAST(id % 4 + 1 AS int)) AS source",
+            "CASE WHEN id % 4 = 0 THEN CAST(id AS int) END AS hn_id",
             "title",
             "url",
-            U.host_domain(F.col("url")).alias("domain"),
+            "regexp_replace(lower(try_parse_url(url, 'HOST')), '^www\\\\.', '') AS domain",
             "author",
             "points",
             "comments_count",
-            created.alias("created_at"),
-            F.coalesce("t1", created).alias("fetched_at"),
+            "created_at",
+            "coalesce(t1, created_at) AS fetched_at",
             "article_id",
-            *[c for c in ("lang", *extra)],
+            "lang",
+            *extra,
         )
 
     def stories(self) -> DataFrame:
@@ -133,34 +137,29 @@ class Entities:
         return docs.join(firsts, "id", "left_semi")
 
     def summary(self) -> DataFrame:
-        turn = F.col("turn")
-        even = F.col("conv_id") % 2 == 0
-        blank = turn == 3
-        ui = F.to_json(
-            F.struct(
-                F.when(turn != 5, F.substring("text", 1, 20)).alias("summary_140"),
-                F.when(blank, "").otherwise(turn.cast("string")).alias("reading_time_min"),
-                F.when(blank, "").otherwise((turn * 10).cast("string")).alias("impact_score"),
-                F.when(blank, "").otherwise((turn * 0.1).cast("decimal(3,1)").cast("string")).alias("confidence"),
-                F.slice(T.words_py(F.col("text")), 1, 2).alias("quicktake"),
-                F.struct(
-                    F.when(blank, "").otherwise(F.when(turn == 1, "true").otherwise("false")).alias("paywall"),
-                    F.lit("html").alias("format"),
-                    F.when(blank, "").otherwise("false").alias("is_pdf"),
-                ).alias("link_props"),
-            )
+        turns = self.t.conversations.where("role = 'assistant'").selectExpr(
+            "*", "conv_id % 2 = 0 AS even", "turn = 3 AS blank", "timestamp_seconds(1706745600 + turn * 3600) AS at"
         )
-        kind = F.to_json(F.struct(F.when(turn == 1, "news").otherwise("article").alias("type")))
-        return self.t.conversations.where("role = 'assistant'").select(
-            F.concat_ws("-", "conv_id", "turn").alias("id"),
-            F.col("conv_id").alias("article_id"),
-            F.lit(MODEL).alias("model"),
-            F.lit("en").alias("lang"),
-            F.col("text").alias("summary"),
-            F.timestamp_seconds(F.lit(1706745600) + turn * 3600).alias("created_at"),
-            F.when(even, kind).alias("classification_json"),
-            F.when(even, ui).alias("ui_json"),
-            F.when(even, F.timestamp_seconds(F.lit(1706745600) + turn * 3600)).alias("summarized_at"),
+        unless_blank = "CASE WHEN blank THEN '' ELSE CAST({0} AS string) END AS {1}"
+        ui = f"""to_json(struct(
+            CASE WHEN turn <> 5 THEN substring(text, 1, 20) END AS summary_140,
+            {unless_blank.format('turn', 'reading_time_min')},
+            {unless_blank.format('turn * 10', 'impact_score')},
+            {unless_blank.format('CAST(turn * 0.1 AS decimal(3,1))', 'confidence')},
+            slice(filter(split(text, '[ \\\\n]+'), w -> w <> ''), 1, 2) AS quicktake,
+            struct({unless_blank.format("turn = 1", 'paywall')}, 'html' AS format,
+                   {unless_blank.format("false", 'is_pdf')}) AS link_props))"""
+        kind = "to_json(struct(CASE WHEN turn = 1 THEN 'news' ELSE 'article' END AS type))"
+        return turns.selectExpr(
+            "concat_ws('-', conv_id, turn) AS id",
+            "conv_id AS article_id",
+            f"'{MODEL}' AS model",
+            "'en' AS lang",
+            "text AS summary",
+            "at AS created_at",
+            f"CASE WHEN even THEN {kind} END AS classification_json",
+            f"CASE WHEN even THEN {ui} END AS ui_json",
+            "CASE WHEN even THEN at END AS summarized_at",
         )
 
     def rank_signals(self, as_of: str = AS_OF) -> DataFrame:
@@ -183,30 +182,27 @@ class Entities:
 
     # -- vocabulary ------------------------------------------------------------
 
+    @once
     def _tag_pairs(self) -> DataFrame:
-        by_source = self.t.documents.select(F.col("doc_id").alias("story_id"), F.col("source").alias("slug"))
-        labels = self.t.labels.select(
-            F.col("doc_id").alias("story_id"),
-            F.explode(
-                F.array(F.concat(F.lit("quality-"), "quality"), F.concat(F.lit("toxic-"), "toxic"))
-            ).alias("slug"),
+        by_source = self.t.documents.selectExpr("doc_id AS story_id", "source AS slug")
+        labels = self.t.labels.selectExpr(
+            "doc_id AS story_id", "explode(array(concat('quality-', quality), concat('toxic-', toxic))) AS slug"
         )
-        return by_source.unionByName(labels)
+        return by_source.union(labels)
 
     def story_tag(self) -> DataFrame:
-        return self._tag_pairs().select("story_id", F.concat(F.lit("tag:"), "slug").alias("tag_id")).distinct()
+        return self._tag_pairs().selectExpr("story_id", "concat('tag:', slug) AS tag_id").distinct()
 
     def tag(self) -> DataFrame:
-        meta = F.col("slug").rlike("^(quality|toxic)-")
         return (
             self._tag_pairs()
             .select("slug")
             .distinct()
-            .select(
-                F.concat(F.lit("tag:"), "slug").alias("id"),
+            .selectExpr(
+                "concat('tag:', slug) AS id",
                 "slug",
-                F.upper("slug").alias("name"),
-                F.when(meta, "meta").otherwise("tech").alias("kind"),
+                "upper(slug) AS name",
+                "CASE WHEN slug RLIKE '^(quality|toxic)-' THEN 'meta' ELSE 'tech' END AS kind",
             )
         )
 

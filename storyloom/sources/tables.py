@@ -15,4 +15,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # one read per table: each one opens a footer to learn the schema
+        frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, frame)
+        return frame
