@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -82,12 +81,14 @@ def unaccent(c: Column) -> Column:
 def _compat_fold(c: Column) -> Column:
     """Compatibility folding; the few characters that grow take the lookup branch."""
     src, dst, longer = _folding("NFKD")
-    rare = "[" + "".join(re.escape(x) for x in longer) + "]"
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    has_rare = F.length(F.translate(c, "".join(longer), "")) < F.length(c)
+    table = F.str_to_map(
+        F.lit("\x01".join(f"{k}\x02{v}" for k, v in longer.items())), F.lit("\x01"), F.lit("\x02")
+    )
     spelled = F.array_join(
         F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), ""
     )
-    return F.translate(F.when(c.rlike(rare), spelled).otherwise(c), src, dst)
+    return F.translate(F.when(has_rare, spelled).otherwise(c), src, dst)
 
 
 def slugify(c: Column) -> Column:

@@ -107,7 +107,7 @@ def detach_older_stories(stories: DataFrame) -> DataFrame:
         .agg(F.max_by("id", order).alias("id"))
         .select("id", F.lit(True).alias("_keeps"))
     )
-    return stories.join(winners, "id", "left").withColumn("article_id", F.when("_keeps", F.col("article_id"))).drop("_keeps")
+    return stories.join(winners, "id", "left").withColumn("article_id", F.when(F.col("_keeps"), F.col("article_id"))).drop("_keeps")
 
 
 # -- articles ------------------------------------------------------------------
