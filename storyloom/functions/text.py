@@ -65,6 +65,10 @@ def _folding(form: str) -> tuple[str, str, dict[str, str]]:
     return "".join(src) + marks, "".join(dst), longer
 
 
+def _is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def unaccent(c: Column) -> Column:
     """Accents removed from letters; ligatures and stroked letters spelled out."""
     src, dst, _ = _folding("NFD")
@@ -75,7 +79,7 @@ def unaccent(c: Column) -> Column:
     for char, plain in SPELLED_OUT.items():
         if len(plain) > 1:
             out = F.replace(out, F.lit(char), F.lit(plain))
-    return out
+    return F.when(_is_ascii(c), c).otherwise(out)
 
 
 def _compat_fold(c: Column) -> Column:
@@ -88,7 +92,8 @@ def _compat_fold(c: Column) -> Column:
     spelled = F.array_join(
         F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), ""
     )
-    return F.translate(F.when(has_rare, spelled).otherwise(c), src, dst)
+    folded = F.translate(F.when(has_rare, spelled).otherwise(c), src, dst)
+    return F.when(_is_ascii(c), c).otherwise(folded)
 
 
 def slugify(c: Column) -> Column:

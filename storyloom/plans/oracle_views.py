@@ -100,7 +100,8 @@ VIEWS = {
     "fx_fetch_log": """
         SELECT page_id, url, [200,200,301,403,404,429,500,503][page_id % 8 + 1] AS status,
                CASE WHEN page_id % 9 = 0 THEN 'application/pdf' ELSE 'text/HTML; charset=utf-8' END AS content_type,
-               CASE WHEN page_id % 5 = 0 THEN html || ' subscribe' ELSE html END AS html
+               CASE WHEN page_id % 21 = 0 THEN '<html><script>var a = ''<p>x</p>''</script><body> </body></html>'
+                    WHEN page_id % 5 = 0 THEN html || ' subscribe' ELSE html END AS html
         FROM pages""",
     "fx_result": """
         SELECT conv_id AS story_id, CASE WHEN conv_id % 23 <> 0 THEN conv_id END AS article_id, turn,

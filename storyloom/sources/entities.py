@@ -19,6 +19,7 @@ from storyloom.sources.tables import Tables
 
 AS_OF = "2024-01-08 00:00:00"
 MODEL = "m1"
+EMPTY_PAGE = "<html><script>var a = '<p>x</p>'</script><body> </body></html>"
 
 
 def ts(value: str):
@@ -328,7 +329,10 @@ class Entities:
             "url",
             F.element_at(statuses, (n % 8 + 1).cast("int")).alias("status"),
             F.when(n % 9 == 0, "application/pdf").otherwise("text/HTML; charset=utf-8").alias("content_type"),
-            F.when(n % 5 == 0, F.concat("html", F.lit(" subscribe"))).otherwise(F.col("html")).alias("html"),
+            F.when(n % 21 == 0, EMPTY_PAGE)
+            .when(n % 5 == 0, F.concat("html", F.lit(" subscribe")))
+            .otherwise(F.col("html"))
+            .alias("html"),
         )
 
     def paragraph_text(self) -> DataFrame:
