@@ -62,18 +62,20 @@ def decode_body(body: Column) -> Column:
 # -- extraction ----------------------------------------------------------------
 
 
-def read_pages(pages: DataFrame, key: str) -> DataFrame:
-    """``key, text, headings, author, main`` per page; rows stay where they are."""
-    kind = pages.schema[key].dataType.simpleString()
+def read_pages(pages: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
+    """``key, text, headings, author, main`` per page, with the columns to ``keep``; rows
+    stay where they are, so there is no shuffle and no join back."""
+    carried = [key, *[c for c in (keep or []) if c != key]]
+    schema = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in carried)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = [read_page(h) for h in batch["html"]]
             out = pd.DataFrame(parts, columns=["text", "headings", "author", "main"])
-            out.insert(0, key, batch[key].to_numpy())
-            yield out
+            yield pd.concat([batch[carried].reset_index(drop=True), out], axis=1)
 
-    return pages.select(key, "html").mapInPandas(run, f"{key} {kind}, {PAGE}")
+    wanted = carried if "html" in carried else [*carried, "html"]
+    return pages.select(*wanted).mapInPandas(run, f"{schema}, {PAGE}")
 
 
 def headings_by_pattern(html: Column) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from storyloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ["feed_queries", "search_queries", "ingest_queries", "text_queries", "merge_queries", "extract_queries", "vector_queries"]
+MODULES = ["feed_queries", "search_queries", "ingest_queries", "text_queries", "merge_queries", "extract_queries", "vector_queries", "stage_queries"]
 
 
 def load():
