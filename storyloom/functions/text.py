@@ -8,9 +8,12 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters the two source languages count as white space.
+# The characters the two source languages count as white space, as classes.
 JS_SPACE = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 PY_SPACE = "\\t\\n\\x0B\\f\\r \\x1C-\\x1F\\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+_COMMON = "\t\n\x0b\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_JS_CHARS = _COMMON + "\ufeff"
+_PY_CHARS = _COMMON + "\x1c\x1d\x1e\x1f\x85"
 
 # Letters without a canonical decomposition that unaccenting still spells out.
 SPELLED_OUT = {
@@ -31,14 +34,24 @@ def words_py(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), f"[{PY_SPACE}]+"), lambda w: w != "")
 
 
+def _collapsed(c: Column, chars: str) -> Column:
+    """Runs of white space as one blank, none at the ends. Mapping every space character
+    to the blank first leaves a literal pattern, several times faster than the class."""
+    return F.regexp_replace(F.btrim(F.translate(c, chars, " " * len(chars))), " {2,}", " ")
+
+
+def _words_in(c: Column) -> Column:
+    # one blank between words: count the blanks instead of building an array
+    return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + (F.length(c) > 0).cast("int")
+
+
 def word_count(c: Column) -> Column:
     """Number of blank-separated words; null text has none."""
-    return F.size(words_py(c))
+    return _words_in(_collapsed(F.coalesce(c, F.lit("")), _PY_CHARS))
 
 
 def word_count_js(c: Column) -> Column:
-    parts = F.split(F.coalesce(c, F.lit("")), f"[{JS_SPACE}]+")
-    return F.size(F.filter(parts, lambda w: w != ""))
+    return _words_in(_collapsed(F.coalesce(c, F.lit("")), _JS_CHARS))
 
 
 @functools.cache
@@ -110,7 +123,7 @@ def tokens(c: Column) -> Column:
 
 def sha1_hash(text: Column, canonical_url: Column | None = None) -> Column:
     """sha1 of the text with white space collapsed, plus the URL when one is given."""
-    norm = F.regexp_replace(trim_js(F.coalesce(text, F.lit(""))), f"[{JS_SPACE}]+", " ")
+    norm = _collapsed(F.coalesce(text, F.lit("")), _JS_CHARS)
     if canonical_url is not None:
         filled = F.length(canonical_url) > 0
         norm = F.when(filled, F.concat(norm, F.lit("\n"), canonical_url)).otherwise(norm)

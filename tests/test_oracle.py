@@ -1,0 +1,28 @@
+"""Every registered query against its check text, and plain runs of the others."""
+
+import pytest
+from compare import connect, difference, duck_rows, spark_rows
+
+from storyloom.plans.catalog import load
+
+QUERIES, ORACLES = load()
+
+
+@pytest.fixture(scope="module")
+def con(folder):
+    return connect(folder)
+
+
+@pytest.mark.parametrize("key", sorted(ORACLES))
+def test_equal(spark, folder, con, key):
+    assert difference(spark_rows(QUERIES[key](spark, folder)), duck_rows(con, ORACLES[key])) is None
+
+
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLES)))
+def test_runs(spark, folder, key):
+    assert QUERIES[key](spark, folder).count() > 0
+
+
+def test_names():
+    assert set(ORACLES) <= set(QUERIES)
+    assert not [k for k in QUERIES if "pipeline" in k or k.startswith("op")]
