@@ -110,7 +110,7 @@ def _small(queries: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     rows = queries.select("query_id", "vector").limit(QUERY_BLOCK + 1).collect()
     if len(rows) > QUERY_BLOCK:
         return None
-    vectors = np.array([r.vector for r in rows], dtype="float64").reshape(len(rows), -1)
+    vectors = np.array([r.vector for r in rows], dtype="float64") if rows else np.empty((0, 0))
     return np.array([r.query_id for r in rows], dtype="int64"), vectors
 
 
