@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from storyloom import schemas
 from storyloom.functions import text as T
 from storyloom.functions import urls as U
-from storyloom.operators.skew import lookup, newest
+from storyloom.operators.skew import hot_from_counts, lookup, newest
 
 
 def last_known(name: str, seq: str = "seq") -> Column:
@@ -135,6 +135,7 @@ def article_upsert(target: DataFrame, incoming: DataFrame, set_language: bool) -
         F.max_by("language", "seq").alias("_last"),
         F.min_by("language", "seq").alias("_first"),
         F.min_by("word_count", "seq").alias("word_count"),
+        F.count(F.lit(1)).alias("n"),
     )
     known = target.select("content_hash", F.col("id").alias("_id"))
     added = per_hash.join(known, "content_hash", "left_anti")
@@ -153,7 +154,10 @@ def article_upsert(target: DataFrame, incoming: DataFrame, set_language: bool) -
     ids = per_hash.select("content_hash").join(known, "content_hash", "left").select(
         "content_hash", F.coalesce("_id", F.concat(F.lit("a-"), "content_hash")).alias("article_id")
     )
-    links = lookup(incoming.select("story_id", "content_hash", "seq"), ids, "content_hash", "inner", spread="seq")
+    heavy = hot_from_counts(per_hash, "content_hash")
+    links = lookup(
+        incoming.select("story_id", "content_hash", "seq"), ids, "content_hash", "inner", spread="seq", heavy=heavy
+    )
     return articles, links.select("story_id", "article_id", "seq")
 
 

@@ -113,23 +113,18 @@ def ranked_articles(article: DataFrame, queries: DataFrame, strict: bool = False
     """``query_id, id, score`` of every article holding all terms of a query.
 
     Grouping is per (query, article), so a group is bounded by one article's length,
-    however frequent a term is. One-term queries need a count and no positions.
+    however frequent a term is. One-term queries need a count, so their positions are
+    not collected.
     """
     hits = matched_occurrences(article, queries, strict)
-    single = (
-        hits.where("n_terms = 1")
-        .groupBy("query_id", "id")
-        .agg((F.count(F.lit(1)) * F.lit(TERM_WEIGHT)).alias("score"))
+    several = F.col("n_terms") > 1
+    per_article = hits.groupBy("query_id", "id", "n_terms").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sort_array(F.collect_list(F.when(several, F.struct("pos", "term")))).alias("entries"),
     )
-    entries = F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("entries")
-    several = (
-        hits.where("n_terms > 1")
-        .groupBy("query_id", "id", "n_terms")
-        .agg(entries, F.count_distinct("term").alias("found"))
-        .where("found = n_terms")
-        .select("query_id", "id", _cover_score(F.col("entries"), F.col("n_terms")).alias("score"))
-    )
-    return single.unionByName(several)
+    held = F.size(F.array_distinct(F.transform("entries", lambda x: x["term"])))
+    score = F.when(several, _cover_score(F.col("entries"), F.col("n_terms"))).otherwise(F.col("n") * F.lit(TERM_WEIGHT))
+    return per_article.where(~several | (held == F.col("n_terms"))).select("query_id", "id", score.alias("score"))
 
 
 def articles_with_all(article: DataFrame, q: str, strict: bool = False) -> DataFrame:

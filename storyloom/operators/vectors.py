@@ -15,6 +15,7 @@ MAX_K = 100
 QUERY_BLOCK = 1024  # query vectors one task holds at a time
 BASE_BLOCK = 65_536  # base vectors one group holds when both sides are blocked
 CELLS = 100
+MAX_MODELS = 1000
 HIT = "query_id long, id long, distance double"
 
 
@@ -210,13 +211,24 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 # -- registry ------------------------------------------------------------------
 
 
+def _dimensions(embedding: DataFrame, models: DataFrame) -> DataFrame:
+    """``article_id, model_key, size, dimensions``; a small registry becomes a literal map."""
+    sized = embedding.select("article_id", "model_key", F.size("vector").alias("size"))
+    rows = models.select("key", "dimensions").limit(MAX_MODELS + 1).collect()
+    if len(rows) > MAX_MODELS:
+        return sized.join(models.select(F.col("key").alias("model_key"), "dimensions"), "model_key", "left")
+    known = F.create_map(*[F.lit(x) for r in rows for x in (r.key, r.dimensions)]).cast("map<string,int>")
+    return sized.withColumn("dimensions", F.try_element_at(known, F.col("model_key")))
+
+
 def embedding_check(embedding: DataFrame, models: DataFrame) -> DataFrame:
     """Vectors of unknown models or wrong length, and repeated (article, model) pairs."""
-    known = embedding.select("article_id", "model_key", F.size("vector").alias("size")).join(
-        models.select(F.col("key").alias("model_key"), "dimensions"), "model_key", "left"
-    )
     problem = F.when(F.col("dimensions").isNull(), "unknown_model").when(F.col("size") != F.col("dimensions"), "wrong_size")
-    sizes = known.select("article_id", "model_key", problem.alias("problem")).where("problem is not null")
+    sizes = (
+        _dimensions(embedding, models)
+        .select("article_id", "model_key", problem.alias("problem"))
+        .where("problem is not null")
+    )
     repeated = (
         embedding.groupBy("article_id", "model_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         .select("article_id", "model_key", F.lit("repeated").alias("problem"))

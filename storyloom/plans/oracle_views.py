@@ -76,10 +76,12 @@ VIEWS = {
         FROM fx_events e LEFT JOIN pages p
           ON p.page_id = CASE WHEN e.user_id % 10 <> 9 THEN e.user_id % (SELECT count(*) FROM pages) END""",
     "fx_list": "SELECT event_type AS list_name, event_id AS pos, user_id AS item_id FROM events",
-    "fx_seen": "SELECT user_id AS id, min(ts) AS seen_at FROM events WHERE user_id % 3 = 0 GROUP BY user_id",
+    "fx_seen": """
+        SELECT user_id AS id, min(ts) AS seen_at FROM events GROUP BY user_id
+        HAVING min(ts) < TIMESTAMP '2024-01-01 03:00:00'""",
     "fx_done": """
         SELECT user_id AS story_id, 'm1' AS model, max(ts) AS done_at FROM events
-        WHERE user_id % 5 = 0 GROUP BY user_id""",
+        WHERE event_type = 'purchase' GROUP BY user_id""",
     "fx_submission": """
         SELECT seq, CASE WHEN seq % 4 = 0 THEN 'lobsters' WHEN seq % 7 <> 0 AND id <> 0 THEN 'hn' ELSE 'blog' END AS source,
                CASE WHEN seq % 7 <> 0 THEN CAST(id AS INT) END AS hn_id, title, url,

@@ -263,14 +263,15 @@ class Entities:
         )
 
     def seen(self) -> DataFrame:
-        return (
-            self.events().where("user_id % 3 = 0").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("seen_at"))
-        )
+        """Ids already processed: those first met in the opening hours."""
+        first = self.events().groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("seen_at"))
+        return first.where(F.col("seen_at") < ts("2024-01-01 03:00:00"))
 
     def done(self) -> DataFrame:
+        """Markers of finished stories: the last purchase of each id."""
         return (
             self.events()
-            .where("user_id % 5 = 0")
+            .where("event_type = 'purchase'")
             .groupBy(F.col("user_id").alias("story_id"))
             .agg(F.max("ts").alias("done_at"))
             .select("story_id", F.lit(MODEL).alias("model"), "done_at")

@@ -24,10 +24,11 @@ TTL_MS = ingest.SEEN_DAYS * 24 * 3600 * 1000
 # -- commits -------------------------------------------------------------------
 
 
-def _committed(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+def _committed(spark: SparkSession, pattern: str) -> bool:
+    """Whether a batch matching the path pattern was written as a whole."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
+    return found is not None and len(found) > 0
 
 
 def commit_batch(frames: dict[str, DataFrame], root: str, batch_id: int) -> bool:
@@ -93,8 +94,40 @@ def text_stream(spark: SparkSession, path: str) -> DataFrame:
 # -- stateful operators --------------------------------------------------------
 
 
-def first_seen(items: DataFrame, as_of_cutoff: Column) -> DataFrame:
-    """Good items, each id once per retention period of event time.
+def unmarked(batch: DataFrame, marks: DataFrame | None, keys: list[str], now: Column, order: str) -> DataFrame:
+    """The newest row of each key that carries no live mark.
+
+    Rows of a key are combined on the map side before they meet, and marks are unique per
+    key and batch, so a key in a third of all rows costs one row per task.
+    """
+    rest = [c for c in batch.columns if c not in keys]
+    newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+    if marks is None:
+        return newest.select(*batch.columns)
+    return ingest.not_done(newest, marks, keys, now).select(*batch.columns)
+
+
+def marking(
+    stage: Callable[[DataFrame], dict[str, DataFrame]], root: str, keys: list[str], now: Callable[[], Column], order: str
+) -> Callable[[DataFrame], dict[str, DataFrame]]:
+    """A stage that sees each key once per retention period.
+
+    The marks are a table of the same commit as the stage's output: a key counts as done
+    exactly when what was made of it is there, so failed batches are tried again.
+    """
+
+    def run(batch: DataFrame) -> dict[str, DataFrame]:
+        spark = batch.sparkSession
+        marks = read_table(spark, root, "mark") if _committed(spark, f"{root}/batch=*") else None
+        at = now()
+        fresh = unmarked(batch, marks, keys, at, order)
+        return {**stage(fresh), "mark": fresh.select(*keys, at.alias("done_at"))}
+
+    return run
+
+
+def first_seen_in_event_time(items: DataFrame, as_of_cutoff: Column) -> DataFrame:
+    """Good items, each id once per retention period of event time ``ts``.
 
     The quality rule comes first: a rejected item leaves no mark and is judged again.
     """
@@ -132,8 +165,18 @@ class SetIfAbsent(StatefulProcessor):
 
 def mark_first(jobs: DataFrame, keys: list[str]) -> DataFrame:
     """Idempotency by (story) or (article, model): a marked key is not processed again
-    until its mark expires. Needs the RocksDB state store."""
-    return jobs.groupBy(*keys).transformWithStateInPandas(
+    until its mark expires. Needs the RocksDB state store and a query that keeps running:
+    expiry by processing time never lets an availableNow drain end; use ``marking`` there.
+
+    All rows of a micro-batch share one processing time, so repeats inside an Arrow batch
+    are dropped before the shuffle: a key in a third of all rows sends a row per batch.
+    """
+
+    def combine(batches):
+        for pdf in batches:
+            yield pdf.drop_duplicates(keys)
+
+    return jobs.mapInPandas(combine, jobs.schema).groupBy(*keys).transformWithStateInPandas(
         SetIfAbsent(), outputStructType=jobs.schema, outputMode="Append", timeMode="ProcessingTime"
     )
 

@@ -1,6 +1,7 @@
 """Streams drained with availableNow: twins of the batch forms, replays, stages in a row."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,15 @@ from storyloom.streaming import jobs as J
 
 
 @pytest.fixture
-def root(tmp_path):
-    return str(tmp_path)
+def root(spark, tmp_path):
+    """A fresh folder, with few state partitions and the RocksDB store while streaming."""
+    wanted = {"spark.sql.shuffle.partitions": "2", "spark.sql.streaming.stateStore.providerClass": J.ROCKSDB}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield str(tmp_path)
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def drain(stream, path, name, mode="append"):
@@ -25,7 +33,7 @@ def drain(stream, path, name, mode="append"):
 
 def test_first_seen_equals_batch_twin(spark, entities, root):
     entities.item_json().coalesce(1).write.parquet(f"{root}/items")
-    out = drain(J.first_seen(J.item_stream(spark, f"{root}/items"), F.lit(0)), root, "seen")
+    out = drain(J.first_seen_in_event_time(J.item_stream(spark, f"{root}/items"), F.lit(0)), root, "seen")
     ids = {r.id for r in out.collect()}
     batch = entities.item().where(ingest.is_good(F.lit(0)))
     assert ids == {r.id for r in batch.select("id").distinct().collect()}
@@ -49,27 +57,41 @@ def test_publish_once(spark, root):
     assert out.where("job_key is null").count() == 2 and out.where("job_key = 'k'").count() == 1
 
 
-def test_mark_first_over_two_drains(spark, root):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+def test_mark_first_passes_a_key_once(spark, root):
     schema = "article_id string, model string, n int"
-    spark.createDataFrame([("a", "m", 1), ("a", "m", 2), ("b", "m", 3)], schema).coalesce(1).write.mode("append").parquet(f"{root}/s")
-
-    def once():
-        seen = []
-        stream = J.mark_first(spark.readStream.schema(schema).parquet(f"{root}/s"), ["article_id", "model"])
-        q = (
-            stream.writeStream.foreachBatch(lambda df, _: seen.extend((r.article_id, r.model) for r in df.collect()))
-            .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
-        )
-        q.awaitTermination(120)
-        return sorted(seen)
-
+    spark.createDataFrame([("a", "m", 1), ("a", "m", 2), ("b", "m", 3)], schema).coalesce(1).write.parquet(f"{root}/s")
+    seen = []
+    stream = J.mark_first(spark.readStream.schema(schema).parquet(f"{root}/s"), ["article_id", "model"])
+    q = (
+        stream.writeStream.foreachBatch(lambda df, _: seen.extend((r.article_id, r.model) for r in df.collect()))
+        .option("checkpointLocation", f"{root}/ck").trigger(processingTime="1 second").start()
+    )
     try:
-        assert once() == [("a", "m"), ("b", "m")]
-        spark.createDataFrame([("a", "m", 4), ("c", "m", 5)], schema).coalesce(1).write.mode("append").parquet(f"{root}/s")
-        assert once() == [("c", "m")]
+        end = time.time() + 60
+        while not seen and time.time() < end and q.isActive:
+            time.sleep(0.5)
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        q.stop()
+    assert sorted(seen) == [("a", "m"), ("b", "m")]
+
+
+def test_marks_keep_a_key_away_until_they_expire(spark, root):
+    schema = "story_id string, seq int"
+
+    def batch(rows):
+        return spark.createDataFrame(rows, schema)
+
+    def at(day):
+        return lambda: F.lit(f"2024-01-{day:02d}").cast("timestamp")
+
+    def kept(n, rows, day):
+        stage = J.marking(lambda b: {"out": b}, root, ["story_id"], at(day), "seq")
+        J.commit_batch(stage(batch(rows)), root, n)
+        return sorted((r.story_id, r.seq) for r in J.read_table(spark, root, "out").where(F.col("batch") == n).collect())
+
+    assert kept(0, [("a", 1), ("a", 2), ("b", 3)], 1) == [("a", 2), ("b", 3)]
+    assert kept(1, [("a", 4), ("c", 5)], 3) == [("c", 5)]
+    assert kept(2, [("a", 6), ("c", 7)], 8) == [("a", 6)]
 
 
 def test_commit_is_one_write_and_replays_are_skipped(spark, root):
@@ -94,8 +116,9 @@ def test_stages_in_a_row(spark, entities, root):
     from storyloom.operators import stages
 
     def ingest_once():
-        stream = J.first_seen(J.item_stream(spark, f"{root}/items"), F.lit(0))
-        J.run_stage(stream, lambda b: stages.ingest_stage(b.drop("ts")), f"{root}/ingest", f"{root}/ck1").awaitTermination(120)
+        stream = J.item_stream(spark, f"{root}/items").where(ingest.is_good(F.lit(0))).drop("ts")
+        stage = J.marking(stages.ingest_stage, f"{root}/ingest", ["id"], lambda: F.lit("2024-02-01").cast("timestamp"), "seq")
+        J.run_stage(stream, stage, f"{root}/ingest", f"{root}/ck1").awaitTermination(120)
         return J.read_table(spark, f"{root}/ingest", "job")
 
     jobs = ingest_once()
