@@ -16,6 +16,7 @@ from storyloom.functions import text as T
 from storyloom.functions import urls as U
 from storyloom.functions.html import read_page
 from storyloom.operators import ingest
+from storyloom.session import spread
 
 PAGE = "text string, headings array<string>, author string, main string"
 REPUTATION = 0.5
@@ -75,7 +76,7 @@ def read_pages(pages: DataFrame, key: str, keep: list[str] | None = None) -> Dat
             yield pd.concat([batch[carried].reset_index(drop=True), out], axis=1)
 
     wanted = carried if "html" in carried else [*carried, "html"]
-    return pages.select(*wanted).mapInPandas(run, f"{schema}, {PAGE}")
+    return spread(pages.select(*wanted), key).mapInPandas(run, f"{schema}, {PAGE}")
 
 
 def headings_by_pattern(html: Column) -> Column:
@@ -85,8 +86,9 @@ def headings_by_pattern(html: Column) -> Column:
 
     def plain(h: Column) -> Column:
         out = F.regexp_replace(h, "<[^>]*>", "")
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-            out = F.replace(out, F.lit(entity), F.lit(char))
+        # these may stand without their semicolon
+        for entity, char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'"), ("&amp;?", "&")):
+            out = F.regexp_replace(out, entity, char)
         return T.trim_py(out)
 
     return F.slice(F.filter(F.transform(found, plain), lambda h: h != ""), 1, 5)
@@ -175,7 +177,8 @@ def train_languages(samples: DataFrame) -> LanguageModel:
             used = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bucket": used, "n": total[used]})
 
-    counts = samples.select("text", "lang").where("lang is not null").mapInPandas(count, "lang string, bucket long, n long")
+    rows = spread(samples.select("text", "lang").where("lang is not null"), "text")
+    counts = rows.mapInPandas(count, "lang string, bucket long, n long")
     merged = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES * BUCKETS + 1)
     table = merged.toPandas()  # at most BUCKETS rows per language
     languages = sorted(table["lang"].unique())
@@ -207,4 +210,4 @@ def detect_language(texts: DataFrame, key: str, model: LanguageModel, allowed: l
         for batch in batches:
             yield pd.DataFrame({key: batch[key], "language": batch["text"].map(one)})
 
-    return texts.select(key, "text").mapInPandas(run, f"{key} {kind}, language string")
+    return spread(texts.select(key, "text"), key).mapInPandas(run, f"{key} {kind}, language string")

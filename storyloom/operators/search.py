@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.session import spread
 
 
 MAX_K = 100
@@ -16,7 +17,8 @@ MAX_QUERY_TERMS = 10_000
 def occurrences(article: DataFrame) -> DataFrame:
     """``id, pos, term``: one row per token, positions from 1."""
     found = F.posexplode(T.tokens(T.unaccent(F.coalesce("text", F.lit("")))))
-    return article.select("id", found.alias("pos", "term")).select("id", (F.col("pos") + 1).alias("pos"), "term")
+    rows = spread(article.select("id", "text"), "id")
+    return rows.select("id", found.alias("pos", "term")).select("id", (F.col("pos") + 1).alias("pos"), "term")
 
 
 def postings(article: DataFrame) -> DataFrame:
@@ -136,7 +138,8 @@ def articles_with_all(article: DataFrame, q: str, strict: bool = False) -> DataF
         return article.select("id").where(F.lit(False))
     words = T.tokens(T.unaccent(F.coalesce("text", F.lit(""))))
     held = F.forall(F.array(*[F.lit(t) for t in terms]), lambda t: F.array_contains(F.col("_words"), t))
-    return article.select("id", words.alias("_words")).where(held).select("id")
+    rows = spread(article.select("id", "text"), "id")
+    return rows.select("id", words.alias("_words")).where(held).select("id")
 
 
 def top_stories(scores: DataFrame, stories: DataFrame, k: int) -> DataFrame:

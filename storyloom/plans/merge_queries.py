@@ -9,6 +9,7 @@ from storyloom.functions import text as T
 from storyloom.operators import ingest, merge, results
 from storyloom.plans.registry import query
 from storyloom.plans.text_queries import CLEAN, LABELS, accepted
+from storyloom.session import spread
 from storyloom.sources.entities import ts
 
 NOW = "2024-02-01 00:00:00"
@@ -75,7 +76,7 @@ def _article_incoming(e):
     items = e.item().where("text is not null").select(
         F.concat(F.lit("i"), "seq").alias("story_id"), F.lit("en").alias("language"), "text", (F.col("seq") + 1_000_000_000).alias("seq")
     )
-    both = docs.unionByName(items)
+    both = spread(docs.unionByName(items), "seq")
     return both.withColumns({"word_count": T.word_count(F.col("text")), "content_hash": T.sha1_hash(F.col("text"))})
 
 

@@ -46,3 +46,20 @@ def durable(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+SMALL_BYTES = 128 * 1024 * 1024
+
+
+def spread(df, key: str):
+    """Share out a small input before costly work on each row.
+
+    A small table often sits in one row group and would keep one core busy. Its planned
+    size decides: below one ordinary split per core it is dealt out by ``key``; a larger
+    input already has enough splits and is left alone, so nothing big is ever shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= SMALL_BYTES * cores:
+        return df
+    return df.repartition(cores, key)

@@ -24,11 +24,11 @@ TTL_MS = ingest.SEEN_DAYS * 24 * 3600 * 1000
 # -- commits -------------------------------------------------------------------
 
 
-def _committed(spark: SparkSession, pattern: str) -> bool:
-    """Whether a batch matching the path pattern was written as a whole."""
+def _committed(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders matching the pattern whose batch was written as a whole."""
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
     found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
-    return found is not None and len(found) > 0
+    return [f.getPath().getParent().toString() for f in found or []]
 
 
 def commit_batch(frames: dict[str, DataFrame], root: str, batch_id: int) -> bool:
@@ -51,7 +51,7 @@ def commit_batch(frames: dict[str, DataFrame], root: str, batch_id: int) -> bool
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One table of all committed batches, with the batch it came in."""
-    rows = spark.read.option("basePath", root).option("mergeSchema", "true").parquet(root)
+    rows = spark.read.option("basePath", root).parquet(*_committed(spark, f"{root}/batch=*"))
     return rows.where(F.col("kind") == name).select("batch", f"{name}.*")
 
 
