@@ -33,7 +33,7 @@ VIEWS = {
         LEFT JOIN fx_sig s ON s.user_id = d.id""",
     "fx_article": """
         SELECT id, lang AS language, text,
-               len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS word_count,
+               CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS INT) AS word_count,
                sha256(lang || chr(10) || coalesce(domain, '') || chr(10) || substring(text, 1, 10000)) AS content_hash
         FROM fx_story WHERE id = article_id""",
     "fx_summary": """

@@ -76,7 +76,7 @@ def postings_refresh(e):
 
 
 @query("search_rank_single", f"""
-    WITH {OCC} SELECT id, round(count(*) * 0.1, 6) AS score FROM occ WHERE term = 'in' GROUP BY id""")
+    WITH {OCC} SELECT id, CAST(round(count(*) * 0.1, 6) AS DOUBLE) AS score FROM occ WHERE term = 'in' GROUP BY id""")
 def search_rank_single(e):
     out = search.ranked_articles(e.article_text(), requests(e, {1}))
     return out.select("id", F.round("score", 6).alias("score"))

@@ -31,7 +31,7 @@ def centers(e):
     return vectors.centroids(base(e), "label")
 
 
-@query("knn_exact", f"WITH {KNN.format(k=K)} SELECT query_id, CAST(rank AS INT) AS rank, id, round(d, 6) AS distance FROM knn")
+@query("knn_exact", f"WITH {KNN.format(k=K)} SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INT) AS rank, id, round(d, 6) AS distance FROM knn")
 def knn_exact(e):
     out = vectors.knn(base(e), centers(e), K)
     return out.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
@@ -52,7 +52,7 @@ def knn_ivf(e):
     return out.join(share, "query_id").select("query_id", "rank", "id", F.round("distance", 6).alias("distance"), "recall")
 
 
-@query("knn_ivf_all_cells", f"WITH {KNN.format(k=K)} SELECT query_id, CAST(rank AS INT) AS rank, id, round(d, 6) AS distance FROM knn")
+@query("knn_ivf_all_cells", f"WITH {KNN.format(k=K)} SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INT) AS rank, id, round(d, 6) AS distance FROM knn")
 def knn_ivf_all_cells(e):
     celled, cell_centers = _cells(e)
     out = vectors.knn_cells(celled, cell_centers, centers(e), K, len(cell_centers))
@@ -74,7 +74,7 @@ def embedding_check(e):
              UNION ALL SELECT query_id, id, rank, 'semantic' FROM knn WHERE query_id IN ({", ".join(str(i) for i, _ in REQUESTS)})),
     fused AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score, CASE WHEN count(*) > 1 THEN 'hybrid' ELSE min(kind) END AS match
               FROM both_lists GROUP BY 1, 2)
-    SELECT query_id, id, round(score, 6) AS score, match, CAST(rank AS INT) AS rank FROM (
+    SELECT CAST(query_id AS BIGINT) AS query_id, id, round(score, 6) AS score, match, CAST(rank AS INT) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fused) WHERE rank <= 30""")
 def search_hybrid(e):
     asked = requests(e)
