@@ -29,7 +29,7 @@ MIN_DOCS = 3
 #: A feature takes part if its likelihood ratio against the label (G squared) is at least this.
 EVIDENCE = 20.0
 RIDGE = 1e-4
-STEPS = 300
+STEPS = 150
 THRESHOLD = 0.5
 #: Links in order, each with the condition on a row of labels that makes it positive.
 CHAIN = {"poor": "quality = 0", "toxic": "toxic = 1"}
