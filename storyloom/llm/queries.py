@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from storyloom.llm import decontaminate, line_dedup, mixing, simhash, toxicity
-from storyloom.llm.common import table
+from storyloom.llm import decontaminate, html_extract, line_dedup, mixing, simhash, toxicity, url_filter, warc
+from storyloom.llm.common import scratch, table
 
 QUERIES = {}
 ORACLES = {}
@@ -39,3 +39,18 @@ def op4_line_dedup(spark, folder):
 @_query
 def op6_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@_query
+def op8_html_extraction(spark, folder):
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
+@_query
+def op9_url_filters(spark, folder):
+    return url_filter.judge_urls(table(spark, folder, "pages"))
+
+
+@_query
+def op10_warc(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages"), scratch(spark, "warc"))
