@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from storyloom.llm import decontaminate, html_extract, line_dedup, mixing, simhash, toxicity, url_filter, warc
+from pyspark.sql import functions as F
+
+from storyloom.llm import ann, decontaminate, html_extract, line_dedup, mixing, simhash, toxicity, url_filter, warc
 from storyloom.llm.common import scratch, table
 
 QUERIES = {}
@@ -36,6 +38,11 @@ def op4_line_dedup(spark, folder):
     return line_dedup.summary(docs, line_dedup.dropped_lines(docs))
 
 
+@_query
+def op5_learned_partitions(spark, folder):
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @_query
 def op6_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
