@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storyloom.llm import ann, decontaminate, html_extract, line_dedup, mixing, simhash, toxicity, url_filter, warc
+from storyloom.llm import ann, decontaminate, html_extract, line_dedup, mixing, simhash, suffix_dedup, toxicity, url_filter, warc
 from storyloom.llm.common import scratch, table
 
 QUERIES = {}
@@ -61,3 +61,8 @@ def op9_url_filters(spark, folder):
 @_query
 def op10_warc(spark, folder):
     return warc.round_trip(table(spark, folder, "pages"), scratch(spark, "warc"))
+
+
+@_query
+def op7_suffix_dedup(spark, folder):
+    return suffix_dedup.deduplicate(table(spark, folder, "documents"))
