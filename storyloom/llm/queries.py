@@ -16,6 +16,71 @@ def _query(fn):
     return fn
 
 
+ORACLES["op4_line_dedup"] = """
+WITH parts AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, i AS line_no, ls[i + 1] AS line, doc_id * 1000000 + i AS ord
+  FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM parts) WHERE length(ls[i + 1]) >= 20
+), d AS (
+  SELECT line, min(ord) AS first, length(line) AS n FROM l GROUP BY line
+), h AS (
+  SELECT line, first, n, unnest(list_distinct([
+    'f' || left(line, n // 2), 'f' || left(line, (n + 1) // 2),
+    'l' || right(line, n - n // 2), 'l' || right(line, n + 1 - (n + 1) // 2)])) AS half FROM d
+), pairs AS (
+  SELECT DISTINCT a.line AS a, b.line AS b, a.n AS an, b.n AS bn
+  FROM h a JOIN h b ON a.half = b.half AND a.first < b.first AND abs(a.n - b.n) <= 1
+), steps AS (
+  SELECT a, b, an, bn, unnest(range(0, greatest(an, bn))) AS i FROM pairs
+), near AS (
+  SELECT DISTINCT b FROM steps WHERE
+    (an = bn AND left(a, i) = left(b, i) AND substr(a, i + 2) = substr(b, i + 2))
+    OR (an < bn AND a = left(b, i) || substr(b, i + 2)) OR (an > bn AND b = left(a, i) || substr(a, i + 2))
+), gone AS (
+  SELECT doc_id, line_no FROM l JOIN d ON l.line = d.line WHERE ord > first OR l.line IN (SELECT b FROM near)
+), g AS (
+  SELECT doc_id, count(*) AS n, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS dropped FROM gone GROUP BY doc_id
+)
+SELECT p.doc_id, len(p.ls)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_dropped, coalesce(g.dropped, '') AS dropped
+FROM parts p LEFT JOIN g ON p.doc_id = g.doc_id
+"""
+
+ORACLES["op9_url_filters"] = """
+WITH p AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), r(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), best AS (
+  SELECT page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL
+)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict,
+  CASE WHEN regexp_matches(p.host, '(^|[.-])(ads|adult|bets|betting|casino|porn|spam|xxx)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best b ON p.page_id = b.page_id
+"""
+
+ORACLES["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), w AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+c AS (
+  SELECT page_id, payload_bytes, first, k, ('0x' || substr(h, (1 + 10 * (k // 8))::BIGINT, 10))::UBIGINT AS forty
+  FROM (SELECT *, unnest(range(0, 32)) AS k FROM w)
+), b AS (
+  SELECT page_id, payload_bytes, first,
+    string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((forty >> (35 - 5 * (k % 8))::UBIGINT) & 31)::BIGINT + 1, 1), '' ORDER BY k) AS payload_digest
+  FROM c GROUP BY ALL
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+
 @_query
 def op1_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))

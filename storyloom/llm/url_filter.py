@@ -36,7 +36,9 @@ RULES = (
     Rule("allow", "com", "/fr/"),
     Rule("block", "com", "/de/"),
 )
-#: The verdict where no rule fits.
+#: Where no rule fits, hosts that match one of these patterns are blocked, others allowed.
+#: Each pattern matches a label part; its token is the literal that every match holds.
+PATTERNS = tuple((t, rf"(?:.*[.-])?{t}(?:[.-].*)?") for t in ("ads", "adult", "bets", "betting", "casino", "porn", "spam", "xxx"))
 DEFAULT = "allow"
 
 
@@ -55,7 +57,10 @@ def whole_tokens(rule: Rule) -> list[str]:
 
 
 class RuleIndex:
-    def __init__(self, rules, counts: dict[str, int]):
+    def __init__(self, rules, counts: dict[str, int], patterns=PATTERNS):
+        self.patterns: dict[str, list] = {}
+        for token, text in patterns:
+            self.patterns.setdefault(token, []).append(re.compile(text, re.S))
         self.by_token: dict[str, list] = {}
         self.always: list = []
         for rule in rules:
@@ -69,11 +74,13 @@ class RuleIndex:
     def judge(self, host: str, path: str) -> tuple[str | None, str]:
         """The deciding rule and the verdict; of equally long rules the first in order of text."""
         where = host + path
-        held = [e for t in set(_TOKENS.findall(where)) for e in self.by_token.get(t, ())] + self.always
+        tokens = set(_TOKENS.findall(where))
+        held = [e for t in tokens for e in self.by_token.get(t, ())] + self.always
         # a rule without a path fits the host's end only
         fits = [e for e in held if (m := e[3].match(where)) and (m.end() >= len(host))]
         if not fits:
-            return None, DEFAULT
+            bad = any(p.fullmatch(host) for t in tokens for p in self.patterns.get(t, ()))
+            return None, "block" if bad else DEFAULT
         best = min(fits, key=lambda e: (-e[0], e[1], e[2]))
         return best[1], best[2]
 
@@ -81,7 +88,8 @@ class RuleIndex:
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` per row of ``pages``.
 
-    A null URL or one without ``://`` has an empty host and path; no rule fits it. Repeated
+    A null URL or one without ``://`` has an empty host and path; no rule fits it. Without a
+    fitting rule ``rule`` is null and the patterns on the host decide. Repeated
     rows are judged each. Other columns are not used; an empty table gives an empty result.
     """
     rules = tuple(rules)
