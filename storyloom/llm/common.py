@@ -44,3 +44,21 @@ def text_of(column: str = "text") -> Column:
 
 def word_count(column: str = "text") -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def by_doc(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Join on doc_id, where null equals null; only the left doc_id stays."""
+    (name,) = free(docs, "_of")
+    other = other.withColumnRenamed("doc_id", name)
+    joined = docs.join(other, F.col("doc_id").eqNullSafe(F.col(name)), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(name)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.llm.common import by_doc
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 BLOCK = 32
@@ -198,5 +200,4 @@ def _arrow(kind: str) -> pa.DataType:
 
 def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents of ``docs`` with no verified pair; columns stay as they are."""
-    bad = found.select(F.col("doc_id").alias("_of")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_of")), "left_anti")
+    return by_doc(docs, found.select("doc_id").distinct(), "left_anti")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import store, text_of
+from storyloom.llm.common import by_doc, free, store, text_of
 
 EDIT_BOUND = 1
 BLOCK = 64
@@ -129,13 +129,13 @@ def apply_dropped(docs: DataFrame, gone: DataFrame) -> DataFrame:
     keeps nothing but white space goes; documents without dropped lines stay as they are.
     """
     mark = F.concat_ws(":", F.col("line_no"), F.hex("id"))
-    per = gone.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(mark).alias("_gone"))
-    d = docs.join(per, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
+    lost, new = free(docs, "_gone", "_new")
+    d = by_doc(docs, gone.groupBy("doc_id").agg(F.collect_set(mark).alias(lost)), "left")
     name = lambda line, i: F.concat_ws(":", i, F.upper(F.md5(line)))
-    kept = F.filter(F.split(text_of(), "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), name(line, i)))
-    d = d.withColumn("_new", F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")))
-    d = d.filter(F.col("_gone").isNull() | F.col("_new").rlike(r"\S"))
-    fresh = {"text": F.coalesce("_new", "text")}
+    kept = F.filter(F.split(text_of(), "\n", -1), lambda line, i: ~F.array_contains(F.col(lost), name(line, i)))
+    d = d.withColumn(new, F.when(F.col(lost).isNotNull(), F.array_join(kept, "\n")))
+    d = d.filter(F.col(lost).isNull() | F.col(new).rlike(r"\S"))
+    fresh = {"text": F.coalesce(new, "text")}
     if "n_chars" in docs.columns:
-        fresh["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("_new").cast(docs.schema["n_chars"].dataType))
+        fresh["n_chars"] = F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.char_length(new).cast(docs.schema["n_chars"].dataType))
     return d.withColumns(fresh).select(*docs.columns)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import store, word_count
+from storyloom.llm.common import free, store, word_count
 
 MAX_NEWTON = 60
 TOLERANCE = 1e-9
@@ -175,9 +175,10 @@ def apply_mix(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """
     names = ["size", "source_size", "target", "rate", "copies", "taken"]
     own = [n for n in docs.columns if n not in names]
-    left = docs.select(*own, word_count().alias("_size"))
-    left = left.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_size"))).drop("_size")
-    right = decided.withColumn("_nth2", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")))
-    right = right.select(F.col("doc_id").alias("_id2"), "_nth2", *names)
-    same = F.col("doc_id").eqNullSafe(F.col("_id2")) & F.col("_nth").between(F.col("_nth2"), F.col("_nth2"))
+    words, nth, nth2, id2 = free(docs, "_size", "_nth", "_nth2", "_id2")
+    left = docs.select(*own, word_count().alias(words))
+    left = left.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("source", words))).drop(words)
+    right = decided.withColumn(nth2, F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")))
+    right = right.select(F.col("doc_id").alias(id2), nth2, *names)
+    same = F.col("doc_id").eqNullSafe(F.col(id2)) & F.col(nth).between(F.col(nth2), F.col(nth2))
     return left.join(right, same).filter("copies > 0").select(*own, *names)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import store
+from storyloom.llm.common import by_doc, store
 from storyloom.llm.components import components
 
 LIST_BLOCK = 4096
@@ -240,10 +240,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
 
 
 def keep_one(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """One document of each group: the rows whose doc_id names their component, repeats once.
+    """One document of each group: the rows whose doc_id names their component, once each.
 
-    Of rows that share that doc_id the one with the least text stays. Columns stay as they are.
+    Rows that share that doc_id count as one document. Columns stay as they are.
     """
-    names = judged.select(F.col("component_id").alias("_of")).distinct()
-    kept = docs.join(names, F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    names = judged.select(F.col("component_id").alias("doc_id")).distinct()
+    return by_doc(docs, names, "left_semi").dropDuplicates(["doc_id"])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import text_of
+from storyloom.llm.common import by_doc, text_of
 
 #: Upper bound of the rows that the models are fitted on.
 SAMPLE_ROWS = 8_000
@@ -199,5 +199,4 @@ def score(docs: DataFrame, models: list[dict[str, float]], chain: dict[str, str]
 
 def keep_clean(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents; columns stay as they are."""
-    bad = judged.filter("rejected").select(F.col("doc_id").alias("_of")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_of")), "left_anti")
+    return by_doc(docs, judged.filter("rejected").select("doc_id").distinct(), "left_anti")
