@@ -102,8 +102,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     some = halves.join(meets, "half", "left_semi").select("h").distinct()
     places = store(firsts.join(some, "h", "left_semi"), "line-candidates")
     # the texts of the candidates, each from its earliest place
-    by_doc = places.groupBy(F.col("first.doc_id").alias("_of")).agg(F.collect_set(F.struct("first", "id")).alias("_places"))
-    found = docs.select("doc_id", "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_of")))
+    by_place = places.groupBy(F.col("first.doc_id").alias("_of")).agg(F.collect_set(F.struct("first", "id")).alias("_places"))
+    # the places grow with the corpus: one plan at every size, none that hopes for a broadcast
+    found = docs.select("doc_id", "text").join(by_place.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_of")))
     found = found.withColumn("_lines", F.split(text_of(), "\n", -1)).select("_lines", F.explode("_places").alias("p"))
     found = found.select("p.id", "p.first", F.get("_lines", F.col("p.first.line_no")).alias("line")).filter(_digest() == F.col("id"))
     near = _near(store(found.dropDuplicates(["id"]), "line-texts"))
