@@ -57,8 +57,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
 
 
 def by_doc(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    """Join on doc_id, where null equals null; only the left doc_id stays."""
+    """Join on doc_id, where null equals null; only the left doc_id stays.
+
+    What is joined grows with the corpus, so the join is by sort and merge at every size.
+    """
     (name,) = free(docs, "_of")
-    other = other.withColumnRenamed("doc_id", name)
+    other = other.withColumnRenamed("doc_id", name).hint("merge")
     joined = docs.join(other, F.col("doc_id").eqNullSafe(F.col(name)), how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(name)
