@@ -137,7 +137,6 @@ def summarize_jobs(rows: DataFrame) -> DataFrame:
 # -- language ------------------------------------------------------------------
 
 BUCKETS = 32_768
-MAX_LANGUAGES = 200
 UNDETERMINED = "und"
 
 
@@ -145,8 +144,8 @@ UNDETERMINED = "und"
 class LanguageModel:
     """Naive Bayes over hashed letter trigrams (after Lui and Baldwin's langid.py).
 
-    ``weights`` is BUCKETS x languages: its size is fixed, whatever it was trained on, so
-    it may travel to every task.
+    ``weights`` is BUCKETS x languages, 256 KiB for each language of the samples and no more
+    for more rows, so it may travel to every task.
     """
 
     languages: list[str]
@@ -179,11 +178,9 @@ def train_languages(samples: DataFrame) -> LanguageModel:
 
     rows = spread(samples.select("text", "lang").where("lang is not null"), "text")
     counts = rows.mapInPandas(count, "lang string, bucket long, n long")
-    merged = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES * BUCKETS + 1)
+    merged = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = merged.toPandas()  # at most BUCKETS rows per language
     languages = sorted(table["lang"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError("too many languages")
     n = np.zeros((BUCKETS, len(languages)))
     n[table["bucket"].to_numpy(), [languages.index(x) for x in table["lang"]]] = table["n"].to_numpy()
     return LanguageModel(languages, np.log(n + 1.0) - np.log(n.sum(axis=0) + BUCKETS))

@@ -53,6 +53,8 @@ def redact_json(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
             return json.dumps(scrub(json.loads(text)), ensure_ascii=False)
         except ValueError:
             return text
+        except RecursionError:
+            return '"[REDACTED]"'  # nested beyond what can be read: nothing of it is shown
 
     for batch in rows:
         yield batch.map(one)

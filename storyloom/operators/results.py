@@ -41,34 +41,62 @@ def job_errors(value: str = "value") -> Column:
     def string(path: str) -> Column:
         return bad(path[2:], _kind(doc, path) == "STRING")
 
-    def nullable(path: str, *kinds: str) -> Column:
-        return bad(path[2:], _kind(doc, path).isin("VOID", *kinds))
+    def given(path: str) -> Column:
+        return F.trim(F.get_json_object(text, path))
 
-    def optional(path: str, *kinds: str) -> Column:
-        return bad(path[2:], F.coalesce(_kind(doc, path), F.lit("VOID")).isin("VOID", *kinds))
+    def number(path: str) -> Column:
+        kind = _kind(doc, path)
+        return kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | F.startswith(kind, F.lit("DECIMAL"))
+
+    def integer(path: str) -> Column:
+        """A whole number, also as text or with a zero fraction."""
+        whole = given(path).rlike(r"^[+-]?[0-9]+(\.0*)?([eE]\+?[0-9]+)?$")
+        return (_kind(doc, path) == "BOOLEAN") | ((number(path) | (_kind(doc, path) == "STRING")) & whole)
+
+    def real(path: str) -> Column:
+        return number(path) | ((_kind(doc, path) == "STRING") & given(path).try_cast("double").isNotNull())
+
+    def flag(path: str) -> Column:
+        words = F.lower(given(path)).isin("0", "1", "true", "false", "yes", "no", "on", "off", "t", "f", "y", "n")
+        return (_kind(doc, path) == "BOOLEAN") | ((integer(path) | (_kind(doc, path) == "STRING")) & words)
+
+    def strings(path: str) -> Column:
+        items = F.from_json(F.get_json_object(text, path), "array<variant>")
+        return F.startswith(_kind(doc, path), F.lit("ARRAY")) & F.forall(items, lambda v: F.schema_of_variant(v) == "STRING")
+
+    def nullable(path: str, rule: Column) -> Column:
+        """The key must be there; null is allowed."""
+        return bad(path[2:], (_kind(doc, path) == "VOID") | rule)
+
+    def optional(path: str, rule: Column, null: bool = True) -> Column:
+        kind = _kind(doc, path)
+        return bad(path[2:], kind.isNull() | ((kind == "VOID") & F.lit(null)) | rule)
 
     def record(path: str) -> Column:
         return F.startswith(_kind(doc, path), F.lit("OBJECT"))
 
     has_hints, has_metrics = record("$.hints"), record("$.metrics")
     language = F.length(F.get_json_object(text, "$.article.language"))
-    version = F.coalesce(F.get_json_object(text, "$.schema_version").try_cast("int"), F.lit(schemas.SCHEMA_VERSION))
+    version = given("$.schema_version").try_cast("double") == schemas.SCHEMA_VERSION
     rules = [
         bad("json", doc.isNotNull()),
         string("$.trace_id"),
         *[string(f"$.story.{c}") for c in ("id", "source", "title", "url", "domain", "created_at")],
-        nullable("$.story.hn_id", "BIGINT"),
+        nullable("$.story.hn_id", integer("$.story.hn_id")),
         string("$.article.id"),
         bad("article.language", (_kind(doc, "$.article.language") == "STRING") & language.between(2, 5)),
-        nullable("$.article.word_count", "BIGINT"),
-        *[optional(f"$.article.{c}", "BOOLEAN") for c in ("is_pdf", "is_paywalled")],
-        *[optional(f"$.article.{c}", "STRING") for c in ("text_head", "text_tail")],
+        nullable("$.article.word_count", integer("$.article.word_count")),
+        *[optional(f"$.article.{c}", flag(f"$.article.{c}")) for c in ("is_pdf", "is_paywalled")],
+        *[optional(f"$.article.{c}", _kind(doc, f"$.article.{c}") == "STRING") for c in ("text_head", "text_tail")],
+        optional("$.article.headings", strings("$.article.headings")),
         bad("hints", (_kind(doc, "$.hints") == "VOID") | has_hints),
-        F.when(has_hints, nullable("$.hints.source_reputation", "BIGINT", "DOUBLE", "DECIMAL(1,1)", "DECIMAL(2,1)", "DECIMAL(2,2)")),
+        F.when(has_hints, nullable("$.hints.source_reputation", real("$.hints.source_reputation"))),
+        F.when(has_hints, optional("$.hints.candidate_tags", strings("$.hints.candidate_tags"))),
         bad("metrics", (_kind(doc, "$.metrics") == "VOID") | has_metrics),
-        *[F.when(has_metrics, nullable(f"$.metrics.{c}", "BIGINT")) for c in ("points", "comments")],
-        F.when(has_metrics, nullable("$.metrics.captured_at", "STRING")),
-        bad("schema_version", version == schemas.SCHEMA_VERSION),
+        *[F.when(has_metrics, nullable(f"$.metrics.{c}", integer(f"$.metrics.{c}"))) for c in ("points", "comments")],
+        F.when(has_metrics, nullable("$.metrics.captured_at", _kind(doc, "$.metrics.captured_at") == "STRING")),
+        optional("$.attempt", integer("$.attempt"), null=False),
+        optional("$.schema_version", integer("$.schema_version") & version, null=False),
     ]
     return F.array_compact(F.array(*rules))
 

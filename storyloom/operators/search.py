@@ -237,7 +237,7 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, k: int = 30, constant: int =
     A hit found by both is labelled hybrid. Each list already holds at most k rows
     per query.
     """
-    k = max(1, min(MAX_K, int(k)))
+    k = max(1, int(k))
     both = lexical.select("query_id", "id", "rank", F.lit("lexical").alias("kind")).unionByName(
         semantic.select("query_id", "id", "rank", F.lit("semantic").alias("kind"))
     )

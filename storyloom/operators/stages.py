@@ -25,7 +25,8 @@ def ingest_stage(items: DataFrame) -> dict[str, DataFrame]:
         {"id": F.sha2(F.concat(F.lit("hn:"), "hn_id"), 256), "domain": U.host_domain(F.col("url"))}
     )
     jobs = ingest.jobs_of(stories)
-    only_text = stories.where("url is null and length(text) > 0")
+    # an empty URL is none
+    only_text = stories.where("coalesce(length(url), 0) = 0 and length(text) > 0")
     return {
         "story": stories.drop("text"),
         "job": jobs,
@@ -44,13 +45,15 @@ def scrape_stage(jobs: DataFrame, bodies: DataFrame, language: Column, now_ms: C
     """
     decoded = ingest.decode_jobs(jobs)
     good = decoded.where("reason is null").select(
-        "value", "job.trace_id", "job.attempt", F.col("job.story").alias("story"),
+        "value", "job", "job.trace_id", "job.attempt", F.col("job.story").alias("story"),
         U.canonical_url(F.col("job.story.url")).alias("url"),
     )
     bad = decoded.where("reason is not null").select("reason", "value")
     wanted = good.select("url").distinct()
     landed = bodies.withColumn("url", U.canonical_url(F.col("url"))).join(wanted, "url", "left_semi")
-    one = F.min_by(F.struct("status", "content_type", "html"), F.xxhash64("html")).alias("b")
+    # of several bodies of one page a fetched one is read, whatever failed before
+    worse = ingest.status_class(F.col("status")).isin("retryable", "permanent")
+    one = F.min_by(F.struct("status", "content_type", "html"), F.struct(F.coalesce(worse, F.lit(False)), F.xxhash64("html"))).alias("b")
     pages = landed.groupBy("url").agg(one).select("url", "b.*")
     words = T.word_count(F.col("text"))
     fetched = extract.read_pages(pages, "url", keep=["status", "content_type", "html"]).select(
@@ -74,6 +77,9 @@ def scrape_stage(jobs: DataFrame, bodies: DataFrame, language: Column, now_ms: C
     state = F.when(F.col("route") == "FETCH_RETRY", ingest.scrape_retry(F.col("attempt"), F.col("trace_id"), now_ms))
     failed = done.where("route <> 'ok'").withColumn("s", state)
     again = F.coalesce(F.col("s.route") == "retry", F.lit(False))
+    # the job that comes back counts its attempts and says when it is due
+    next_try = F.col("job").withField("attempt", F.col("s.attempt")).withField("visible_at", F.col("s.visible_at"))
+    next_value = F.to_json(next_try, {"ignoreNullFields": "false"})
     dead = failed.where(~again).select(F.col("route").alias("reason"), "value").unionByName(bad)
     return {
         "article": rows.groupBy("content_hash").agg(
@@ -81,7 +87,7 @@ def scrape_stage(jobs: DataFrame, bodies: DataFrame, language: Column, now_ms: C
         ).select("content_hash", "a.*"),
         "link": rows.select(F.col("id").alias("story_id"), "article_id", "domain", "author"),
         "summarize_job": extract.summarize_jobs(rows),
-        "retry": failed.where(again).select("trace_id", "s.attempt", "s.visible_at", "value"),
+        "retry": failed.where(again).select("trace_id", "s.attempt", "s.visible_at", next_value.alias("value")),
         "dead": dead,
     }
 

@@ -7,34 +7,34 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_K = 100
-QUERY_BLOCK = 1024  # query vectors one task holds at a time
-BASE_BLOCK = 65_536  # base vectors one group holds when both sides are blocked
+QUERY_BLOCK = 1024  # query vectors that one pass over the base carries
 CELLS = 100
-MAX_MODELS = 1000
 HIT = "query_id long, id long, distance double"
 
 
 def _nearest(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of one block for each query, ties by id."""
-    out_q, out_i, out_d = [], [], []
-    for query_id, q in zip(query_ids, queries):
-        diff = base - q
+    """The k nearest rows of one block for each query, ties by id.
+
+    One matrix product ranks the block roughly; what can be among the k nearest is
+    measured exactly.
+    """
+    take, out = min(k, len(base)), []
+    size, own = np.einsum("ij,ij->i", base, base), np.einsum("ij,ij->i", queries, queries)
+    rough = own[:, None] + size[None, :] - 2 * queries @ base.T
+    edge = np.partition(rough, take - 1, axis=1)[:, take - 1]
+    slack = 1e-9 * (own + size.max() + 1)
+    for n, q in enumerate(queries):
+        near = np.flatnonzero(rough[n] <= edge[n] + slack[n])
+        diff = base[near] - q
         dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-        if len(dist) > k:
-            # everything up to the k-th distance, so equal distances stay for the tie rule
-            near = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
-        else:
-            near = np.arange(len(dist))
-        near = near[np.lexsort((ids[near], dist[near]))][:k]
-        out_q.extend([query_id] * len(near))
-        out_i.extend(ids[near])
-        out_d.extend(dist[near])
-    return pd.DataFrame({"query_id": out_q, "id": out_i, "distance": out_d})
+        best = np.lexsort((ids[near], dist))[:k]
+        out.append(pd.DataFrame({"query_id": query_ids[n], "id": ids[near][best], "distance": dist[best]}))
+    return pd.concat(out)
 
 
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
@@ -57,12 +57,13 @@ def _scan(query_ids: np.ndarray, queries: np.ndarray, k: int, probes: np.ndarray
             if probes is None:
                 found = [_nearest(ids, base, query_ids, queries, k)]
             else:
-                cells = batch["cell"].to_numpy()
                 found = []
-                for n in range(len(query_ids)):
-                    rows = probes[n, cells]
-                    if rows.any():
-                        found.append(_nearest(ids[rows], base[rows], query_ids[n : n + 1], queries[n : n + 1], k))
+                cells = batch["cell"].to_numpy()
+                for cell in np.unique(cells):
+                    asked = np.flatnonzero(probes[:, cell])
+                    if len(asked):
+                        rows = cells == cell
+                        found.append(_nearest(ids[rows], base[rows], query_ids[asked], queries[asked], k))
             if found:
                 best = pd.concat(([] if best is None else [best]) + found)
                 best = best.sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
@@ -72,62 +73,53 @@ def _scan(query_ids: np.ndarray, queries: np.ndarray, k: int, probes: np.ndarray
     return run
 
 
-def _pair(k: int) -> Callable:
-    """Search of one query block in one base block."""
-    def run(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(base) or not len(queries):
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        q = np.stack(queries["vector"].to_numpy()).astype("float64")
-        return _nearest(base["id"].to_numpy(), _matrix(base["vector"], q.shape[1]), queries["query_id"].to_numpy(), q, k)
+def _top(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    return run
 
+def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries, QUERY_BLOCK at a time and of one length each."""
+    by_length: dict[int, list] = {}
+    for r in queries.select("query_id", "vector").toLocalIterator():
+        if r.vector is None or None in r.vector:
+            continue
+        held = by_length.setdefault(len(r.vector), [])
+        held.append(r)
+        if len(held) == QUERY_BLOCK:
+            yield _arrays(by_length.pop(len(r.vector)))
+    for held in by_length.values():
+        yield _arrays(held)
 
-def _blocked(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact search when the queries do not fit one task: both sides in bounded blocks.
 
-    Every (query block, base block) pair is one group of bounded size which emits k rows
-    per query, whatever the distribution of the vectors.
-    """
-    n_base = max(1, -(-base.count() // BASE_BLOCK))
-    n_query = max(1, -(-queries.count() // QUERY_BLOCK))
+def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r.query_id for r in rows], dtype="int64"), np.array([r.vector for r in rows], dtype="float64")
 
-    def block(df: DataFrame, n: int, name: str):
-        return df.withColumn(name, F.pmod(F.xxhash64(df.columns[0]), F.lit(n)))
 
-    left = block(base.select("id", "vector"), n_base, "b").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)).cast("array<long>")))
-    right = block(queries.select("query_id", "vector"), n_query, "q").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_base - 1)).cast("array<long>")))
+def _of_length(base: DataFrame, n: int) -> DataFrame:
+    """Vectors that can be compared: of the queries' length, without null components."""
+    return base.where((F.size("vector") == n) & F.forall("vector", lambda x: x.isNotNull()))
 
-    return left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInPandas(_pair(k), HIT)
 
-
-def _top(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _small(queries: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Query ids and vectors when at most QUERY_BLOCK rows, else None."""
-    rows = queries.select("query_id", "vector").limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        return None
-    vectors = np.array([r.vector for r in rows], dtype="float64") if rows else np.empty((0, 0))
-    return np.array([r.query_id for r in rows], dtype="int64"), vectors
+def _union(parts: list[DataFrame], base: DataFrame) -> DataFrame:
+    out = base.sparkSession.createDataFrame([], HIT)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact k nearest: ``query_id, rank, id, distance``.
 
-    ``base``: id, vector; ``queries``: query_id, vector. Few queries travel to the data:
-    one scan, each task keeps k rows per query. More queries take the blocked way.
+    ``base``: id, vector; ``queries``: query_id, vector. Queries travel to the data, a block
+    at a time: one scan of the base for each QUERY_BLOCK of them, in which each task keeps k
+    rows per query. The base is neither copied nor shuffled. Only vectors of the query's
+    length are compared. For query sets that grow with the data use ``knn_cells``.
     """
-    k = max(1, min(MAX_K, int(k)))
-    few = _small(queries)
-    if few is None:
-        return _top(_blocked(base, queries, k), k)
-    if not len(few[0]):
-        return _top(base.sparkSession.createDataFrame([], HIT), k)
-    return _top(base.select("id", "vector").mapInPandas(_scan(*few, k), HIT), k)
+    k = max(1, int(k))
+    rows = base.select("id", "vector")
+    parts = [_of_length(rows, v.shape[1]).mapInPandas(_scan(i, v, k), HIT) for i, v in _blocks(queries)]
+    return _top(_union(parts, base), k)
 
 
 # -- inverted cells ------------------------------------------------------------
@@ -155,49 +147,23 @@ def _nearest_cells(vectors: np.ndarray, centers: np.ndarray, nprobe: int) -> np.
     return np.argsort(gaps, axis=1, kind="stable")[:, :nprobe]
 
 
-def _blocked_cells(celled: DataFrame, centers: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """The cell search for many queries: groups of one cell, cut into bounded blocks."""
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                found = _nearest_cells(_matrix(batch["vector"], centers.shape[1]), centers, nprobe)
-                yield batch.assign(cell=list(found.astype("int32"))).explode("cell")
-
-    largest = celled.groupBy("cell").count().agg(F.max("count")).first()[0] or 1
-    n_base, n_query = -(-largest // BASE_BLOCK), max(1, -(-queries.count() // QUERY_BLOCK))
-    probed = queries.selectExpr("CAST(query_id AS long) AS query_id", "vector").mapInPandas(
-        probe, "query_id long, vector array<double>, cell int"
-    )
-    left = celled.select("id", "vector", F.col("cell").cast("int").alias("cell")).withColumns(
-        {"b": F.pmod(F.xxhash64("id"), F.lit(n_base)), "q": F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)).cast("array<long>"))}
-    )
-    right = probed.withColumns(
-        {"q": F.pmod(F.xxhash64("query_id"), F.lit(n_query)), "b": F.explode(F.sequence(F.lit(0), F.lit(n_base - 1)).cast("array<long>"))}
-    )
-    keys = ["cell", "q", "b"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_pair(k), HIT)
-
-
 def knn_cells(celled: DataFrame, centers: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
     """Approximate k nearest among the ``nprobe`` cells closest to each query.
 
-    For few queries rows are filtered where they are scanned, so no cell is gathered in
-    one task; many queries take the blocked way. With ``nprobe`` = all cells the answer
-    is the exact one.
+    Rows are filtered where they are scanned, so no cell is gathered in one task, and only
+    the probed cells of a stored table are read. With ``nprobe`` = all cells the answer is
+    the exact one.
     """
-    k = max(1, min(MAX_K, int(k)))
-    few = _small(queries)
-    if few is None:
-        return _top(_blocked_cells(celled, centers, queries, k, nprobe), k)
-    query_ids, vectors = few
-    if not len(query_ids):
-        return _top(celled.sparkSession.createDataFrame([], HIT), k)
-    nearest = _nearest_cells(vectors, centers, nprobe)
-    probes = np.zeros((len(query_ids), len(centers)), dtype=bool)
-    np.put_along_axis(probes, nearest, True, axis=1)
-    wanted = sorted({int(c) for c in nearest.ravel()})
-    rows = celled.where(F.col("cell").isin(wanted)).select("id", "vector", "cell")
-    return _top(rows.mapInPandas(_scan(query_ids, vectors, k, probes), HIT), k)
+    k, parts = max(1, int(k)), []
+    for query_ids, vectors in _blocks(queries):
+        if vectors.shape[1] != centers.shape[1]:
+            continue
+        nearest = _nearest_cells(vectors, centers, nprobe)
+        probes = np.zeros((len(query_ids), len(centers)), dtype=bool)
+        np.put_along_axis(probes, nearest, True, axis=1)
+        rows = celled.where(F.col("cell").isin(sorted({int(c) for c in nearest.ravel()}))).select("id", "vector", "cell")
+        parts.append(_of_length(rows, centers.shape[1]).mapInPandas(_scan(query_ids, vectors, k, probes), HIT))
+    return _top(_union(parts, celled), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -212,13 +178,9 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def _dimensions(embedding: DataFrame, models: DataFrame) -> DataFrame:
-    """``article_id, model_key, size, dimensions``; a small registry becomes a literal map."""
+    """``article_id, model_key, size, dimensions``."""
     sized = embedding.select("article_id", "model_key", F.size("vector").alias("size"))
-    rows = models.select("key", "dimensions").limit(MAX_MODELS + 1).collect()
-    if len(rows) > MAX_MODELS:
-        return sized.join(models.select(F.col("key").alias("model_key"), "dimensions"), "model_key", "left")
-    known = F.create_map(*[F.lit(x) for r in rows for x in (r.key, r.dimensions)]).cast("map<string,int>")
-    return sized.withColumn("dimensions", F.try_element_at(known, F.col("model_key")))
+    return sized.join(models.select(F.col("key").alias("model_key"), "dimensions"), "model_key", "left")
 
 
 def embedding_check(embedding: DataFrame, models: DataFrame) -> DataFrame:
@@ -237,8 +199,6 @@ def embedding_check(embedding: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def centroids(vectors: DataFrame, label: str) -> DataFrame:
-    """Mean vector per label: ``query_id, vector``; averages combine on the map side."""
-    parts = vectors.select(F.col(label).alias("query_id"), F.posexplode("vector").alias("i", "x"))
-    means = parts.groupBy("query_id", "i").agg(F.avg("x").alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
-    return means.groupBy("query_id").agg(F.transform(ordered, lambda p: p["x"]).alias("vector"))
+    """Mean vector per label: ``query_id, vector``; sums combine on the map side."""
+    mean = vector_to_array(Summarizer.mean(array_to_vector("vector")))
+    return vectors.groupBy(F.col(label).alias("query_id")).agg(mean.alias("vector"))

@@ -37,6 +37,23 @@ def knn_exact(e):
     return out.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
+@query("knn_deep", f"WITH {KNN.format(k=150)} SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INT) AS rank, id, round(d, 6) AS distance FROM knn")
+def knn_deep(e):
+    out = vectors.knn(base(e), centers(e), 150)
+    return out.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
+@query("knn_every_row", """
+    SELECT query_id, CAST(rank AS INT) AS rank, id, round(d, 6) AS distance FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (
+            SELECT q.vec_id AS query_id, e.vec_id AS id, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d
+            FROM embeddings q, embeddings e)) WHERE rank <= 3""")
+def knn_every_row(e):
+    rows = base(e)
+    out = vectors.knn(rows, rows.select(F.col("id").alias("query_id"), "vector"), 3)
+    return out.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
 def _cells(e):
     rows = base(e)
     model = vectors.fit_cells(rows)

@@ -30,10 +30,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach; the cluster names it in the session.
 
-    Only where nothing is set (unit tests on one machine) a temporary folder is used.
+    Only in a session on one machine (unit tests) an unset name falls back to a temporary
+    folder; on a cluster that folder would be another one on each executor.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="storyloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -37,7 +37,6 @@ def test_exact(data):
 def test_blocked(data, monkeypatch):
     b, q, want = data
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(vectors, "BASE_BLOCK", 90)
     assert ids(vectors.knn(b, q, 5)) == want
 
 
@@ -52,7 +51,6 @@ def test_cells(data, monkeypatch):
     assert share > 0.6
     narrow = ids(few)
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(vectors, "BASE_BLOCK", 20)
     assert ids(vectors.knn_cells(celled, centers, q, 5, nprobe=10)) == want
     assert ids(vectors.knn_cells(celled, centers, q, 5, nprobe=4)) == narrow
 
