@@ -5,12 +5,14 @@ passage is ``2 * s`` words, one starting every ``s`` words, with ``s`` the lengt
 longest item, so each copy of an item lies whole in some passage. Item impacts are BM25
 weights divided by the item's score for itself: a passage with the whole item scores 1.
 
-Block-max WAND, in arrays: (1) a passage can only reach the threshold for an item if it holds
-one of the item's essential terms, those left when its lightest terms that sum to less than
-the threshold are put aside; other passages are skipped. (2) Items stand in blocks of
-``BLOCK``; the sum of the block maxima of a passage's terms bounds every score in the block.
-(3) Only in blocks whose bound reaches the threshold are postings read and items scored. All
-items above the threshold are retrieved and verified by word shingles of question and answer.
+Block-max WAND, in arrays: (1) the lightest terms of an item that together stay below
+``SPARE`` are put aside; the others are its essential terms. The lists of essential terms are
+read for all passages of a text at once, and a passage goes on with an item only if what it
+has there and all that was put aside reach the threshold together. (2) Items stand in blocks
+of ``BLOCK``; of the blocks with such items those go on where the sum of the block maxima of
+the passage's terms reaches the threshold. (3) Only there all postings are read and items
+scored. All items at or above the threshold are retrieved and verified by word shingles of
+question and answer.
 
 The index is collected in shards of at most ``SHARD_POSTINGS`` postings, one pass over the
 texts per shard, so what travels to the tasks has a fixed bound.
@@ -30,6 +32,7 @@ from storyloom.llm.common import by_doc
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
+SPARE = 0.3
 BLOCK = 32
 SHARD_POSTINGS = 4_000_000
 SHINGLE = 5
@@ -75,7 +78,9 @@ class Index:
         self.longest = 1
         rows = []
         self.terms: dict[str, int] = {}
-        essential = set()
+        self.aside = np.zeros(len(items))
+        essential: list[tuple[int, int, float]] = []
+        limit = min(SPARE, threshold) - 1e-9
         for n, (_, text) in enumerate(items):
             words = words_of(text)
             self.longest = max(self.longest, len(words))
@@ -91,12 +96,17 @@ class Index:
                 t = self.terms.setdefault(w, len(self.terms))
                 rows.append((t, n // BLOCK, n, x / own))
                 spare += x / own
-                if spare >= threshold - 1e-9:
-                    essential.add(t)
+                if spare < limit:
+                    self.aside[n] = spare
+                else:
+                    essential.append((t, n, x / own))
         rows.sort()
+        essential.sort()
         v = len(self.terms)
         self.essential = np.zeros(v + 1, bool)  # the last stands for unknown words
-        self.essential[list(essential)] = True
+        e_term, self.e_item, self.e_impact = (np.array(c) for c in zip(*essential, strict=True)) if essential else (np.zeros(0, np.int64),) * 3
+        self.essential[e_term] = True
+        self.e_entry = np.searchsorted(e_term, np.arange(v + 1))
         t, b, self.item, self.impact = (np.array(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 4
         first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (b[1:] != b[:-1])]) if rows else np.zeros(0, np.int64)
         self.start, self.size = first, np.diff(np.r_[first, len(rows)])
@@ -109,10 +119,14 @@ class Index:
     def _expand(start, size):
         return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
 
-    def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """``(item position, score)`` of every item at or above the threshold, for distinct terms."""
+    def search(self, terms: np.ndarray, items: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """``(item position, score)`` at or above the threshold for distinct terms, among the blocks of ``items``."""
         e = self._expand(self.entry[terms], self.entry[terms + 1] - self.entry[terms])
         bound = np.bincount(self.block[e], self.most[e], self.n_blocks)
+        if items is not None:
+            asked = np.zeros(self.n_blocks, bool)
+            asked[items // BLOCK] = True
+            bound[~asked] = 0
         e = e[(bound >= self.threshold - 1e-9)[self.block[e]]]
         if not len(e):
             return []
@@ -122,21 +136,39 @@ class Index:
         good = score >= self.threshold - 1e-9
         return list(zip(found[good].tolist(), score[good].tolist(), strict=True))
 
+    def candidates(self, ids: np.ndarray) -> dict[int, np.ndarray]:
+        """Per passage of a text (word ids in order) the items that its essential terms leave possible."""
+        hits = np.flatnonzero(self.essential[ids])
+        if not len(hits):
+            return {}
+        own, v = hits // self.longest, len(self.terms) + 1
+        key = own * v + ids[hits]
+        # a word stands in the passage that starts with its stretch and in the one before
+        key = np.unique(np.r_[key, key[own > 0] - v])
+        passage, term = key // v, key % v
+        n = self.e_entry[term + 1] - self.e_entry[term]
+        at = self._expand(self.e_entry[term], n)
+        both = np.repeat(passage, n) * len(self.ids) + self.e_item[at]
+        both, where = np.unique(both, return_inverse=True)
+        score = np.bincount(where, self.e_impact[at])
+        both = both[score + self.aside[both % len(self.ids)] >= self.threshold - 1e-9]
+        passage, item = both // len(self.ids), both % len(self.ids)
+        if not len(both):
+            return {}
+        cut = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+        return {int(passage[s]): item[s:e] for s, e in zip(cut, [*cut[1:], len(both)], strict=True)}
+
     def leaks(self, text: str | None) -> dict[int, tuple[float, float, float]]:
         """Verified items of a whole text: best score, overlap of question and of answer."""
         words = words_of(text)
         ids = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int32, len(words))
-        hits = np.flatnonzero(self.essential[ids])
         out: dict[int, tuple[float, float, float]] = {}
-        if not len(hits):
-            return out
         s = self.longest
-        at = np.unique(hits // s)
-        for k in np.unique(np.r_[at, np.maximum(at - 1, 0)]).tolist():
+        for k, items in self.candidates(ids).items():
             part = ids[k * s : (k + 2) * s]
             part = np.unique(part[part >= 0])
             grams: dict[int, set[str]] = {}
-            for n, score in self.search(part) if len(part) else ():
+            for n, score in self.search(part, items):
                 overlap = []
                 for size, want in self.parts[n]:
                     if size not in grams:

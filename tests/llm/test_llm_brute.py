@@ -93,6 +93,9 @@ def test_wand_equals_full_scores():
         want = {i for i, s in full.items() if s >= 0.45}
         found = dict(index.search(np.array(sorted(index.terms[w] for w in passage if w in index.terms))))
         assert set(found) == want and all(found[i] == pytest.approx(full[i]) for i in want)
+        # the essential lists leave every such item possible
+        left = index.candidates(np.array([index.terms.get(w, -1) for w in passage])).get(0, np.zeros(0))
+        assert want <= set(left.tolist())
 
 
 def test_toxicity_on_unseen_rows():
