@@ -235,82 +235,86 @@ def delete_cascade(tables: dict[str, DataFrame], stories: DataFrame, articles: D
     """Remove stories and articles with everything that depends on them.
 
     Children of an article (summaries, embeddings) and of a story (links, signals) go;
-    a surviving story whose article went loses the reference. Large keys are on the left
-    and the deleted ids are unique, so heavy articles are spread.
+    a surviving story whose article went loses the reference. Each table is read once. The
+    deleted ids are unique, so only the table's side of a join can be skewed, and that is
+    the side which the adaptive skew join splits.
     """
     gone_s = stories.select(F.col("id").alias("story_id")).distinct()
     gone_a = articles.select(F.col("id").alias("article_id")).distinct()
-    out = {"article": tables["article"].join(articles.select("id").distinct(), "id", "left_anti")}
+    out = {"article": tables["article"].join(gone_a.withColumnRenamed("article_id", "id"), "id", "left_anti")}
     for name in ("summary", "embedding"):
-        spread = "id" if "id" in tables[name].columns else "model_key"
-        out[name] = lookup(tables[name], gone_a, "article_id", "left_anti", spread=spread)
+        out[name] = tables[name].join(gone_a, "article_id", "left_anti")
     for name in ("story_tag", "story_topic", "rank_signals"):
-        df = tables[name]
-        spread = next(c for c in df.columns if c != "story_id")
-        out[name] = lookup(df, gone_s, "story_id", "left_anti", spread=spread)
-    left = tables["story"].join(stories.select("id").distinct(), "id", "left_anti")
-    marked = lookup(left, gone_a.withColumn("_gone", F.lit(True)), "article_id")
+        out[name] = tables[name].join(gone_s, "story_id", "left_anti")
+    left = tables["story"].join(gone_s.withColumnRenamed("story_id", "id"), "id", "left_anti")
+    marked = left.join(gone_a.withColumn("_gone", F.lit(True)), "article_id", "left")
     out["story"] = marked.withColumn("article_id", F.when(F.col("_gone").isNull(), F.col("article_id"))).drop("_gone")
     return out
 
 
 # -- integrity -----------------------------------------------------------------
 
+_FACTS = ("broken", "keyed", "refers", "present")
 
-def _violations(rule: str, df: DataFrame, key: Column, n: Column | None = None) -> DataFrame:
-    return df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), (F.lit(1) if n is None else n).cast("long").alias("n"))
 
+def _fact(kind: str, rule: str, key: Column, when: Column) -> Column:
+    flags = [F.lit(int(kind == f)).alias(f) for f in _FACTS]
+    return F.when(when, F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key"), *flags))
 
-def _not_in(rule: str, df: DataFrame, allowed: list[str], column: str, key: str = "id") -> DataFrame:
-    return _violations(rule, df.where(F.col(column).isNull() | ~F.col(column).isin(allowed)), F.col(key))
 
+def _allowed(rule: str, column: str, values: list[str]) -> Column:
+    return _fact("broken", rule, F.col("id"), F.col(column).isNull() | ~F.col(column).isin(values))
 
-def _repeated(rule: str, df: DataFrame, keys: list[str]) -> DataFrame:
-    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return _violations(rule, counts, F.concat_ws("/", *keys), F.col("c"))
 
+def _required(rule: str, columns: list[str]) -> Column:
+    return _fact("broken", rule, F.col("id"), F.greatest(*[F.col(c).isNull() for c in columns]) if len(columns) > 1 else F.col(columns[0]).isNull())
 
-def _orphans(rule: str, child: DataFrame, ref: str, parent: DataFrame) -> DataFrame:
-    """References without a parent, counted per reference before the join."""
-    refs = child.where(F.col(ref).isNotNull()).groupBy(ref).agg(F.count(F.lit(1)).alias("c"))
-    lost = refs.join(parent.select(F.col("id").alias(ref)), ref, "left_anti")
-    return _violations(rule, lost, F.col(ref), F.col("c"))
 
+def _unique(rule: str, *columns: str) -> Column:
+    return _fact("keyed", rule, F.concat_ws("/", *columns), F.least(*[F.col(c).isNotNull() for c in columns]) if len(columns) > 1 else F.col(columns[0]).isNotNull())
 
-def _missing(rule: str, df: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    empty = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))
-    bad = df.select(F.col(key), empty.alias("c")).where(F.size("c") > 0)
-    return _violations(rule, bad, F.col(key))
+
+def _refers(rule: str, column: str) -> Column:
+    return _fact("refers", rule, F.col(column), F.col(column).isNotNull())
+
+
+def _present(rule: str) -> Column:
+    return _fact("present", rule, F.col("id"), F.col("id").isNotNull())
 
 
 def integrity_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """All constraint violations as ``rule, key, n``."""
-    t = tables
-    parts = [
-        _not_in("story.source", t["story"], schemas.SOURCES, "source"),
-        _not_in("tag.kind", t["tag"], schemas.TAG_KINDS, "kind"),
-        _missing("story.not_null", t["story"], ["title", "created_at", "fetched_at"]),
-        _missing("article.not_null", t["article"], ["text", "content_hash"]),
-        _repeated("story.hn_id", t["story"], ["hn_id"]),
-        _repeated("story.article_id", t["story"], ["article_id"]),
-        _repeated("article.content_hash", t["article"], ["content_hash"]),
-        _repeated("summary.article_id", t["summary"], ["article_id"]),
-        _repeated("tag.slug", t["tag"], ["slug"]),
-        _repeated("topic.slug", t["topic"], ["slug"]),
-        _repeated("embedding.article_model", t["embedding"], ["article_id", "model_key"]),
-        _orphans("story.article", t["story"], "article_id", t["article"]),
-        _orphans("summary.article", t["summary"], "article_id", t["article"]),
-        _orphans("embedding.article", t["embedding"], "article_id", t["article"]),
-        _orphans("story_tag.story", t["story_tag"], "story_id", t["story"]),
-        _orphans("story_tag.tag", t["story_tag"], "tag_id", t["tag"]),
-        _orphans("story_topic.story", t["story_topic"], "story_id", t["story"]),
-        _orphans("story_topic.topic", t["story_topic"], "topic_id", t["topic"]),
-        _orphans("rank_signals.story", t["rank_signals"], "story_id", t["story"]),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """All constraint violations as ``rule, key, n``.
+
+    Every table is read once; each of its rows states facts (a broken rule, a key that must
+    be unique, a reference, a row that can be referred to). One aggregation by rule and key,
+    combined on the map side, tells repeated keys and references without a row.
+    """
+    facts = {
+        "story": [
+            _allowed("story.source", "source", schemas.SOURCES), _required("story.not_null", ["title", "created_at", "fetched_at"]),
+            _unique("story.hn_id", "hn_id"), _unique("story.article_id", "article_id"), _refers("story.article", "article_id"),
+            _present("story_tag.story"), _present("story_topic.story"), _present("rank_signals.story"),
+        ],
+        "article": [
+            _required("article.not_null", ["text", "content_hash"]), _unique("article.content_hash", "content_hash"),
+            _present("story.article"), _present("summary.article"), _present("embedding.article"),
+        ],
+        "summary": [_unique("summary.article_id", "article_id"), _refers("summary.article", "article_id")],
+        "embedding": [_unique("embedding.article_model", "article_id", "model_key"), _refers("embedding.article", "article_id")],
+        "tag": [_allowed("tag.kind", "kind", schemas.TAG_KINDS), _unique("tag.slug", "slug"), _present("story_tag.tag")],
+        "topic": [_unique("topic.slug", "slug"), _present("story_topic.topic")],
+        "story_tag": [_refers("story_tag.story", "story_id"), _refers("story_tag.tag", "tag_id")],
+        "story_topic": [_refers("story_topic.story", "story_id"), _refers("story_topic.topic", "topic_id")],
+        "rank_signals": [_refers("rank_signals.story", "story_id")],
+    }
+    out = None
+    for name, stated in facts.items():
+        part = tables[name].select(F.explode(F.array_compact(F.array(*stated))).alias("f")).select("f.*")
+        out = part if out is None else out.unionByName(part)
+    sums = out.groupBy("rule", "key").agg(*[F.sum(f).alias(f) for f in _FACTS])
+    lost = F.when(F.col("present") == 0, F.col("refers")).otherwise(0)
+    n = F.when(F.col("keyed") > 1, F.col("keyed")).otherwise(F.col("broken") + lost)
+    return sums.select("rule", "key", n.cast("long").alias("n")).where("n > 0")
 
 
 # -- table writes --------------------------------------------------------------

@@ -141,3 +141,32 @@ def test_snapshot_versions(spark, tmp_path):
     a = merge.write_snapshot(spark.range(3), str(tmp_path), "t", 1)
     b = merge.write_snapshot(spark.read.parquet(a).where("id > 0"), str(tmp_path), "t", 2)
     assert (spark.read.parquet(a).count(), spark.read.parquet(b).count()) == (3, 2)
+
+
+def test_integrity_reports_every_rule_from_one_scan_per_table(spark):
+    def frame(schema, *rows):
+        return spark.createDataFrame(list(rows), schema)
+
+    at = hours(1)
+    story = "id long, source string, title string, created_at timestamp, fetched_at timestamp, hn_id int, article_id long"
+    tables = {
+        "story": frame(story, (1, "hn", "t", at, at, 5, 10), (2, "hn", "t", at, at, 5, 10), (3, "x", "t", at, at, None, None), (4, "hn", None, at, at, 6, 99)),
+        "article": frame("id long, text string, content_hash string", (10, "a", "h"), (11, "b", "h"), (12, None, "g")),
+        "summary": frame("id string, article_id long", ("s1", 10), ("s2", 10), ("s3", 98)),
+        "embedding": frame("article_id long, model_key string", (10, "m"), (10, "m"), (97, "m")),
+        "tag": frame("id string, slug string, kind string", ("t1", "a", "tech"), ("t2", "a", "odd")),
+        "topic": frame("id string, slug string", ("p1", "a"), ("p2", "a")),
+        "story_tag": frame("story_id long, tag_id string", (1, "t1"), (96, "t1"), (1, "no")),
+        "story_topic": frame("story_id long, topic_id string", (1, "p1"), (95, "p1"), (1, "no")),
+        "rank_signals": frame("story_id long", (1,), (94,)),
+    }
+    report = merge.integrity_report(tables)
+    got = {(r.rule, r.key, r.n) for r in report.collect()}
+    assert got == {
+        ("story.hn_id", "5", 2), ("story.article_id", "10", 2), ("story.source", "3", 1), ("story.not_null", "4", 1), ("story.article", "99", 1),
+        ("article.content_hash", "h", 2), ("article.not_null", "12", 1), ("summary.article_id", "10", 2), ("summary.article", "98", 1),
+        ("embedding.article_model", "10/m", 2), ("embedding.article", "97", 1), ("tag.slug", "a", 2), ("tag.kind", "t2", 1), ("topic.slug", "a", 2),
+        ("story_tag.story", "96", 1), ("story_tag.tag", "no", 1), ("story_topic.story", "95", 1), ("story_topic.topic", "no", 1), ("rank_signals.story", "94", 1),
+    }
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == len(tables) and "Join" not in plan
