@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom import schemas
+from storyloom.functions import text as T
 from storyloom.functions import urls as U
 from storyloom.operators.skew import lookup
 
@@ -200,9 +201,14 @@ def trace_id(story_id: Column, at: Column) -> Column:
     return F.concat(F.lit("ingest-"), F.substring(F.sha2(F.concat_ws("|", story_id.cast("string"), at.cast("string")), 256), 1, 16))
 
 
+def text_article_id(text: Column) -> Column:
+    """Id of the article that a story's own text becomes: the same text is the same article."""
+    return F.concat(F.lit("a-"), T.sha1_hash(text))
+
+
 def jobs_of(stories: DataFrame) -> DataFrame:
     """Jobs each new story asks for: one scrape job with a URL; summarize, embed and tag
-    jobs with text only; none with neither."""
+    jobs with text only, which name the article of the text; none with neither."""
     def job(kind: str, route: str) -> Column:
         return F.struct(F.lit(kind).alias("job_type"), F.lit(route).alias("route"))
 
@@ -222,13 +228,10 @@ def jobs_of(stories: DataFrame) -> DataFrame:
         ),
         {"ignoreNullFields": "false"},
     )
-    other = F.to_json(
-        F.struct(
-            F.col("id").cast("string").alias("story_id"),
-            F.when(F.col("job.job_type") == "EMBED", "default").alias("model_key"),
-            F.lit(1).alias("attempt"),
-        )
-    )
+    common = [F.lit(None).cast("string").alias("job_key"), F.col("id").cast("string").alias("story_id"), text_article_id(F.col("text")).alias("article_id")]
+    plain = F.to_json(F.struct(*common, F.lit(1).alias("attempt")), {"ignoreNullFields": "false"})
+    embed = F.to_json(F.struct(*common, F.lit("default").alias("model_key"), F.lit(1).alias("attempt")), {"ignoreNullFields": "false"})
+    other = F.when(F.col("job.job_type") == "EMBED", embed).otherwise(plain)
     return out.withColumn("trace_id", trace_id(F.col("id"), F.col("created_at"))).select(
         F.col("id").alias("story_id"),
         "job.job_type",

@@ -32,7 +32,7 @@ def ingest_stage(items: DataFrame) -> dict[str, DataFrame]:
         "job": jobs,
         "article": only_text.select(
             F.col("id").alias("story_id"), F.lit("en").alias("language"), "text", T.word_count_js(F.col("text")).alias("word_count"),
-            T.sha1_hash(F.col("text")).alias("content_hash"), "seq",
+            T.sha1_hash(F.col("text")).alias("content_hash"), ingest.text_article_id(F.col("text")).alias("article_id"), "seq",
         ),
     }
 

@@ -143,6 +143,19 @@ def job_fanout(e):
     )
 
 
+@query("text_jobs", """
+    SELECT seq AS story_id, t.job_type,
+           CASE WHEN t.job_type = 'EMBED'
+                THEN '{"job_key":null,"story_id":"' || seq || '","article_id":"a-' || h || '","model_key":"default","attempt":1}'
+                ELSE '{"job_key":null,"story_id":"' || seq || '","article_id":"a-' || h || '","attempt":1}' END AS value
+    FROM (SELECT *, sha1(regexp_replace(trim(text, E' \\t\\n\\r'), '\\s+', ' ', 'g')) AS h FROM fx_item
+          WHERE type = 'story' AND coalesce(url, '') = '' AND text <> ''),
+         LATERAL (SELECT unnest(['SUMMARIZE', 'EMBED', 'TAG']) AS job_type) t""")
+def text_jobs(e):
+    out = ingest.jobs_of(ingest.items_to_stories(e.item()).withColumn("id", F.col("seq")))
+    return out.where("route = 'queue'").select("story_id", "job_type", "value")
+
+
 JOB_REASON = """CASE WHEN broken THEN 'BAD_JSON' WHEN story_id IS NULL THEN 'BAD_PAYLOAD' WHEN url IS NULL THEN 'NO_URL' END"""
 
 

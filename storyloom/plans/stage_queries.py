@@ -46,3 +46,33 @@ def stages_end_to_end(e):
         part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("retry_twice", f"""
+    WITH j AS (SELECT page_id, url FROM pages WHERE url LIKE 'http%'), first AS (
+        SELECT 't' || page_id AS trace_id, page_id % 3 AS kind FROM j)
+    SELECT trace_id, CASE kind WHEN 0 THEN 'article' WHEN 1 THEN 'dead' ELSE 'dead' END AS fate,
+           CAST(CASE kind WHEN 2 THEN 1 ELSE 0 END AS INT) AS passes FROM first""")
+def retry_twice(e):
+    """Every third page is fetched, fails for good, or fails twice: the second failure is dead."""
+    pages = e.t.pages.where("url like 'http%'")
+    status = F.element_at(F.array(F.lit(200), F.lit(404), F.lit(503)), (F.col("page_id") % 3 + 1).cast("int"))
+    host = F.concat(F.lit("https://retry.example.com/"), F.col("page_id"))
+    bodies = pages.select(host.alias("url"), status.alias("status"), F.lit("text/html").alias("content_type"), F.concat(F.lit("<p>"), host).alias("html"))
+    none = F.lit(None).cast("string")
+    story = F.struct(
+        F.col("page_id").cast("string").alias("id"), F.lit(None).cast("int").alias("hn_id"), F.lit("hn").alias("source"), F.lit("t").alias("title"),
+        host.alias("url"), none.alias("domain"), none.alias("author"), F.lit("2024-01-01T00:00:00.000Z").alias("created_at"),
+    )
+    job = F.struct(F.concat(F.lit("t"), "page_id").alias("trace_id"), story.alias("story"), F.lit(0).alias("attempt"), F.lit(1).alias("schema_version"))
+    jobs = pages.select(F.to_json(job, {"ignoreNullFields": "false"}).alias("value"))
+    first = stages.scrape_stage(jobs, bodies, F.lit("en"), F.lit(NOW_MS))
+    second = stages.scrape_stage(first["retry"].select("value"), bodies, F.lit("en"), F.lit(NOW_MS))
+    trace = F.get_json_object("value", "$.trace_id")
+    out = None
+    for passes, step in enumerate((first, second)):
+        made = step["summarize_job"].select(trace.alias("trace_id"), F.lit("article").alias("fate"))
+        ended = step["dead"].select(trace.alias("trace_id"), F.lit("dead").alias("fate"))
+        part = made.unionByName(ended).withColumn("passes", F.lit(passes))
+        out = part if out is None else out.unionByName(part)
+    return out
