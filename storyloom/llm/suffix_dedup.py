@@ -37,10 +37,10 @@ WINDOW = 50
 GRAM = 16
 _PLACE = np.uint64(24)  # low bits that hold a place in a chunk of at most 2**24 bytes
 #: Candidate bytes that a task sorts at a time.
-FLUSH_BYTES = 16_000_000
+FLUSH_BYTES = 4_000_000
 #: Documents read for the splitters.
 SPLITTER_DOCS = 2_000
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 2_500_000
 _UNITS = 1 << 30
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -91,10 +91,10 @@ class Chunk:
         return self.windows[self._first[chosen]], (ends - self._first)[chosen]
 
 
-def _chunks(texts, limit: int = 1 << 22):
-    """``(numbers, Chunk)`` of about ``limit`` bytes; a text longer than a chunk's bound is cut with an overlap."""
+def _chunks(texts, limit: int = 1 << 20):
+    """``(numbers, Chunk)`` of at most ``limit`` bytes; a longer text is cut, its parts overlap by 49 bytes."""
     held, numbers, size = [], [], 0
-    most = (1 << 24) - 1
+    most = limit
     for i, t in enumerate(texts):
         for at in range(0, max(1, len(t) - WINDOW + 1), most - WINDOW + 1):
             part = t[at : at + most]

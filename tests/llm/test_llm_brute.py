@@ -201,9 +201,11 @@ def test_suffix_dedup(spark, folder, docs):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
 
 
-def test_suffix_dedup_planted(spark):
+def test_suffix_dedup_planted(spark, monkeypatch):
     import hashlib
 
+    monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", 500)
+    monkeypatch.setattr(suffix_dedup._chunks, "__defaults__", (700,))
     rng = np.random.default_rng(11)
     passage, other = rng.bytes(180).hex(), "été " * 40
     texts = [(i, rng.bytes(40).hex() + (passage if i % 3 else "") + rng.bytes(30).hex() + (other if i % 2 else "")) for i in range(60)]
