@@ -15,9 +15,9 @@ can start a repeat are sorted here:
    agree so far are split by the next word, runs of one are left out. In each final run the
    smallest doc_id keeps the string.
 
-Every task first does step 3 on its own texts and sends only what it could not decide, one
-string of each kind; a string that stands in a third of all documents thus reaches its
-bucket once for each task. Equal texts are found beforehand by digest, and only the smallest
+Every task first does step 3 on its own texts and sends only what it could not decide, each
+string from one document; a string that stands in a third of all documents thus reaches its
+bucket from one document for each batch of texts. Equal texts are found beforehand by digest, and only the smallest
 doc_id of each goes through the steps.
 """
 
@@ -149,26 +149,19 @@ class Segments:
         self.bytes += len(data)
 
     def judge(self):
-        """Per string: segment, place in its text, and whether a smaller doc_id has it; doubles of one doc_id are left open once."""
+        """Per string: segment, place in its text, and whether a smaller doc_id has it."""
         doc, start, n = (np.concatenate(x) for x in (self.doc, self.start, self.n))
         buf = np.concatenate(self.data)
         base = np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1)
         seg = np.repeat(np.arange(len(n)), n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         order, new = equal_windows(buf, base[seg] + inner)
-        lost, closed = np.zeros(len(seg), bool), np.zeros(len(seg), bool)
+        lost = np.zeros(len(seg), bool)
         if len(order):
             first = np.flatnonzero(new)
-            run = np.cumsum(new) - 1
             owner = doc[seg[order]]
-            least = np.minimum.reduceat(owner, first)
-            lost[order] = owner > least[run]
-            # of the strings of the least doc_id one goes on
-            keep = np.flatnonzero(owner == least[run])
-            once = keep[np.r_[True, run[keep][1:] != run[keep][:-1]]]
-            closed[order] = True
-            closed[order[once]] = False
-        return doc, start, buf, base, seg, inner, lost, closed
+            lost[order] = owner > np.minimum.reduceat(owner, first)[np.cumsum(new) - 1]
+        return doc, start, buf, base, seg, inner, lost
 
 
 def _spans(doc, place, lost) -> dict[int, np.ndarray]:
@@ -323,14 +316,14 @@ def removed_windows(docs: DataFrame, reps: DataFrame, n_docs: int, n_bytes: int)
     texts = packed_texts(docs).join(wanted.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of")).select("doc_id", "z", "hashes")
 
     def decide(segments: Segments, lead: bool):
-        doc, start, buf, base, seg, inner, lost, closed = segments.judge()
+        doc, start, buf, base, seg, inner, lost = segments.judge()
         place = start[seg] + inner
         for d, places in _spans(doc[seg], place, lost).items():
             yield d, _runs_of(places).tobytes()
         if not lead:
             return
-        # undecided strings go on as runs
-        at = np.flatnonzero(~closed)
+        # undecided strings go on as runs, each place of the smallest doc_id that has them here
+        at = np.flatnonzero(~lost)
         cut = np.flatnonzero(np.r_[True, (seg[at][1:] != seg[at][:-1]) | (np.diff(at) != 1)]) if len(at) else at
         if not len(at):
             return
