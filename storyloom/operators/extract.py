@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,39 +26,86 @@ REPUTATION = 0.5
 # -- decoding ------------------------------------------------------------------
 
 
-def guess_text(body: bytes) -> str:
-    """Text of a body that is no valid UTF-8: byte-order mark, then detection when the
-    detector is installed, then one-byte Latin, then UTF-8 without the bad bytes."""
+_DECLARED = re.compile(rb"<(?:meta|\?xml)[^>]{0,400}?(?:charset|encoding)\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.I)
+_HIGH_RUNS = re.compile(rb"[\x80-\xff]+")
+# Letters by which a decoded text shows its script.
+_KANA = re.compile("[\u3040-\u30ff]")
+_HAN = re.compile("[\u4e00-\u9fff]")
+_HANGUL = re.compile("[\uac00-\ud7af]")
+
+
+def _decoded(body: bytes, charset: str) -> str | None:
+    try:
+        return body.decode(charset)
+    except (LookupError, UnicodeDecodeError):
+        return None
+
+
+def _many_byte(body: bytes) -> str | None:
+    """East Asian text: the first encoding whose strict reading is mostly letters of its script.
+
+    Japanese needs kana, Korean needs Hangul; almost anything reads as Han, so it comes last.
+    """
+    for charset, script in (("shift_jis", _KANA), ("euc_jp", _KANA), ("euc_kr", _HANGUL), ("gb18030", _HAN), ("big5", _HAN)):
+        text = _decoded(body, charset)
+        if text is None:
+            continue
+        other = sum(ord(c) > 127 for c in text)
+        fitting = len(script.findall(text)) + (len(_HAN.findall(text)) if script is _KANA and script.search(text) else 0)
+        if other and fitting > 0.5 * other:
+            return text
+    return None
+
+
+def guess_text(body: bytes, declared: str | None = None) -> str:
+    """Text of a body that is no valid UTF-8.
+
+    In this order: byte-order mark, the declared charset (of the header, then of the page
+    itself), East Asian encodings that read as such, one-byte Cyrillic or Greek where most
+    letters stand in runs beyond ASCII, one-byte Latin, UTF-8 without the bad bytes.
+    """
     for mark, name in ((b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if body.startswith(mark):
             return body.decode(name, errors="ignore")
-    odd = sum(b < 9 or 13 < b < 32 for b in body)
-    if not odd:
-        try:
-            return body.decode("cp1252")
-        except UnicodeDecodeError:
-            pass
-    try:
-        from charset_normalizer import from_bytes
-    except ImportError:
-        return body.decode("utf-8", errors="ignore")
-    best = from_bytes(body).best()
-    return body.decode("utf-8", errors="ignore") if best is None else str(best)
+    inside = _DECLARED.search(body[:4096])
+    for charset in (declared, inside and inside[1].decode("ascii")):
+        if charset and charset.lower().replace("_", "-") not in ("utf-8", "utf8") and (text := _decoded(body, charset)) is not None:
+            return text
+    runs = _HIGH_RUNS.findall(body)
+    high = sum(map(len, runs))
+    letters = high + sum(chr(b).isalpha() for b in body if b < 128)
+    if high > 0.4 * letters and (text := _many_byte(body)) is not None:
+        return text
+    if high > 0.4 * letters and high >= 2.5 * len(runs):
+        # a capital behind a small letter is a sign of the wrong table
+        read = [t for c in ("windows-1251", "windows-1253") if (t := _decoded(body, c)) is not None]
+        if read:
+            return min(read, key=lambda t: sum(a.islower() and b.isupper() for a, b in zip(t, t[1:], strict=False)))
+    if not any(b < 9 or 13 < b < 32 for b in body) and (text := _decoded(body, "cp1252")) is not None:
+        return text
+    return body.decode("utf-8", errors="ignore")
 
 
 @F.pandas_udf(StringType())
-def _guess(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in bodies:
-        yield batch.map(lambda b: None if b is None else guess_text(bytes(b)))
+def _guess(bodies: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for batch, declared in bodies:
+        yield pd.Series([None if b is None else guess_text(bytes(b), c) for b, c in zip(batch, declared, strict=True)], dtype=object)
+
+
+def declared_charset(content_type: Column) -> Column:
+    """The charset that a Content-Type header names, or null."""
+    found = F.regexp_extract(content_type, r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", 1)
+    return F.when(found != "", found)
 
 
-def decode_body(body: Column) -> Column:
+def decode_body(body: Column, content_type: Column | None = None) -> Column:
     """Text of a landed body. Valid UTF-8 stays in the JVM; only the rest, passed on as
     non-null, costs a trip to Python."""
     text = body.cast("string")
     valid = F.is_valid_utf8(text)
     plain = F.regexp_replace(text, "^\\uFEFF", "")
-    return F.when(valid, plain).otherwise(_guess(F.when(~valid, body)))
+    named = F.lit(None).cast("string") if content_type is None else declared_charset(content_type)
+    return F.when(valid, plain).otherwise(_guess(F.when(~valid, body), named))
 
 
 # -- extraction ----------------------------------------------------------------
