@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 # Fixed values of the HTML standard: elements without content, and elements whose start
@@ -24,6 +25,8 @@ class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
+        self.depth: Counter[str] = Counter()  # open elements by name
+        self.silent = 0
         self.words: list[str] = []
         self.paragraphs: list[list[str]] = []
         self.headings: list[list[str]] = []
@@ -39,7 +42,7 @@ class _Page(HTMLParser):
             self.author_seen = True
             self.author = fields.get("content") or None
         if tag in ENDS_PARAGRAPH:
-            if "p" in self.open:
+            if self.depth["p"]:
                 self._close("p")
             self._break()
         if tag in HEADINGS and self.open and self.open[-1] in HEADINGS:
@@ -47,7 +50,9 @@ class _Page(HTMLParser):
         if tag in VOID:
             return
         self.open.append(tag)
-        if SILENT.intersection(self.open):
+        self.depth[tag] += 1
+        self.silent += tag in SILENT
+        if self.silent:
             return
         if tag == "p":
             self.paragraphs.append([])
@@ -59,7 +64,7 @@ class _Page(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in self.open:
+        if self.depth[tag]:
             self._close(tag)
         if tag in ENDS_PARAGRAPH:
             self._break()
@@ -67,6 +72,8 @@ class _Page(HTMLParser):
     def _close(self, tag):
         while self.open:
             last = self.open.pop()
+            self.depth[last] -= 1
+            self.silent -= last in SILENT
             if last in HEADINGS and self.in_heading:
                 self.in_heading.pop()
             if last == tag:
@@ -77,21 +84,21 @@ class _Page(HTMLParser):
             self.blocks.append([0, 0, []])
 
     def handle_data(self, data):
-        if SILENT.intersection(self.open):
+        if self.silent:
             return
         text = data.strip()
         if not text:
             return
         self.words.append(text)
-        if "p" in self.open and self.paragraphs:
+        if self.depth["p"] and self.paragraphs:
             self.paragraphs[-1].append(text)
         for heading in self.in_heading:
             heading.append(text)
-        if "title" in self.open:
+        if self.depth["title"]:
             return
         block, n = self.blocks[-1], len(text.split())
         block[0] += n
-        block[1] += n if "a" in self.open else 0
+        block[1] += n if self.depth["a"] else 0
         block[2].append(text)
 
 

@@ -57,3 +57,11 @@ def test_read_pages_keeps_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (2, "v", None)], "id int, url string, html string")
     got = {r.id: (r.url, r.text) for r in read_pages(pages, "id", keep=["url"]).collect()}
     assert got == {1: ("u", "x"), 2: ("v", "")}
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    text = read_page("<div><span>x" * 50_000)[0]
+    assert text.count("x") == 50_000 and time.perf_counter() - start < 5
