@@ -109,7 +109,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     found = found.select("p.id", "p.first", F.get("_lines", F.col("p.first.line_no")).alias("line")).filter(_digest() == F.col("id"))
     near = _near(store(found.dropDuplicates(["id"]), "line-texts"))
 
-    judged = firsts.select("id", "first").join(near.withColumn("near", F.lit(True)), "id", "left")
+    # written, so that both sides of the next join are plain shuffles: a line that stands in a
+    # large share of all documents is then split by the adaptive skew join
+    judged = store(firsts.select("id", "first").join(near.withColumn("near", F.lit(True)), "id", "left"), "line-judged")
     gone = keyed.drop("h").join(judged, "id").filter((at > F.col("first")) | F.col("near"))
     return gone.select("doc_id", "line_no", "id")
 
