@@ -224,7 +224,7 @@ class Entities:
         short = F.col("vec_id") % 97 == 0
         return self.t.embeddings.select(
             F.col("vec_id").alias("article_id"),
-            F.lit("default").alias("model_key"),
+            F.when(F.col("vec_id").isNotNull(), "default").alias("model_key"),
             F.when(short, F.slice(vector, 1, 63)).otherwise(vector).alias("vector"),
         )
 
