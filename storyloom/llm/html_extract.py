@@ -235,7 +235,9 @@ def main_text(html: str | None) -> str:
             best, most = node, score
     blocks: list[str] = []
     if best is None:
-        _text_of([root], blocks)
+        # no paragraph of any length: what is marked as the article, or all there is
+        marked = [n for n in nodes if n.tag in ("article", "main") and n.length]
+        _text_of([max(marked, key=lambda n: n.length) if marked else root], blocks)
         return "\n".join(blocks)
     # an element that marks the article as a whole, or shares its text with one other wrapper only
     for up in _ancestors(best):

@@ -240,6 +240,7 @@ def test_html_furniture():
 def test_html_without_structure():
     assert html_extract.main_text(None) == "" and html_extract.main_text("") == ""
     assert html_extract.main_text("just &lt;text&gt; &eacute") == "just <text> é"
+    assert html_extract.main_text("<div>menu</div><article><h1>T</h1><p>a</p></article><div>other</div>") == "T\na"
     assert html_extract.main_text("<p>a<p>b<b>c</p>d < e") == "a\nbc\nd < e"
     assert html_extract.main_text("<div><span>x" * 20_000).count("x") == 20_000
 
