@@ -37,10 +37,10 @@ WINDOW = 50
 GRAM = 16
 _PLACE = np.uint64(24)  # low bits that hold a place in a chunk of at most 2**24 bytes
 #: Candidate bytes that a task sorts at a time.
-FLUSH_BYTES = 4_000_000
+FLUSH_BYTES = 2_000_000
 #: Documents read for the splitters.
 SPLITTER_DOCS = 2_000
-BUCKET_BYTES = 2_500_000
+BUCKET_BYTES = 1_500_000
 _UNITS = 1 << 30
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
