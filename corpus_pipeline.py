@@ -21,7 +21,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines near to an earlier line go."""
     table(spark, sf_dir, "documents")
-    return line_dedup.apply_dropped(docs, line_dedup.dropped_lines(docs))
+    return line_dedup.apply_dropped(docs, line_dedup.dropped_lines(docs, bound=line_dedup.EDIT_BOUND))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,16 @@
 """Near-duplicate lines by a deletion-neighbourhood join (DataFrame functions only).
 
-Two lines are duplicates if at most one character is inserted, deleted or replaced between
-them. Deleting that character makes both lines equal (or one equal to the other), so lines
-emit all their one-character deletions as hashed keys and equal keys meet. A key names the
-length ``k`` of the longer line, the position, and what stands before and behind it; a line
-of ``k`` characters emits it with the character deleted, a line of ``k - 1`` as it is. So all
-lines of one key are near to each other. Only the earliest of them matters: keys are reduced
-to their minimum, never expanded into pairs, and each line is verified against that minimum.
-
-Two steps keep this small without losing a pair. Near lines share their first or last half,
-so lines that share no such half with another line emit nothing. Then blocks of ``BLOCK``
-characters are deleted as a whole, and only blocks that meet emit their single deletions.
+Two lines are duplicates if at most ``d`` characters are inserted, deleted or replaced between
+them; ``d`` is the bound of the longer line (see ``allowed``). Written below each other, such
+lines fill ``k`` columns and agree in all but ``d`` of them, so lines emit what is left when
+``d`` columns are deleted, with the places, as hashed keys, and equal keys meet. All lines of one
+key are near to each other. Only the earliest of them matters: keys are reduced to their minimum.
+
+Three steps keep this small without losing a pair. Of ``d + 1`` pieces one has no edit, and as
+many edits before it as it has pieces before it, at most; lines that share no such piece with
+another line emit nothing. Lines that meet are verified against the earliest of their key, and
+keys of up to ``SMALL`` lines are verified in full. What is left undecided in larger keys
+deletes halves as a whole, then halves of these, and only keys that meet go on.
 """
 
 from __future__ import annotations
@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import by_doc, free, store, text_of
 
-EDIT_BOUND = 1
-BLOCK = 64
+#: Edits between lines that are long enough for them, and characters of a line for each edit.
+EDIT_BOUND = 3
+CHARS_PER_EDIT = 20
+#: Keys of so many lines are judged pair by pair.
+SMALL = 8
 #: Lines with fewer characters (blank ones, list marks, single words) are no evidence of
 #: copying; they are always kept.
 MIN_CHARS = 20
@@ -37,58 +40,99 @@ def _digest():
     return F.unhex(F.md5("line"))
 
 
-def _halves(lines: DataFrame) -> DataFrame:
-    """``(half, h)``: with ``k`` the longer length, the first k//2 or last k - k//2 characters agree."""
-    n = F.char_length("line")
-    keys = []
-    for k in (n, n + 1):
-        keys.append(F.xxhash64(F.lit(1), F.left("line", F.floor(k / 2).cast("int"))))
-        keys.append(F.xxhash64(F.lit(2), F.right("line", (k - F.floor(k / 2)).cast("int"))))
-    return lines.select(F.xxhash64("line").alias("h"), F.explode(F.array_distinct(F.array(*keys))).alias("half"))
+def allowed(n, bound: int):
+    """Edits allowed between two lines of which the longer one has ``n`` characters."""
+    return F.least(F.lit(bound), F.greatest(F.lit(1), F.floor(n / CHARS_PER_EDIT))).cast("int")
 
 
-def _block_keys(lines: DataFrame) -> DataFrame:
-    """``(id, first, key, k, part)``: ``part`` is what the line has in the deleted block of ``k`` characters."""
-    rows = lines.withColumn("n", F.char_length("line")).withColumn("k", F.explode(F.array(F.col("n"), F.col("n") + 1)))
-    rows = rows.withColumn("j", F.explode(F.expr(f"sequence(0, (k - 1) div {BLOCK})")))
-    behind = F.greatest(F.col("k") - (F.col("j") + 1) * BLOCK, F.lit(0)).cast("int")
-    before = (F.col("j") * BLOCK).cast("int")
-    return rows.select(
-        "id", "first",
-        F.xxhash64("k", "j", F.left("line", before), F.right("line", behind)).alias("key"),
-        F.least(F.lit(BLOCK), F.col("k") - before).cast("int").alias("k"),
-        F.substring(F.col("line"), before + 1, F.col("n") - before - behind).alias("part"),
-    )
+def _frames(lines: DataFrame, bound: int) -> DataFrame:
+    """A row for each length ``m`` the longer line of a pair may have, with its bound ``d``."""
+    rows = lines.withColumn("n", F.char_length("line"))
+    rows = rows.withColumn("m", F.explode(F.sequence(F.col("n"), F.col("n") + bound)))
+    return rows.withColumn("d", allowed(F.col("m"), bound)).filter("m - n <= d")
 
 
-def _meeting(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs more than once."""
-    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
-    return rows.join(many, key, "left_semi")
+def _pieces(lines: DataFrame, bound: int, *columns) -> DataFrame:
+    """``(*columns, piece)``: near lines have a piece in common.
+
+    The longer line is cut into d + 1 pieces. Some piece p has no edit, p edits before it and at
+    most d - p behind it, so in the other line it stands shifted by s: -p <= s <= p and p - d <= s + m - n <= d - p.
+    """
+    keys = F.expr("""flatten(transform(sequence(0, d), p ->
+        transform(sequence(greatest(-p, p - d - m + n), least(p, d - p - m + n)), s -> xxhash64(m, p,
+            substring(line, cast(m * p div (d + 1) + s + 1 as int), cast(m * (p + 1) div (d + 1) - m * p div (d + 1) as int))))))""")
+    return _frames(lines, bound).select(*columns, F.explode(F.array_distinct(keys)).alias("piece"))
+
+
+def _whole(lines: DataFrame, bound: int) -> DataFrame:
+    """``(id, first, key, parts)``: for each number of columns ``k``, all of them with all edits in one part."""
+    rows = _frames(lines, bound).withColumn("k", F.explode(F.expr("sequence(m, cast((d + m + n) div 2 as int))")))
+    part = F.struct(F.col("d").alias("e"), F.col("k").alias("w"), F.col("line").alias("s"))
+    return rows.select("id", "first", F.xxhash64("m", "k").alias("key"), F.array(part).alias("parts"))
 
 
-def _near(lines: DataFrame) -> DataFrame:
+def _split(rows: DataFrame) -> DataFrame:
+    """The first part of each row in two halves, with its edits dealt to them in every way.
+
+    A part has ``w`` columns, ``e`` of them edits, and ``s``, which is shorter by the columns that
+    are empty in this line. A half without edits goes into the key; one that is all edits is deleted.
+    """
+    rows = rows.withColumn("p", F.get("parts", F.lit(0))).withColumns({"u": F.expr("p.w div 2"), "g": F.expr("p.w - char_length(p.s)")})
+    ways = F.expr("""flatten(transform(sequence(greatest(0, p.e - p.w + cast(u as int)), least(p.e, cast(u as int))), a ->
+        transform(sequence(greatest(0, g - p.e + a), least(g, a)), b -> struct(a as a, b as b))))""")
+    done = rows.filter(F.col("p").isNull()).select("id", "first", "key", "parts")
+    rows = rows.filter(F.col("p").isNotNull()).withColumn("way", F.explode(ways))
+    halves = F.expr("""array(struct(way.a as e, cast(u as int) as w, left(p.s, cast(u - way.b as int)) as s),
+        struct(p.e - way.a as e, cast(p.w - u as int) as w, right(p.s, cast(p.w - u - g + way.b as int)) as s))""")
+    rows = rows.withColumn("halves", halves)
+    kept = F.expr("concat_ws('|', transform(halves, x -> if(x.e = 0, x.s, '')))")
+    rest = F.concat(F.expr("slice(parts, 2, size(parts))"), F.filter("halves", lambda x: (x["e"] > 0) & (x["e"] < x["w"])))
+    rows = rows.select("id", "first", F.xxhash64("key", "way.a", kept).alias("key"), rest.alias("parts"))
+    return rows.unionByName(done)
+
+
+def _judged(rows: DataFrame, key: str, lines: DataFrame, near: DataFrame | None, bound: int) -> tuple[DataFrame, DataFrame]:
+    """The near lines known now, and the rows of larger keys that can still show more of them."""
+    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("first", "id")).alias("best")).filter("_n > 1")
+    met = store(rows.join(groups, key), "line-keys-met")
+    small = met.filter(F.col("_n").between(3, SMALL)).select(key, "first", "id")
+    other = small.select(F.col(key).alias("_key"), F.col("first").alias("_first"), F.col("id").alias("of"))
+    pairs = small.join(other, (F.col(key) == F.col("_key")) & (F.col("_first") < F.col("first"))).select("id", "of")
+    pairs = pairs.unionByName(met.filter("best.first < first").select("id", F.col("best.id").alias("of"))).distinct()
+    pairs = pairs if near is None else pairs.join(near, "id", "left_anti")
+    texts = lines.select(F.col("id").alias("_id"), "line")
+    pairs = pairs.join(texts, F.col("id") == F.col("_id")).select("id", "of", F.col("line").alias("a"))
+    pairs = pairs.join(texts, F.col("of") == F.col("_id"))
+    longer = F.greatest(F.char_length("a"), F.char_length("line"))
+    new = pairs.filter((F.levenshtein("a", "line", bound) >= 0) & (F.levenshtein("a", "line", bound) <= allowed(longer, bound)))
+    new = new.select("id").distinct()
+    near = store(new if near is None else new.unionByName(near), "line-near")
+
+    # what stands behind the last undecided line of its key can show nothing
+    large = met.filter(F.col("_n") > SMALL)
+    open_ = large.filter("best.first < first").join(near, "id", "left_anti")
+    last = open_.groupBy(F.col(key).alias("_key")).agg(F.max("first").alias("_last"))
+    left = large.join(last, (F.col(key) == F.col("_key")) & (F.col("first") <= F.col("_last")), "left_semi")
+    return near, left.select(*rows.columns)
+
+
+def _near(lines: DataFrame, bound: int) -> DataFrame:
     """Digests of the lines that an earlier line is near to. lines: (id, first, line), distinct."""
-    blocks = store(_meeting(store(_block_keys(lines), "line-blocks"), "key"), "line-blocks")
-    chars = blocks.withColumn("i", F.explode(F.expr("sequence(0, k - 1)")))
-    single = chars.select(
-        "id", "first",
-        F.xxhash64("key", "i", F.left("part", F.col("i")), F.right("part", (F.col("k") - 1 - F.col("i")).cast("int"))).alias("deleted"),
-    )
-    single = store(single, "line-deletions")
-    best = single.groupBy("deleted").agg(F.min(F.struct("first", "id")).alias("best"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    best = single.join(best, "deleted").filter("best.first < first").groupBy("id").agg(F.min("best").alias("best"))
-    texts = lines.select(F.col("id").alias("of"), "line")
-    pairs = best.join(texts, F.col("id") == F.col("of")).select("id", "best", F.col("line").alias("a"))
-    pairs = pairs.join(texts, F.col("best.id") == F.col("of"))
-    return pairs.filter(F.levenshtein("a", "line", EDIT_BOUND) >= 0).select("id")
-
-
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    near, left = _judged(_pieces(lines, bound, "id", "first"), "piece", lines, None, bound)
+    rows = _whole(lines.join(left.select("id").distinct(), "id", "left_semi"), bound)
+    while True:
+        rows = store(rows, "line-deletions")
+        if rows.isEmpty():
+            return near
+        near, rows = _judged(_split(_split(rows)), "key", lines, near, bound)
+
+
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bound: int = 1) -> DataFrame:
     """``(doc_id, line_no, id)`` of the lines to drop; ``id`` is the binary MD5 of the line.
 
     The order of lines is (doc_id, line number from 0). A line goes if an earlier line is
-    equal, or if its first copy has an earlier line within the edit bound. Null and empty
+    equal, or if its first copy has an earlier line within ``bound`` edits, and within one edit
+    for each CHARS_PER_EDIT characters of the longer line where that is less. Null and empty
     texts have no lines that take part; rows that repeat a doc_id and a text count once;
     an empty table gives an empty result.
     """
@@ -97,9 +141,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     keyed = store(lines.select("doc_id", "line_no", _digest().alias("id"), F.xxhash64("line").alias("h")), "line-keys")
     firsts = store(keyed.groupBy("id").agg(F.min(at).alias("first"), F.min("h").alias("h")), "line-firsts")
 
-    halves = _halves(lines)
-    meets = halves.groupBy("half").agg(F.min("h").alias("_a"), F.max("h").alias("_b")).filter("_a <> _b").select("half")
-    some = halves.join(meets, "half", "left_semi").select("h").distinct()
+    pieces = _pieces(lines, bound, F.xxhash64("line").alias("h"))
+    meets = pieces.groupBy("piece").agg(F.min("h").alias("_a"), F.max("h").alias("_b")).filter("_a <> _b").select("piece")
+    some = pieces.join(meets, "piece", "left_semi").select("h").distinct()
     places = store(firsts.join(some, "h", "left_semi"), "line-candidates")
     # the texts of the candidates, each from its earliest place
     by_place = places.groupBy(F.col("first.doc_id").alias("_of")).agg(F.collect_set(F.struct("first", "id")).alias("_places"))
@@ -107,7 +151,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     found = docs.select("doc_id", "text").join(by_place.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_of")))
     found = found.withColumn("_lines", F.split(text_of(), "\n", -1)).select("_lines", F.explode("_places").alias("p"))
     found = found.select("p.id", "p.first", F.get("_lines", F.col("p.first.line_no")).alias("line")).filter(_digest() == F.col("id"))
-    near = _near(store(found.dropDuplicates(["id"]), "line-texts"))
+    near = _near(store(found.dropDuplicates(["id"]), "line-texts"), bound)
 
     # written, so that both sides of the next join are plain shuffles: a line that stands in a
     # large share of all documents is then split by the adaptive skew join

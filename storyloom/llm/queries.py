@@ -100,7 +100,14 @@ def op3_toxicity(spark, folder):
 @_query
 def op4_line_dedup(spark, folder):
     docs = table(spark, folder, "documents")
-    return line_dedup.summary(docs, line_dedup.dropped_lines(docs))
+    # the bound its check text has
+    return line_dedup.summary(docs, line_dedup.dropped_lines(docs, bound=1))
+
+
+@_query
+def op4_line_dedup_wide(spark, folder):
+    docs = table(spark, folder, "documents")
+    return line_dedup.summary(docs, line_dedup.dropped_lines(docs, bound=line_dedup.EDIT_BOUND))
 
 
 @_query

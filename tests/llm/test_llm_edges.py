@@ -89,6 +89,40 @@ def test_near_lines_exactly(spark):
     assert ids(line_dedup.dropped_lines(df), "doc_id") == want
 
 
+def test_near_lines_within_more_edits(spark, monkeypatch):
+    """Lines of two and three edits go too; keys of many lines are judged by nested deletions."""
+    monkeypatch.setattr(line_dedup, "SMALL", 2)
+    import random
+
+    rng = random.Random(5)
+
+    def edited(s, n):
+        for _ in range(n):
+            i = rng.randrange(len(s))
+            s = rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice("xyz#") + s[i:], s[:i] + rng.choice("xyz#") + s[i + 1 :]])
+        return s
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, above = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    # unlike lines with one beginning, so that a line's near one is seldom the earliest of its key
+    bases = ["All that stands at the start is shared by each " + "".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (8, 8, 25, 25, 60, 90)]
+    lines = list(dict.fromkeys(edited(b, n) for n in (0, 6, 5, 4, 3, 3, 2, 2, 1) for b in bases + [bases[0][:26], bases[1][:45]]))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    for bound in (1, 2, 3):
+        def near(a, b, bound=bound):
+            return distance(a, b) <= min(bound, max(1, max(len(a), len(b)) // 20))
+
+        long = [len(x) >= 20 for x in lines]
+        want = [(j,) for j in range(len(lines)) if long[j] and any(long[i] and near(lines[i], lines[j]) for i in range(j))]
+        assert ids(line_dedup.dropped_lines(df, bound=bound), "doc_id") == want
+
+
 def test_simhash(docs, none):
     got = simhash.near_duplicates(docs)
     assert ids(got, "doc_id") == ids(docs, "doc_id")
