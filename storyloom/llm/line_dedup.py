@@ -25,15 +25,15 @@ EDIT_BOUND = 3
 CHARS_PER_EDIT = 20
 #: Keys of so many lines are judged pair by pair.
 SMALL = 8
-#: Lines with fewer characters (blank ones, list marks, single words) are no evidence of
-#: copying; they are always kept.
+#: In lines with fewer characters one edit is a large share; only equal ones are duplicates.
 MIN_CHARS = 20
 
 
-def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(doc_id, line_no, line)`` of the lines that take part."""
+def lines_of(docs: DataFrame, min_equal: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(doc_id, line_no, line)`` of the lines that take part: of ``min_equal`` characters, short ones not blank."""
     parts = docs.select("doc_id", F.posexplode(F.split(text_of(), "\n", -1)).alias("line_no", "line"))
-    return parts.filter(F.char_length("line") >= min_chars)
+    n = F.char_length("line")
+    return parts.filter((n >= min_equal) & ((n >= min_chars) | F.col("line").rlike(r"\S")))
 
 
 def _digest():
@@ -127,21 +127,22 @@ def _near(lines: DataFrame, bound: int) -> DataFrame:
         near, rows = _judged(_split(_split(rows)), "key", lines, near, bound)
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bound: int = 1) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bound: int = 1, min_equal: int = 1) -> DataFrame:
     """``(doc_id, line_no, id)`` of the lines to drop; ``id`` is the binary MD5 of the line.
 
     The order of lines is (doc_id, line number from 0). A line goes if an earlier line is
     equal, or if its first copy has an earlier line within ``bound`` edits, and within one edit
-    for each CHARS_PER_EDIT characters of the longer line where that is less. Null and empty
+    for each CHARS_PER_EDIT characters of the longer line where that is less. Near lines have
+    ``min_chars`` characters at least, equal ones ``min_equal``; short blank lines stay. Null and empty
     texts have no lines that take part; rows that repeat a doc_id and a text count once;
     an empty table gives an empty result.
     """
-    lines = lines_of(docs, min_chars)
+    lines = lines_of(docs, min_equal, min_chars)
     at = F.struct("doc_id", "line_no")
     keyed = store(lines.select("doc_id", "line_no", _digest().alias("id"), F.xxhash64("line").alias("h")), "line-keys")
     firsts = store(keyed.groupBy("id").agg(F.min(at).alias("first"), F.min("h").alias("h")), "line-firsts")
 
-    pieces = _pieces(lines, bound, F.xxhash64("line").alias("h"))
+    pieces = _pieces(lines.filter(F.char_length("line") >= min_chars), bound, F.xxhash64("line").alias("h"))
     meets = pieces.groupBy("piece").agg(F.min("h").alias("_a"), F.max("h").alias("_b")).filter("_a <> _b").select("piece")
     some = pieces.join(meets, "piece", "left_semi").select("h").distinct()
     places = store(firsts.join(some, "h", "left_semi"), "line-candidates")

@@ -100,8 +100,8 @@ def op3_toxicity(spark, folder):
 @_query
 def op4_line_dedup(spark, folder):
     docs = table(spark, folder, "documents")
-    # the bound its check text has
-    return line_dedup.summary(docs, line_dedup.dropped_lines(docs, bound=1))
+    # the bound and the least length its check text has
+    return line_dedup.summary(docs, line_dedup.dropped_lines(docs, bound=1, min_equal=line_dedup.MIN_CHARS))
 
 
 @_query

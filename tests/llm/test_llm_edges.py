@@ -123,6 +123,16 @@ def test_near_lines_within_more_edits(spark, monkeypatch):
         assert ids(line_dedup.dropped_lines(df, bound=bound), "doc_id") == want
 
 
+def test_short_equal_lines(spark):
+    """Equal lines go at any length; short lines with an edit and blank lines stay."""
+    texts = ["Read more\n\n \n買う", "Read more\nRead mora\n\n \n買う\n買る", "買う"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bound in (1, 3):
+        gone = line_dedup.dropped_lines(df, bound=bound)
+        assert ids(gone, "doc_id", "line_no") == [(1, 0), (1, 4), (2, 0)]
+    assert [r.text for r in line_dedup.apply_dropped(df, gone).orderBy("doc_id").collect()] == [texts[0], "Read mora\n\n \n買る"]
+
+
 def test_simhash(docs, none):
     got = simhash.near_duplicates(docs)
     assert ids(got, "doc_id") == ids(docs, "doc_id")
