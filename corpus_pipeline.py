@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.llm import decontaminate, line_dedup, mixing, simhash, toxicity
-from storyloom.llm.common import store, table
+from storyloom.llm.common import by_row, store, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain calls toxic go."""
     models = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.keep_clean(docs, toxicity.score(docs, models))
+    return by_row(docs, lambda d: toxicity.score(d, models), toxicity.keep_clean)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +27,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest doc_id stays."""
     table(spark, sf_dir, "documents")
-    return simhash.keep_one(docs, simhash.near_duplicates(docs))
+    return by_row(docs, simhash.near_duplicates, simhash.keep_one, ordered=True)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
-    return decontaminate.without_leaks(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    items = table(spark, sf_dir, "benchmark")
+    return by_row(docs, lambda d: decontaminate.contaminated(d, items), decontaminate.without_leaks)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

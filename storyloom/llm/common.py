@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,18 @@ def by_doc(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     other = other.withColumnRenamed("doc_id", name).hint("merge")
     joined = docs.join(other, F.col("doc_id").eqNullSafe(F.col(name)), how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(name)
+
+
+def by_row(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame, DataFrame], DataFrame], ordered: bool = False) -> DataFrame:
+    """``keep(docs, judge(docs))`` with a row's own id and text as its doc_id meanwhile.
+
+    Rows with a null doc_id, and unlike texts that share one, are documents of their own. The
+    key is a string, or with ``ordered`` a struct that sorts as doc_id does, nulls last.
+    """
+    (own,) = free(docs, "_own")
+    digest = F.md5(text_of())
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), digest)
+    if ordered:
+        key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), digest.alias("digest"))
+    rows = docs.withColumn(own, F.col("doc_id")).withColumn("doc_id", key)
+    return keep(rows, judge(rows)).withColumn("doc_id", F.col(own)).select(*docs.columns)

@@ -247,3 +247,28 @@ def test_url_rules_by_token():
     for url, rule in [("http://es/", None), ("http://xexample.org/es/", "org/"), ("http://a.example.org/es/1", "example.org/es/"), ("http://org", None), ("HTTP://Example.ORG/en/12", "example.org/en/1"), ("http://example.org/en/2", "org/"), ("http://b.com/de/x", "com/de/"), ("http://b.com/d", None)]:
         index = url_filter.RuleIndex(url_filter.RULES, {})
         assert index.judge(*url_filter.split_url(url))[0] == rule, url
+
+
+def test_stages_judge_each_row_by_its_own_text(spark, folder, monkeypatch):
+    """Null ids, and ids that unlike texts share, take no other document along."""
+    import corpus_pipeline
+
+    leak = spark.read.parquet(f"{folder}/benchmark.parquet").filter("length(text) > 100").orderBy("item_id").first().text
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma")]
+    ids_ = (None, None, None, 7, 7)
+    rows = [(i, t, "en", "a", len(t)) for i, t in zip(ids_, [texts[0], texts[1], leak, texts[2], leak], strict=True)]
+    df = with_clash(spark.createDataFrame(rows, BASE)).withColumn("_own", F.lit(1))
+
+    kept = corpus_pipeline.drop_leaks(spark, df, folder)
+    assert kept.columns == df.columns
+    assert ids(kept, "doc_id", "text") == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2])], key=repr)
+
+    monkeypatch.setattr(toxicity, "train", lambda *_: None)
+    monkeypatch.setattr(toxicity, "score", lambda d, _: d.select("doc_id", (F.col("text") == leak).alias("rejected")))
+    kept = corpus_pipeline.reject_toxic(spark, df, folder)
+    assert ids(kept, "doc_id", "text") == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2])], key=repr)
+
+    copies = df.unionByName(df.filter("doc_id is null").withColumn("doc_id", F.lit(9).cast("long")))
+    kept = corpus_pipeline.keep_one_of_each(spark, copies, folder)
+    assert kept.columns == df.columns
+    assert ids(kept, "doc_id", "text") == sorted([(7, leak), (7, texts[2]), (9, texts[0]), (9, texts[1])], key=repr)
