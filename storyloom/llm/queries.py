@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storyloom.llm import ann, decontaminate, html_extract, line_dedup, mixing, simhash, suffix_dedup, toxicity, url_filter, warc
+from storyloom.llm import ann, centroids, decontaminate, filter_audit, html_extract, line_dedup, mixing, simhash, suffix_dedup, toxicity, trie_dedup, url_filter, warc
 from storyloom.llm.common import scratch, table
 
 QUERIES = {}
@@ -81,6 +81,78 @@ FROM b
 """
 
 
+ORACLES["op11_trie_dedup"] = """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+
+def _centroid_sql(rounds: int = 5) -> str:
+    """Rounds of assignment and update as a chain of tables."""
+    nearest = """a{r} AS MATERIALIZED (SELECT vec_id, row, v, min(struct_pack(d := d, c := c)) AS best FROM (
+        SELECT vec_id, row, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS d FROM v, c{r}) GROUP BY ALL)"""
+    update = """c{n} AS MATERIALIZED (SELECT o.c, coalesce(u.m, o.m) AS m FROM c{r} o LEFT JOIN (
+        SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+            SELECT best.c AS c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM (SELECT *, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY 1, 2)
+        GROUP BY c) u ON o.c = u.c)"""
+    chain = ",\n".join([nearest.format(r=r) + ",\n" + update.format(r=r, n=r + 1) for r in range(rounds)] + [nearest.format(r=rounds)])
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (
+    SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM v ORDER BY h, v LIMIT 40)
+), {chain}
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON best.c = c{rounds}.c
+"""
+
+
+ORACLES["op12_centroids"] = _centroid_sql()
+
+ORACLES["op13_filter_audit"] = """
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals,
+    coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS later FROM t
+), m AS (
+  SELECT doc_id, part, (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT + 4 * (100 * capitals > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * later::INT AS mask FROM w
+), says AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN says USING (doc_id) GROUP BY 1, 2
+), letters(name, bit) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+), places AS (
+  SELECT filter_order, step::INT AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS front
+  FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)
+), counted AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (front | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & front = 0 AND mask & own <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & front <> 0 AND mask & own <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & front = 0 AND mask & own <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & front = 0 AND mask & own <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM cells, places GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
+"""
+
+
 @_query
 def op1_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
@@ -138,3 +210,18 @@ def op10_warc(spark, folder):
 @_query
 def op7_suffix_dedup(spark, folder):
     return suffix_dedup.deduplicate(table(spark, folder, "documents"))
+
+
+@_query
+def op11_trie_dedup(spark, folder):
+    return trie_dedup.duplicates(table(spark, folder, "documents"))
+
+
+@_query
+def op12_centroids(spark, folder):
+    return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+@_query
+def op13_filter_audit(spark, folder):
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
