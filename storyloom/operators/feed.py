@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.operators import search
+from storyloom.operators import search, search_index
 from storyloom.operators.skew import lookup, newest
 
 STORY_COLUMNS = [
@@ -43,6 +43,7 @@ class Store:
         return cls(
             story=e.stories, rank_signals=e.rank_signals, summary=e.summary, tag=e.tag, story_tag=e.story_tag,
             topic=e.topic, story_topic=e.story_topic, article=e.article_text, heavy_articles=e.heavy_articles,
+            index=e.search_index,
         )
 
 
@@ -92,7 +93,11 @@ def with_summary(store: Store, stories: DataFrame) -> DataFrame:
 
 def matching_text(store: Store, stories: DataFrame, q: str) -> DataFrame:
     """Stories whose article holds every term of ``q``; a query without terms matches none."""
-    hits = search.articles_with_all(store.article, q).select(F.col("id").alias("article_id"))
+    if store.index is not None:
+        asked = stories.sparkSession.createDataFrame([(0, q)], "query_id int, q string")
+        hits = search_index.matching(store.index, asked).select(F.col("id").alias("article_id"))
+    else:
+        hits = search.articles_with_all(store.article, q).select(F.col("id").alias("article_id"))
     return lookup(stories, hits, "article_id", "left_semi", heavy=store.heavy_articles)
 
 

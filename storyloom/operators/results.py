@@ -19,6 +19,11 @@ AUDIENCES = [
 ]
 
 
+# Fields of the two documents a result carries.
+CLASSIFICATION = ["primary_category", "type", "tags", "topics"]
+UI = ["summary_140", "quicktake", "audience", "impact_score", "confidence", "reading_time_min", "link_props"]
+
+
 # -- jobs ----------------------------------------------------------------------
 
 
@@ -27,57 +32,71 @@ def _kind(doc: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
 
 
-def job_errors(value: str = "value") -> Column:
-    """Names of the rules a summarize job breaks; an empty array means valid.
+class _Rules:
+    """Rules over one JSON document; each gives the rule's name where it is broken, else null."""
 
-    Optional keys without a default must be present although null is allowed.
-    """
-    doc = F.try_parse_json(value)
-    text = F.col(value)
+    def __init__(self, value: str):
+        self.text, self.doc = F.col(value), F.try_parse_json(value)
 
+    def kind(self, path: str) -> Column:
+        return _kind(self.doc, path)
+
+    @staticmethod
     def bad(name: str, rule: Column) -> Column:
         return F.when(~F.coalesce(rule, F.lit(False)), F.lit(name))
 
-    def string(path: str) -> Column:
-        return bad(path[2:], _kind(doc, path) == "STRING")
+    def string(self, path: str) -> Column:
+        return self.bad(path[2:], self.kind(path) == "STRING")
 
-    def given(path: str) -> Column:
-        return F.trim(F.get_json_object(text, path))
+    def given(self, path: str) -> Column:
+        return F.trim(F.get_json_object(self.text, path))
 
-    def number(path: str) -> Column:
-        kind = _kind(doc, path)
+    def number(self, path: str) -> Column:
+        kind = self.kind(path)
         return kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | F.startswith(kind, F.lit("DECIMAL"))
 
-    def integer(path: str) -> Column:
+    def integer(self, path: str) -> Column:
         """A whole number, also as text or with a zero fraction."""
-        whole = given(path).rlike(r"^[+-]?[0-9]+(\.0*)?([eE]\+?[0-9]+)?$")
-        return (_kind(doc, path) == "BOOLEAN") | ((number(path) | (_kind(doc, path) == "STRING")) & whole)
+        whole = self.given(path).rlike(r"^[+-]?[0-9]+(\.0*)?([eE]\+?[0-9]+)?$")
+        return (self.kind(path) == "BOOLEAN") | ((self.number(path) | (self.kind(path) == "STRING")) & whole)
 
-    def real(path: str) -> Column:
-        return number(path) | ((_kind(doc, path) == "STRING") & given(path).try_cast("double").isNotNull())
+    def real(self, path: str) -> Column:
+        return self.number(path) | ((self.kind(path) == "STRING") & self.given(path).try_cast("double").isNotNull())
 
-    def flag(path: str) -> Column:
-        words = F.lower(given(path)).isin("0", "1", "true", "false", "yes", "no", "on", "off", "t", "f", "y", "n")
-        return (_kind(doc, path) == "BOOLEAN") | ((integer(path) | (_kind(doc, path) == "STRING")) & words)
+    def flag(self, path: str) -> Column:
+        words = F.lower(self.given(path)).isin("0", "1", "true", "false", "yes", "no", "on", "off", "t", "f", "y", "n")
+        return (self.kind(path) == "BOOLEAN") | ((self.integer(path) | (self.kind(path) == "STRING")) & words)
 
-    def strings(path: str) -> Column:
-        items = F.from_json(F.get_json_object(text, path), "array<variant>")
-        return F.startswith(_kind(doc, path), F.lit("ARRAY")) & F.forall(items, lambda v: F.schema_of_variant(v) == "STRING")
+    def strings(self, path: str) -> Column:
+        items = F.from_json(F.get_json_object(self.text, path), "array<variant>")
+        return F.startswith(self.kind(path), F.lit("ARRAY")) & F.forall(items, lambda v: F.schema_of_variant(v) == "STRING")
 
-    def nullable(path: str, rule: Column) -> Column:
+    def nullable(self, path: str, rule: Column) -> Column:
         """The key must be there; null is allowed."""
-        return bad(path[2:], (_kind(doc, path) == "VOID") | rule)
+        return self.bad(path[2:], (self.kind(path) == "VOID") | rule)
+
+    def optional(self, path: str, rule: Column, null: bool = True) -> Column:
+        kind = self.kind(path)
+        return self.bad(path[2:], kind.isNull() | ((kind == "VOID") & F.lit(null)) | rule)
+
+    def record(self, path: str) -> Column:
+        return F.startswith(self.kind(path), F.lit("OBJECT"))
 
-    def optional(path: str, rule: Column, null: bool = True) -> Column:
-        kind = _kind(doc, path)
-        return bad(path[2:], kind.isNull() | ((kind == "VOID") & F.lit(null)) | rule)
+    def version(self) -> Column:
+        same = self.given("$.schema_version").try_cast("double") == schemas.SCHEMA_VERSION
+        return self.optional("$.schema_version", self.integer("$.schema_version") & same, null=False)
 
-    def record(path: str) -> Column:
-        return F.startswith(_kind(doc, path), F.lit("OBJECT"))
 
+def job_errors(value: str = "value") -> Column:
+    """Names of the rules a summarize job breaks; an empty array means valid.
+
+    Optional keys without a default must be present although null is allowed.
+    """
+    r = _Rules(value)
+    bad, string, integer, real, flag, strings = r.bad, r.string, r.integer, r.real, r.flag, r.strings
+    nullable, optional, record, doc, text = r.nullable, r.optional, r.record, r.doc, r.text
     has_hints, has_metrics = record("$.hints"), record("$.metrics")
     language = F.length(F.get_json_object(text, "$.article.language"))
-    version = given("$.schema_version").try_cast("double") == schemas.SCHEMA_VERSION
     rules = [
         bad("json", doc.isNotNull()),
         string("$.trace_id"),
@@ -96,7 +115,7 @@ def job_errors(value: str = "value") -> Column:
         *[F.when(has_metrics, nullable(f"$.metrics.{c}", integer(f"$.metrics.{c}"))) for c in ("points", "comments")],
         F.when(has_metrics, nullable("$.metrics.captured_at", _kind(doc, "$.metrics.captured_at") == "STRING")),
         optional("$.attempt", integer("$.attempt"), null=False),
-        optional("$.schema_version", integer("$.schema_version") & version, null=False),
+        r.version(),
     ]
     return F.array_compact(F.array(*rules))
 
@@ -138,26 +157,49 @@ def clamp(c: Column, low, high) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
-def clean_results(results: DataFrame) -> DataFrame:
-    """Model results checked and cleaned; ``errors`` lists what makes one unusable."""
-    def bad(name: str, rule: Column) -> Column:
-        return F.when(~F.coalesce(rule, F.lit(False)), F.lit(name))
+def result_errors(value: str = "value") -> Column:
+    """Names of the rules a result message breaks; an empty array means valid."""
+    r = _Rules(value)
+    lang = F.length(F.get_json_object(value, "$.lang"))
+    kind = F.get_json_object(value, "$.classification.type")
+    stamps = F.from_json(F.get_json_object(value, "$.timestamps"), "map<string,variant>")
+    inside = lambda path, rule: F.when(r.record(path[: path.index(".", 2)]), rule)
+    ui = {
+        "summary_140": lambda p: r.kind(p) == "STRING", "quicktake": r.strings, "audience": r.strings, "impact_score": r.integer,
+        "confidence": r.real, "reading_time_min": r.integer, "link_props": r.record,
+    }
+    rules = [
+        r.bad("json", r.doc.isNotNull()),
+        *[r.string(f"$.{c}") for c in ("trace_id", "story_id", "article_id", "model")],
+        r.bad("lang", (r.kind("$.lang") == "STRING") & lang.between(2, 5)),
+        r.bad("summary", (r.kind("$.summary") == "STRING") & (F.length(clip_summary(F.get_json_object(value, "$.summary"))) > 0)),
+        r.bad("classification", r.record("$.classification")),
+        inside("$.classification.type", r.optional("$.classification.type", kind.isin(schemas.CLASS_TYPES))),
+        inside("$.classification.primary_category", r.optional("$.classification.primary_category", r.kind("$.classification.primary_category") == "STRING")),
+        *[inside(f"$.classification.{c}", r.optional(f"$.classification.{c}", r.strings(f"$.classification.{c}"), null=False)) for c in ("tags", "topics")],
+        r.bad("ui", r.record("$.ui")),
+        *[inside(f"$.ui.{c}", r.optional(f"$.ui.{c}", rule(f"$.ui.{c}"))) for c, rule in ui.items()],
+        r.bad("timestamps", r.record("$.timestamps") & F.forall(F.map_values(stamps), lambda v: F.schema_of_variant(v) == "STRING")),
+        r.version(),
+    ]
+    return F.array_compact(F.array(*rules))
 
-    summary = clip_summary(F.col("summary"))
-    errors = F.array_compact(
-        F.array(
-            bad("article_id", F.col("article_id").isNotNull()),
-            bad("model", F.col("model").isNotNull()),
-            bad("lang", F.length("lang").between(2, 5)),
-            bad("summary", F.length(summary) > 0),
-            bad("type", F.col("type").isNull() | F.col("type").isin(schemas.CLASS_TYPES)),
-            bad("schema_version", F.coalesce("schema_version", F.lit(schemas.SCHEMA_VERSION)) == schemas.SCHEMA_VERSION),
-        )
-    )
-    return results.withColumns(
+
+def decode_results(messages: DataFrame, value: str = "value") -> DataFrame:
+    """Result messages taken apart: ``errors``, the fields of ``schemas.RESULT``, and both documents' fields as columns."""
+    m = F.from_json(value, schemas.RESULT)
+    kept = [c for c in messages.columns if c != value]
+    rows = messages.select(*kept, result_errors(value).alias("errors"), m.alias("m"))
+    plain = ["trace_id", "story_id", "article_id", "model", "lang", "summary", "schema_version"]
+    stamp = F.to_timestamp(F.try_element_at("m.timestamps", F.lit("summarized_at")))
+    return rows.select(*kept, "errors", *[F.col(f"m.{c}").alias(c) for c in plain], "m.classification.*", "m.ui.*", stamp.alias("summarized_at"))
+
+
+def clean_results(decoded: DataFrame) -> DataFrame:
+    """Decoded results with clean fields; both documents stay whole."""
+    return decoded.withColumns(
         {
-            "errors": errors,
-            "summary": summary,
+            "summary": clip_summary(F.col("summary")),
             "type": F.coalesce("type", F.lit("news")),
             "tags": clean_labels(F.col("tags"), TAG_SPELLING),
             "topics": clean_labels(F.col("topics")),
@@ -184,8 +226,8 @@ def result_summaries(results: DataFrame) -> DataFrame:
         "model",
         F.coalesce(F.nullif("lang", F.lit("")), F.lit("en")).alias("lang"),
         "summary",
-        F.to_json(F.struct("type", "tags", "topics")).alias("classification_json"),
-        F.to_json(F.struct("audience", "impact_score", "confidence")).alias("ui_json"),
+        F.to_json(F.struct(*CLASSIFICATION)).alias("classification_json"),
+        F.to_json(F.struct(*UI)).alias("ui_json"),
         "summarized_at",
         "seq",
     )

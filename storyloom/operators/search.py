@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.operators import similarity
 from storyloom.session import spread
 
 
@@ -27,34 +28,6 @@ def postings(article: DataFrame) -> DataFrame:
     return hits.groupBy("term", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def refreshed(index: DataFrame, article: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """The index after re-reading some articles (all of them without ``ids``)."""
-    if ids is None:
-        return postings(article)
-    wanted = ids.select("id").distinct()
-    kept = index.join(wanted, "id", "left_anti")
-    again = postings(article.join(wanted, "id", "left_semi"))
-    return kept.unionByName(again)
-
-
-def write_postings(index: DataFrame, path: str, buckets: int = 256, splits: int = 16) -> None:
-    """Store the index by term bucket. A frequent term is spread over ``splits``
-    writers by article, so no task and no file holds all of its entries."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    split = F.pmod(F.xxhash64("id"), F.lit(splits))
-    index.withColumn("bucket", bucket).repartition("bucket", split).sortWithinPartitions("bucket", "term").write.mode(
-        "overwrite"
-    ).partitionBy("bucket").parquet(path)
-
-
-def stored_terms(index: DataFrame, terms: list[str], buckets: int = 256) -> DataFrame:
-    """Entries of some terms from a stored index: partition and row-group pruning."""
-    spark = index.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string")
-    rows = wanted.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()
-    return index.where(F.col("bucket").isin([r.b for r in rows]) & F.col("term").isin(terms))
-
-
 def query_terms(queries: DataFrame, strict: bool = False) -> DataFrame:
     """``query_id, term, n_terms``. ``strict`` leaves query accents in place, so an
     accented query never meets the unaccented index."""
@@ -151,11 +124,12 @@ def top_stories(scores: DataFrame, stories: DataFrame, k: int) -> DataFrame:
     its shuffle: neither a text posted by a third of all stories nor a term found
     everywhere gathers in one task.
     """
-    k = max(1, min(MAX_K, int(k)))
+    k = max(1, int(k))
     posted = stories.select("id", "article_id", "created_at").where("article_id is not null")
     latest = Window.partitionBy("article_id").orderBy(F.col("created_at").desc(), "id")
     recent = posted.withColumn("nth", F.row_number().over(latest)).where(F.col("nth") <= k)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("created_at").desc(), "id")
+    # sums of the same covers in another order may differ in their last bits
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("created_at").desc(), "id")
     newest_one = recent.where("nth = 1").drop("nth")
     per_article = scores.withColumnRenamed("id", "article_id")
     articles = (
@@ -173,7 +147,14 @@ def top_stories(scores: DataFrame, stories: DataFrame, k: int) -> DataFrame:
 
 
 def search_many(store, queries: DataFrame, k: int = 30, strict: bool = False) -> DataFrame:
-    """Ranked hits of many queries at once: ``query_id, rank, id, score, match``."""
+    """Ranked hits of many queries at once: ``query_id, rank, id, score, match``.
+
+    A store with an index is served by its postings; one without reads the articles.
+    """
+    from storyloom.operators import search_index
+
+    if store.index is not None:
+        return search_index.search_many(store.index, store.story, queries, k, strict)
     scores = ranked_articles(store.article, queries, strict)
     return top_stories(scores, store.story, k).withColumn("match", F.lit("lexical"))
 
@@ -184,7 +165,7 @@ def search(store, q: str, k: int = 30, strict: bool = False) -> DataFrame:
 
     spark = store.story.sparkSession
     queries = spark.createDataFrame([(0, (q or "").strip())], "query_id int, q string")
-    top = search_many(store, queries, k, strict).drop("query_id")
+    top = search_many(store, queries, max(1, min(MAX_K, int(k))), strict).drop("query_id")
     rows = top.collect()  # at most MAX_K
     hits = spark.createDataFrame(rows, top.schema)
     ids = [r["id"] for r in rows]
@@ -194,38 +175,20 @@ def search(store, q: str, k: int = 30, strict: bool = False) -> DataFrame:
     return feed.with_vocab(stories, tags, topics).join(hits, "id")
 
 
-# -- fuzzy domains -------------------------------------------------------------
+# -- fuzzy names ---------------------------------------------------------------
 
 
-def trigrams(c: Column) -> Column:
-    """Distinct three-letter windows of each alphanumeric word, padded "  w "."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    grams = F.transform(
-        padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))
-    )
-    return F.array_distinct(F.flatten(grams))
-
+def fuzzy_domains(stories: DataFrame, names: DataFrame, threshold: float = similarity.THRESHOLD) -> DataFrame:
+    """``domain, name, similarity`` of the domains that resemble a name of ``names`` (column ``name``)."""
+    pairs = similarity.similar_pairs(stories.select(F.col("domain").alias("text")), names.select(F.col("name").alias("text")), threshold)
+    return pairs.select(F.col("a").alias("domain"), F.col("b").alias("name"), "similarity")
 
-def fuzzy_domains(stories: DataFrame, names: list[str], threshold: float = 0.3) -> DataFrame:
-    """Domains whose trigram sets resemble one of ``names``: shared / united >= threshold.
 
-    Each distinct domain is compared with the given names in place; there is no join
-    and no pair leaves the task unless it passes.
-    """
-    domains = stories.select("domain").where("domain is not null").distinct()
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), trigrams(F.lit(n)).alias("g")) for n in names])
-    scored = F.transform(
-        wanted,
-        lambda n: F.struct(
-            n["name"].alias("name"),
-            (F.size(F.array_intersect(F.col("g"), n["g"])) / F.size(F.array_union(F.col("g"), n["g"]))).alias("similarity"),
-        ),
-    )
-    hits = domains.select("domain", trigrams(F.col("domain")).alias("g")).select(
-        "domain", F.explode(F.filter(scored, lambda s: s["similarity"] >= threshold)).alias("hit")
-    )
-    return hits.select("domain", "hit.name", "hit.similarity")
+def fuzzy_titles(stories: DataFrame, names: DataFrame, threshold: float = similarity.THRESHOLD) -> DataFrame:
+    """``id, title, name, similarity`` of the stories whose title resembles a name."""
+    pairs = similarity.similar_pairs(stories.select(F.col("title").alias("text")), names.select(F.col("name").alias("text")), threshold)
+    found = pairs.select(F.col("a").alias("title"), F.col("b").alias("name"), "similarity")
+    return stories.select("id", "title").join(found, "title").select("id", "title", "name", "similarity")
 
 
 # -- hybrid --------------------------------------------------------------------

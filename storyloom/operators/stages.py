@@ -92,9 +92,9 @@ def scrape_stage(jobs: DataFrame, bodies: DataFrame, language: Column, now_ms: C
     }
 
 
-def persist_stage(model_results: DataFrame) -> dict[str, DataFrame]:
-    """Model results to summary, tag, topic and link rows; unusable ones to dead letters."""
-    clean = results.gate_results(results.clean_results(model_results))
+def persist_stage(messages: DataFrame) -> dict[str, DataFrame]:
+    """Result messages (``value``, ``seq``) to summary, tag, topic and link rows; unusable ones to dead letters as they came."""
+    clean = results.gate_results(results.clean_results(results.decode_results(messages.withColumn("_value", F.col("value")))))
     usable = (F.size("errors") == 0) & F.col("skip").isNull()
     good = clean.where(usable)
     tags, topics = results.result_labels(good, "tags"), results.result_labels(good, "topics")
@@ -105,5 +105,5 @@ def persist_stage(model_results: DataFrame) -> dict[str, DataFrame]:
         "topic": topics.groupBy("slug").agg(F.min_by("name", "seq").alias("name"), F.min("seq").alias("seq")),
         "story_tag": tags.select("story_id", "slug").distinct(),
         "story_topic": topics.select("story_id", "slug").distinct(),
-        "dead": clean.where(~usable).select(why.alias("reason"), F.to_json(F.struct("seq", "story_id", "errors")).alias("value")),
+        "dead": clean.where(~usable).select(why.alias("reason"), "errors", F.col("_value").alias("value")),
     }

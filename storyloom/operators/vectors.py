@@ -1,125 +1,16 @@
-"""Vector search by Euclidean distance: exact, by inverted cells, and registry checks."""
+"""Vector search by Euclidean distance: inverted cells, recall and registry checks; joins are in vector_join."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1024  # query vectors that one pass over the base carries
+from storyloom.operators.vector_join import knn, knn_cells, pairs_compared, probes_for, visits  # noqa: F401
+
 CELLS = 100
-HIT = "query_id long, id long, distance double"
-
-
-def _nearest(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of one block for each query, ties by id.
-
-    One matrix product ranks the block roughly; what can be among the k nearest is
-    measured exactly.
-    """
-    take, out = min(k, len(base)), []
-    size, own = np.einsum("ij,ij->i", base, base), np.einsum("ij,ij->i", queries, queries)
-    rough = own[:, None] + size[None, :] - 2 * queries @ base.T
-    edge = np.partition(rough, take - 1, axis=1)[:, take - 1]
-    slack = 1e-9 * (own + size.max() + 1)
-    for n, q in enumerate(queries):
-        near = np.flatnonzero(rough[n] <= edge[n] + slack[n])
-        diff = base[near] - q
-        dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-        best = np.lexsort((ids[near], dist))[:k]
-        out.append(pd.DataFrame({"query_id": query_ids[n], "id": ids[near][best], "distance": dist[best]}))
-    return pd.concat(out)
-
-
-def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype("float64") if len(vectors) else np.empty((0, dims))
-
-
-def _scan(query_ids: np.ndarray, queries: np.ndarray, k: int, probes: np.ndarray | None = None) -> Callable:
-    """A map over base batches that keeps the best k per query of its partition.
-
-    With ``probes`` (queries x cells) a query only sees the rows of its probed cells.
-    """
-    dims = queries.shape[1]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in batches:
-            base, ids = _matrix(batch["vector"], dims), batch["id"].to_numpy()
-            if not len(ids):
-                continue
-            if probes is None:
-                found = [_nearest(ids, base, query_ids, queries, k)]
-            else:
-                found = []
-                cells = batch["cell"].to_numpy()
-                for cell in np.unique(cells):
-                    asked = np.flatnonzero(probes[:, cell])
-                    if len(asked):
-                        rows = cells == cell
-                        found.append(_nearest(ids[rows], base[rows], query_ids[asked], queries[asked], k))
-            if found:
-                best = pd.concat(([] if best is None else [best]) + found)
-                best = best.sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    return run
-
-
-def _top(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the queries, QUERY_BLOCK at a time and of one length each."""
-    by_length: dict[int, list] = {}
-    for r in queries.select("query_id", "vector").toLocalIterator():
-        if r.vector is None or None in r.vector:
-            continue
-        held = by_length.setdefault(len(r.vector), [])
-        held.append(r)
-        if len(held) == QUERY_BLOCK:
-            yield _arrays(by_length.pop(len(r.vector)))
-    for held in by_length.values():
-        yield _arrays(held)
-
-
-def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r.query_id for r in rows], dtype="int64"), np.array([r.vector for r in rows], dtype="float64")
-
-
-def _of_length(base: DataFrame, n: int) -> DataFrame:
-    """Vectors that can be compared: of the queries' length, without null components."""
-    return base.where((F.size("vector") == n) & F.forall("vector", lambda x: x.isNotNull()))
-
-
-def _union(parts: list[DataFrame], base: DataFrame) -> DataFrame:
-    out = base.sparkSession.createDataFrame([], HIT)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
-
-
-def knn(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact k nearest: ``query_id, rank, id, distance``.
-
-    ``base``: id, vector; ``queries``: query_id, vector. Queries travel to the data, a block
-    at a time: one scan of the base for each QUERY_BLOCK of them, in which each task keeps k
-    rows per query. The base is neither copied nor shuffled. Only vectors of the query's
-    length are compared. For query sets that grow with the data use ``knn_cells``.
-    """
-    k = max(1, int(k))
-    rows = base.select("id", "vector")
-    parts = [_of_length(rows, v.shape[1]).mapInPandas(_scan(i, v, k), HIT) for i, v in _blocks(queries)]
-    return _top(_union(parts, base), k)
 
 
 # -- inverted cells ------------------------------------------------------------
@@ -142,30 +33,6 @@ def write_cells(celled: DataFrame, path: str, splits: int = 32) -> None:
     celled.repartition("cell", split).write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
-def _nearest_cells(vectors: np.ndarray, centers: np.ndarray, nprobe: int) -> np.ndarray:
-    gaps = np.stack([((centers - v) ** 2).sum(axis=1) for v in vectors])
-    return np.argsort(gaps, axis=1, kind="stable")[:, :nprobe]
-
-
-def knn_cells(celled: DataFrame, centers: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """Approximate k nearest among the ``nprobe`` cells closest to each query.
-
-    Rows are filtered where they are scanned, so no cell is gathered in one task, and only
-    the probed cells of a stored table are read. With ``nprobe`` = all cells the answer is
-    the exact one.
-    """
-    k, parts = max(1, int(k)), []
-    for query_ids, vectors in _blocks(queries):
-        if vectors.shape[1] != centers.shape[1]:
-            continue
-        nearest = _nearest_cells(vectors, centers, nprobe)
-        probes = np.zeros((len(query_ids), len(centers)), dtype=bool)
-        np.put_along_axis(probes, nearest, True, axis=1)
-        rows = celled.where(F.col("cell").isin(sorted({int(c) for c in nearest.ravel()}))).select("id", "vector", "cell")
-        parts.append(_of_length(rows, centers.shape[1]).mapInPandas(_scan(query_ids, vectors, k, probes), HIT))
-    return _top(_union(parts, celled), k)
-
-
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that were found: ``query_id, recall``."""
     hit = found.select("query_id", "id", F.lit(1).alias("hit"))

@@ -145,24 +145,41 @@ def latest_k_summaries(e):
 
 @query("summary_upsert", f"""
     WITH {CLEAN},
-    inc AS (SELECT article_id, arg_max(struct_pack(model := model, lang := lang, summary := summary, kind := type), seq) AS last,
-                   arg_max(impact_score, seq) AS impact_any, arg_max(struct_pack(v := impact_score), seq).v AS impact_score,
+    inc AS (SELECT article_id, arg_max(struct_pack(model := model, lang := lang, summary := summary, kind := type, category := primary_category,
+                   tags := array_to_string(tags, '|'), topics := array_to_string(topics, '|'), audience := array_to_string(audience, '|'),
+                   impact := impact_score, confidence := round(confidence, 6), summary_140 := summary_140, quicktake := array_to_string(quicktake, '|'),
+                   minutes := reading_time_min, props := link_props), seq) AS last,
                    arg_max(summarized_at, seq) FILTER (WHERE summarized_at IS NOT NULL) AS summarized_at
             FROM clean WHERE errors = '' GROUP BY article_id),
     t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS rn FROM fx_summary) WHERE rn = 1)
-    SELECT coalesce(t.article_id, n.article_id) AS article_id, coalesce(n.last.model, t.model) AS model,
-           coalesce(n.last.summary, t.summary) AS summary, coalesce(n.last.kind, t.class_type) AS type,
-           CASE WHEN n.article_id IS NOT NULL THEN CAST(n.impact_score AS VARCHAR) ELSE CAST(t.n * 10 AS VARCHAR) END AS impact_score,
+    SELECT coalesce(t.article_id, n.article_id) AS article_id, coalesce(n.last.model, t.model) AS model, coalesce(n.last.lang, t.lang) AS lang,
+           coalesce(n.last.summary, t.summary) AS summary, coalesce(n.last.kind, t.class_type) AS type, n.last.category AS primary_category,
+           n.last.tags AS tags, n.last.topics AS topics, n.last.audience AS audience,
+           CASE WHEN n.article_id IS NOT NULL THEN CAST(n.last.impact AS VARCHAR) ELSE CAST(t.n * 10 AS VARCHAR) END AS impact_score,
+           CASE WHEN n.article_id IS NOT NULL THEN n.last.confidence ELSE round(t.n * 0.1, 6) END AS confidence,
+           CASE WHEN n.article_id IS NOT NULL THEN n.last.summary_140 ELSE t.summary_140 END AS summary_140,
+           CASE WHEN n.article_id IS NOT NULL THEN n.last.quicktake ELSE array_to_string(t.quicktake, '|') END AS quicktake,
+           CASE WHEN n.article_id IS NOT NULL THEN CAST(n.last.minutes AS VARCHAR) ELSE CAST(t.n AS VARCHAR) END AS reading_time_min,
+           n.last.props AS link_props,
            strftime(coalesce(t.created_at, {NOW_SQL}), {STAMP}) AS created_at,
            strftime(coalesce(n.summarized_at, t.summarized_at), {STAMP}) AS summarized_at
     FROM t FULL JOIN inc n ON t.article_id = n.article_id""")
 def summary_upsert(e):
+    """Every field that a stored summary has; link properties only of the summaries that arrived."""
     target = merge.one_summary_per_article(e.summary())
     out = merge.summary_upsert(target, results.result_summaries(accepted(e)), ts(NOW))
+    said = lambda c, path: F.nullif(F.get_json_object(c, path), F.lit(""))
+    ui = lambda name: said("ui_json", f"$.{name}")
+    listed = lambda c: F.from_json(c, "array<string>")
+    arrived = ui("audience").isNotNull()
     return out.select(
-        "article_id", "model", "summary", F.get_json_object("classification_json", "$.type").alias("type"),
-        F.nullif(F.get_json_object("ui_json", "$.impact_score"), F.lit("")).alias("impact_score"), "created_at", "summarized_at",
-    )
+        "article_id", "model", "lang", "summary", said("classification_json", "$.type").alias("type"),
+        said("classification_json", "$.primary_category").alias("primary_category"),
+        *[listed(said("classification_json", f"$.{c}")).alias(c) for c in ("tags", "topics")], listed(ui("audience")).alias("audience"),
+        ui("impact_score").alias("impact_score"), F.round(ui("confidence").try_cast("double"), 6).alias("confidence"), ui("summary_140").alias("summary_140"),
+        listed(ui("quicktake")).alias("quicktake"), ui("reading_time_min").alias("reading_time_min"), F.when(arrived, ui("link_props")).alias("link_props"),
+        "created_at", "summarized_at",
+    )
 
 
 @query("tag_upsert", f"""

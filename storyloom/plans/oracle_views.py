@@ -111,14 +111,21 @@ VIEWS = {
                CASE WHEN conv_id % 29 <> 0 THEN 'm1' END AS model,
                CASE WHEN conv_id % 31 <> 0 THEN CASE WHEN conv_id % 37 = 0 THEN 'e' ELSE 'en' END END AS lang,
                CASE WHEN turn = 7 THEN '  ' ELSE '  ' || text END AS summary,
-               list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:12] AS tags,
-               ['en', 'Source ' || (conv_id % 20), '', 'x'] AS topics,
-               CASE WHEN conv_id % 20 = 0 THEN 'rumor' WHEN conv_id % 3 = 0 THEN 'research' END AS type,
-               CASE WHEN turn <> 3 THEN CAST(turn * 40 - 60 AS INT) END AS impact_score,
-               CASE WHEN turn <> 3 THEN CAST(round(turn * 0.4 - 0.3, 6) AS DOUBLE) END AS confidence,
-               ['Kernel Devs', 'Everyone', 'Data Scientists', 'Kernel Devs'] AS audience,
+               CASE WHEN conv_id % 47 <> 0 THEN list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:12] END AS tags,
+               CASE WHEN conv_id % 47 <> 0 THEN ['en', 'Source ' || (conv_id % 20), '', 'x'] END AS topics,
+               CASE WHEN conv_id % 47 <> 0 THEN CASE WHEN conv_id % 20 = 0 THEN 'rumor' WHEN conv_id % 3 = 0 THEN 'research' END END AS type,
+               CASE WHEN conv_id % 47 <> 0 AND turn = 1 THEN 'tech' END AS primary_category,
+               CASE WHEN conv_id % 53 <> 0 AND turn <> 3 THEN CAST(turn * 40 - 60 AS INT) END AS impact_score,
+               CASE WHEN conv_id % 53 <> 0 AND turn <> 3 THEN CAST(round(turn * 0.4 - 0.3, 6) AS DOUBLE) END AS confidence,
+               CASE WHEN conv_id % 53 <> 0 THEN ['Kernel Devs', 'Everyone', 'Data Scientists', 'Kernel Devs'] END AS audience,
+               CASE WHEN conv_id % 53 <> 0 AND turn <> 5 THEN substring(text, 1, 20) END AS summary_140,
+               CASE WHEN conv_id % 53 <> 0 THEN list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:2] END AS quicktake,
+               CASE WHEN conv_id % 53 <> 0 THEN CAST(turn AS INT) END AS reading_time_min,
+               CASE WHEN conv_id % 53 <> 0 AND turn <> 3 THEN '{"format":"html","is_pdf":false,"paywall":' || CASE WHEN turn = 1 THEN 'true' ELSE 'false' END || '}' END AS link_props,
+               CASE WHEN conv_id % 43 <> 0 THEN 't-' || (conv_id * 100 + turn) END AS trace_id,
+               conv_id % 47 <> 0 AS has_classification, conv_id % 53 <> 0 AS has_ui, conv_id % 59 <> 0 AS has_timestamps,
                CASE WHEN conv_id % 41 = 0 THEN 2 ELSE 1 END AS schema_version,
-               CASE WHEN conv_id % 3 <> 0 THEN TIMESTAMP '2024-02-01' + turn * INTERVAL 1 HOUR END AS summarized_at
+               CASE WHEN conv_id % 59 <> 0 AND conv_id % 3 <> 0 THEN TIMESTAMP '2024-02-01' + turn * INTERVAL 1 HOUR END AS summarized_at
         FROM conversations WHERE role = 'assistant'""",
     "fx_metrics": """
         SELECT run_id, ran_at, name, kind, value FROM (

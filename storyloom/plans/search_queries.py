@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from storyloom.operators import search
+from storyloom.operators import search, search_index, similarity
 from storyloom.operators.feed import Store
 from storyloom.plans.registry import query
+from storyloom.session import shared_dir
 
 # Requests of the search endpoint: id and text.
 REQUESTS = [(1, "in"), (2, "the of"), (3, "in and to"), (4, "für"), (5, "éeau"), (6, "zzzyx"), (7, ""), (8, "The the")]
@@ -59,7 +62,7 @@ def requests(e, wanted=None):
 
 @query("postings", f"WITH {OCC} SELECT term, id, string_agg(pos, ',' ORDER BY pos) AS positions FROM occ GROUP BY 1, 2")
 def postings(e):
-    index = search.postings(e.article_text())
+    index = e.search_index().postings()
     return index.select("term", "id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
@@ -69,7 +72,9 @@ def postings(e):
 def postings_refresh(e):
     article = e.article_text()
     changed = e.summary().select(F.col("article_id").alias("id"))
-    index = search.refreshed(search.postings(article), article, changed)
+    # an index of its own: the refresh adds a segment to it
+    index = search_index.build(article, f"{shared_dir(e.spark)}/postings-{uuid.uuid4().hex}")
+    index = search_index.refresh(index, article, changed).postings()
     return index.groupBy("term").agg(
         F.count(F.lit(1)).alias("articles"), F.sum(F.size("positions")).alias("occurrences")
     )
@@ -78,13 +83,13 @@ def postings_refresh(e):
 @query("search_rank_single", f"""
     WITH {OCC} SELECT id, CAST(round(count(*) * 0.1, 6) AS DOUBLE) AS score FROM occ WHERE term = 'in' GROUP BY id""")
 def search_rank_single(e):
-    out = search.ranked_articles(e.article_text(), requests(e, {1}))
+    out = search_index.ranked(e.search_index(), requests(e, {1}))
     return out.select("id", F.round("score", 6).alias("score"))
 
 
 @query("search_rank_cover", f"WITH {OCC}, {TERMS}, {RANK} SELECT query_id, article_id AS id, round(score, 6) AS score FROM score")
 def search_rank_cover(e):
-    out = search.ranked_articles(e.article_text(), requests(e))
+    out = search_index.ranked(e.search_index(), requests(e))
     return out.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -119,5 +124,25 @@ NAMES = ["blog.thethan.example.net", "therin example", "spam-farm.org"]
     SELECT domain, name, round(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) AS similarity
     FROM d, n WHERE len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))) >= 0.3""")
 def domain_fuzzy(e):
-    out = search.fuzzy_domains(e.stories(), NAMES)
+    out = search.fuzzy_domains(e.stories(), e.spark.createDataFrame([(n,) for n in NAMES], "name string"))
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+PAIRS = """
+    WITH d AS (SELECT DISTINCT {column} AS x, {grams} AS g FROM fx_story WHERE {column} IS NOT NULL)
+    SELECT a.x AS a, b.x AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity
+    FROM d a, d b WHERE a.x < b.x AND len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= {threshold}"""
+
+
+@query("domain_pairs", PAIRS.format(column="domain", grams=GRAMS.format("domain"), threshold=0.5))
+def domain_pairs(e):
+    """All pairs of domains that resemble each other."""
+    out = similarity.similar_pairs(e.stories().select(F.col("domain").alias("text")), threshold=0.5)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("title_pairs", PAIRS.format(column="title", grams=GRAMS.format("title"), threshold=0.6))
+def title_pairs(e):
+    """All pairs of titles that resemble each other."""
+    out = similarity.similar_pairs(e.stories().select(F.col("title").alias("text")), threshold=0.6)
     return out.withColumn("similarity", F.round("similarity", 6))

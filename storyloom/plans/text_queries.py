@@ -130,25 +130,30 @@ def job_validate(e):
 
 
 CLEAN = """clean AS (
-    SELECT story_id, article_id, turn, seq, model, lang, substring(trim(summary, E' \\n\\t'), 1, 800) AS summary,
-        list_filter(list_transform(tags[1:6], lambda t: trim(t)), lambda t: length(t) BETWEEN 2 AND 40) AS tags,
-        list_filter(list_transform(topics[1:6], lambda t: trim(t)), lambda t: length(t) BETWEEN 2 AND 40) AS topics,
+    SELECT trace_id, story_id, article_id, turn, seq, model, lang, substring(trim(summary, E' \\n\\t'), 1, 800) AS summary, primary_category,
+        list_filter(list_transform(coalesce(tags, [])[1:6], lambda t: trim(t)), lambda t: length(t) BETWEEN 2 AND 40) AS tags,
+        list_filter(list_transform(coalesce(topics, [])[1:6], lambda t: trim(t)), lambda t: length(t) BETWEEN 2 AND 40) AS topics,
         list_filter(audience, lambda a: a <> 'Everyone') AS audience, coalesce(type, 'news') AS type,
         CASE WHEN impact_score IS NOT NULL THEN greatest(0, least(100, impact_score)) END AS impact_score,
-        CASE WHEN confidence IS NOT NULL THEN greatest(0.0, least(1.0, confidence)) END AS confidence, summarized_at,
-        array_to_string(list_filter([CASE WHEN article_id IS NULL THEN 'article_id' END, CASE WHEN model IS NULL THEN 'model' END,
-            CASE WHEN lang IS NULL OR length(lang) < 2 THEN 'lang' END, CASE WHEN trim(summary, E' \\n\\t') = '' THEN 'summary' END,
-            CASE WHEN type = 'rumor' THEN 'type' END, CASE WHEN schema_version <> 1 THEN 'schema_version' END],
+        CASE WHEN confidence IS NOT NULL THEN greatest(0.0, least(1.0, confidence)) END AS confidence,
+        summary_140, quicktake, reading_time_min, link_props, summarized_at,
+        array_to_string(list_filter([CASE WHEN trace_id IS NULL THEN 'trace_id' END, CASE WHEN article_id IS NULL THEN 'article_id' END,
+            CASE WHEN model IS NULL THEN 'model' END, CASE WHEN lang IS NULL OR length(lang) < 2 THEN 'lang' END,
+            CASE WHEN trim(summary, E' \\n\\t') = '' THEN 'summary' END, CASE WHEN NOT has_classification THEN 'classification' END,
+            CASE WHEN type = 'rumor' THEN 'classification.type' END, CASE WHEN NOT has_ui THEN 'ui' END,
+            CASE WHEN NOT has_timestamps THEN 'timestamps' END, CASE WHEN schema_version <> 1 THEN 'schema_version' END],
             lambda x: x IS NOT NULL), '|') AS errors
     FROM fx_result)"""
 
 
 @query("result_clean", f"""
-    WITH {CLEAN} SELECT seq, errors, summary, array_to_string(tags, '|') AS tags, array_to_string(topics, '|') AS topics,
-        array_to_string(audience, '|') AS audience, type, impact_score, round(confidence, 6) AS confidence FROM clean""")
+    WITH {CLEAN} SELECT seq, trace_id, errors, summary, primary_category, array_to_string(tags, '|') AS tags, array_to_string(topics, '|') AS topics,
+        array_to_string(audience, '|') AS audience, type, impact_score, round(confidence, 6) AS confidence, summary_140,
+        array_to_string(quicktake, '|') AS quicktake, reading_time_min, link_props FROM clean""")
 def result_clean(e):
-    return results.clean_results(e.result()).select(
-        "seq", "errors", "summary", "tags", "topics", "audience", "type", "impact_score", F.round("confidence", 6).alias("confidence")
+    return results.clean_results(results.decode_results(e.result_json())).select(
+        "seq", "trace_id", "errors", "summary", "primary_category", "tags", "topics", "audience", "type", "impact_score",
+        F.round("confidence", 6).alias("confidence"), "summary_140", "quicktake", "reading_time_min", F.to_json("link_props").alias("link_props"),
     )
 
 
@@ -172,8 +177,9 @@ LABELS = f"""labels_of AS (
 
 def accepted(e):
     """Cleaned results without errors that also pass the presence gate."""
-    clean = results.clean_results(e.result()).where(F.size("errors") == 0)
-    return results.gate_results(clean).where("skip is null")
+    clean = results.clean_results(results.decode_results(e.result_json())).where(F.size("errors") == 0)
+    ids = {c: F.col(c).cast("long") for c in ("story_id", "article_id")}  # the fixtures' ids are numbers
+    return results.gate_results(clean).where("skip is null").withColumns(ids)
 
 
 @query("result_to_vocab", f"WITH {CLEAN}, {LABELS} SELECT story_id, kind, name, slug, n AS seq FROM labels_of")

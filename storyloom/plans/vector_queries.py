@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from storyloom.operators import search, vectors
 from storyloom.operators.feed import Store
 from storyloom.plans.registry import query
 from storyloom.plans.search_queries import OCC, RANK, REQUESTS, TERMS, TOP, requests
+from storyloom.session import durable, shared_dir
 
 K = 10
 NPROBE = 10
@@ -55,18 +58,28 @@ def knn_every_row(e):
 
 
 def _cells(e):
+    """The cell table, stored, and its centres."""
     rows = base(e)
     model = vectors.fit_cells(rows)
-    return vectors.assign_cells(rows, model), np.array(model.clusterCenters())
+    path = f"{shared_dir(e.spark)}/cells-{uuid.uuid4().hex}"
+    vectors.write_cells(vectors.assign_cells(rows, model), path, splits=4)
+    return e.spark.read.parquet(path), np.array(model.clusterCenters())
 
 
-@query("knn_ivf")
+@query("knn_ivf", """
+    SELECT CAST(vec_id AS BIGINT) AS query_id, CAST(count(*) OVER () AS BIGINT) AS queries, 10 AS found, true AS enough, true AS measured FROM embeddings
+    WHERE vec_id % 10 = 0 AND embedding IS NOT NULL""")
 def knn_ivf(e):
+    """A tenth of all rows as queries: how many rows each found, whether the recall over all of them reaches 0.9, and whether every score is the distance."""
     celled, cell_centers = _cells(e)
-    out = vectors.knn_cells(celled, cell_centers, centers(e), K, NPROBE)
-    exact = vectors.knn(base(e), centers(e), K)
-    share = vectors.recall(out, exact)
-    return out.join(share, "query_id").select("query_id", "rank", "id", F.round("distance", 6).alias("distance"), "recall")
+    rows = base(e)
+    asked = rows.where("id % 10 = 0").select(F.col("id").alias("query_id"), "vector")
+    out = durable(vectors.knn_cells(celled, cell_centers, asked, K, vectors.probes_for(celled, cell_centers, K)))
+    share = vectors.recall(out, vectors.knn(rows, asked, K)).agg(F.avg("recall").alias("share"))
+    own = out.join(rows.select("id", F.col("vector").alias("v")), "id").join(asked, "query_id")
+    gap = F.sqrt(F.aggregate(F.zip_with("v", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
+    per = own.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("found"), F.every(F.abs(gap - F.col("distance")) < 1e-9).alias("measured"))
+    return per.select("query_id", per.agg(F.count(F.lit(1))).scalar().alias("queries"), "found", (share.scalar() >= 0.9).alias("enough"), "measured")
 
 
 @query("knn_ivf_all_cells", f"WITH {KNN.format(k=K)} SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INT) AS rank, id, round(d, 6) AS distance FROM knn")

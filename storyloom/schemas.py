@@ -33,7 +33,7 @@ RESULT = (
     f"summary string, classification {CLASSIFICATION}, "
     "ui struct<summary_140 string, quicktake array<string>, audience array<string>, "
     "impact_score int, confidence double, reading_time_min int, "
-    "link_props map<string,string>>, timestamps map<string,string>, schema_version int"
+    "link_props variant>, timestamps map<string,string>, schema_version int"
 )
 
 # Fixed values of the data model.

@@ -7,6 +7,7 @@ given Parquet so that every query reads the whole of its inputs.
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,14 @@ from pyspark.sql import functions as F
 from storyloom import schemas
 from storyloom.functions import text as T
 from storyloom.functions import urls as U
+from storyloom.operators import search_index
 from storyloom.operators.skew import hot_from_counts, lookup
+from storyloom.session import shared_dir
 from storyloom.sources.tables import Tables
 
+#: Stored indexes by session and folder.
+_INDEXES: dict[tuple[str, str], search_index.Index] = {}
+
 AS_OF = "2024-01-08 00:00:00"
 MODEL = "m1"
 EMPTY_PAGE = "<html><script>var a = '<p>x</p>'</script><body> </body></html>"
@@ -137,6 +143,13 @@ class Entities:
         docs = self.t.documents.select(F.col("doc_id").alias("id"), "text")
         return docs.join(firsts, "id", "left_semi")
 
+    def search_index(self) -> search_index.Index:
+        """The stored index of the articles, built once per session and folder."""
+        at = (self.spark.sparkContext.applicationId, self.t.folder)
+        if at not in _INDEXES:
+            _INDEXES[at] = search_index.build(self.article_text(), f"{shared_dir(self.spark)}/search-{uuid.uuid4().hex}")
+        return _INDEXES[at]
+
     def summary(self) -> DataFrame:
         turns = self.t.conversations.where("role = 'assistant'").selectExpr(
             "*", "conv_id % 2 = 0 AS even", "turn = 3 AS blank", "timestamp_seconds(1706745600 + turn * 3600) AS at"
@@ -392,6 +405,26 @@ class Entities:
             F.when(conv % 3 != 0, F.timestamp_seconds(F.lit(1706745600) + turn * 3600)).alias("summarized_at"),
         )
 
+    def result_json(self) -> DataFrame:
+        """Result messages as landed; some lack parts that a message must have."""
+        turn, conv = F.col("turn"), F.col("story_id")
+        words = T.words_py(F.col("text"))
+        turns = self.result().join(self.t.conversations.select(F.col("conv_id").alias("story_id"), "turn", "text"), ["story_id", "turn"])
+        classification = F.struct(F.when(turn == 1, "tech").alias("primary_category"), "type", "tags", "topics")
+        props = F.struct((turn == 1).alias("paywall"), F.lit("html").alias("format"), F.lit(False).alias("is_pdf"))
+        ui = F.struct(
+            F.when(turn != 5, F.substring("text", 1, 20)).alias("summary_140"), F.slice(words, 1, 2).alias("quicktake"), "audience", "impact_score",
+            "confidence", turn.cast("int").alias("reading_time_min"), F.when(turn != 3, props).alias("link_props"),
+        )
+        stamps = F.map_filter(F.create_map(F.lit("summarized_at"), F.date_format("summarized_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")), lambda _, v: v.isNotNull())
+        message = F.struct(
+            F.when(conv % 43 != 0, F.concat(F.lit("t-"), "seq")).alias("trace_id"), conv.cast("string").alias("story_id"),
+            F.col("article_id").cast("string").alias("article_id"), "model", "lang", "summary",
+            F.when(conv % 47 != 0, classification).alias("classification"), F.when(conv % 53 != 0, ui).alias("ui"),
+            F.when(conv % 59 != 0, stamps).alias("timestamps"), "schema_version",
+        )
+        return turns.select("seq", "turn", F.to_json(message).alias("value"))
+
     # -- logs and metrics ------------------------------------------------------
 
     def log(self) -> DataFrame:

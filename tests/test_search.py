@@ -2,10 +2,11 @@
 
 import itertools
 import random
+import re
 
 import pytest
 
-from storyloom.operators import search
+from storyloom.operators import search, similarity
 
 
 def rank(spark, text, q):
@@ -92,23 +93,39 @@ def test_top_stories_with_shared_article(spark):
         assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
 
 
-def test_stored_index(spark, tmp_path, entities):
-    index = search.postings(entities.article_text())
-    search.write_postings(index, str(tmp_path / "idx"), buckets=8, splits=2)
-    stored = spark.read.parquet(str(tmp_path / "idx"))
-    some = search.stored_terms(stored, ["the", "in"], buckets=8)
-    assert some.count() == index.where("term in ('the', 'in')").count() > 0
-
-
-def test_refresh_replaces_only_changed(spark):
-    old = spark.createDataFrame([(1, "a b"), (2, "b c")], "id long, text string")
-    new = spark.createDataFrame([(1, "z"), (2, "b c")], "id long, text string")
-    ids = spark.createDataFrame([(1,)], "id long")
-    got = search.refreshed(search.postings(old), new, ids)
-    assert {(r.term, r.id) for r in got.collect()} == {("z", 1), ("b", 2), ("c", 2)}
-
-
 def test_fuzzy_domains(spark):
     stories = spark.createDataFrame([("example.com",), ("exampel.com",), ("other.org",), (None,)], "domain string")
-    got = {r.domain for r in search.fuzzy_domains(stories, ["example.com"]).collect()}
-    assert got == {"example.com", "exampel.com"}
+    names = spark.createDataFrame([("example.com",)], "name string")
+    assert {r.domain for r in search.fuzzy_domains(stories, names).collect()} == {"example.com", "exampel.com"}
+
+
+def test_fuzzy_titles(spark):
+    stories = spark.createDataFrame([(1, "A new engine"), (2, "a new engine!"), (3, "old news"), (4, None)], "id long, title string")
+    names = spark.createDataFrame([("new engines",)], "name string")
+    got = {r.id: round(r.similarity, 4) for r in search.fuzzy_titles(stories, names, 0.4).collect()}
+    assert set(got) == {1, 2} and got[1] == got[2]
+
+
+def _grams(text):
+    out = set()
+    for w in re.findall(r"[^\W_]+", text.lower()):
+        w = f"  {w} "
+        out |= {w[i : i + 3] for i in range(len(w) - 2)}
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.3, 0.5, 0.7, 0.8, 1.0])
+def test_similar_pairs_are_all_pairs(spark, threshold):
+    rng = random.Random(int(threshold * 10))
+    words = ["site", "sites", "news", "new", "example", "exampel", "blog", "x", "com", "org", "é"]
+    texts = sorted({".".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(120)}) + ["--", ""]
+    df = spark.createDataFrame([(t,) for t in texts] * 2 + [(None,)], "text string")
+    want = {}
+    for a, b in itertools.combinations(texts, 2):
+        x, y = _grams(a), _grams(b)
+        if x | y and len(x & y) / len(x | y) >= threshold:
+            want[tuple(sorted((a, b), key=str.encode))] = round(len(x & y) / len(x | y), 9)
+    got = {(r.a, r.b): round(r.similarity, 9) for r in similarity.similar_pairs(df, threshold=threshold).collect()}
+    assert got == want and want or threshold == 1.0
+    two = similarity.similar_pairs(df.where("text < 'f'"), df.where("text >= 'f'"), threshold).collect()
+    assert {(r.a, r.b) for r in two} == {p for p in want if p[0].encode() < b"f" <= p[1].encode()}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.operators import vectors
+from storyloom.operators import vector_join, vectors
 
 
 @pytest.fixture(scope="module")
@@ -34,9 +34,11 @@ def test_exact(data):
     assert ids(vectors.knn(b.repartition(3), q, 5)) == want
 
 
-def test_blocked(data, monkeypatch):
+def test_cuts_of_blocks_and_queries(data, monkeypatch):
     b, q, want = data
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vector_join, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(vector_join, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(vector_join, "PIVOT_ROWS", 20)
     assert ids(vectors.knn(b, q, 5)) == want
 
 
@@ -50,9 +52,45 @@ def test_cells(data, monkeypatch):
     share = vectors.recall(few, vectors.knn(b, q, 5)).agg(F.avg("recall")).first()[0]
     assert share > 0.6
     narrow = ids(few)
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vector_join, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(vector_join, "BLOCK_QUERIES", 7)
     assert ids(vectors.knn_cells(celled, centers, q, 5, nprobe=10)) == want
     assert ids(vectors.knn_cells(celled, centers, q, 5, nprobe=4)) == narrow
+    probes = vectors.probes_for(celled, centers, 5, target=0.95, sample=100)
+    wide = vectors.knn_cells(celled, centers, q, 5, nprobe=probes)
+    assert 4 < probes <= 10 and vectors.recall(wide, vectors.knn(b, q, 5)).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_bounds_leave_pairs_out(spark, monkeypatch):
+    """Vectors in clusters: a query meets its own neighbourhood only, and the answer is exact."""
+    monkeypatch.setattr(vector_join, "PIVOT_ROWS", 40)
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(40, 1, 6)) * 20 + rng.normal(size=(40, 30, 6))).reshape(-1, 6)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(4)
+    asked = rows.select(F.col("id").alias("query_id"), "vector")
+    got = ids(vectors.knn(rows, asked, 4))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert got == {i: sorted(range(len(x)), key=lambda n: (d[i, n], n))[:4] for i in range(len(x))}
+    pairs = vectors.pairs_compared(vectors.visits(rows, asked, 4)).agg(F.sum("pairs"), F.count("*")).first()
+    assert pairs[1] == len(x) and pairs[0] < len(x) ** 2 / 4
+
+
+def test_vectors_that_cannot_be_compared(spark):
+    nan = float("nan")
+    b = [(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [1.0]), (4, None), (5, []), (6, [None, 1.0]), (7, [nan, 1.0]), (8, [0.0, 0.0])]
+    q = [(1, [0.0, 0.0]), (2, [2.0]), (3, [1.0, 2.0, 3.0]), (4, None), (5, [nan, 0.0])]
+    rows = spark.createDataFrame(b, "id long, vector array<double>")
+    asked = spark.createDataFrame(q, "query_id long, vector array<double>")
+    got = {(r.query_id, r["rank"]): (r.id, r.distance) for r in vectors.knn(rows, asked, 9).collect()}
+    assert got == {(1, 1): (1, 0.0), (1, 2): (8, 0.0), (1, 3): (2, 5.0), (2, 1): (3, 1.0)}
+    assert vectors.knn(rows.where("id < 0"), asked, 3).count() == 0
+
+
+def test_one_vector_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr(vector_join, "BLOCK_ROWS", 50)
+    rows = spark.createDataFrame([(i, [1.0, 2.0] if i % 3 else [float(i), 0.0]) for i in range(900)], "id long, vector array<double>")
+    got = ids(vectors.knn(rows, spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, vector array<double>"), 4))
+    assert got == {1: [1, 2, 4, 5]}
 
 
 def test_no_queries(data):
