@@ -59,6 +59,7 @@ class FeedQuery:
     since: str | None = None
     limit: int = DEFAULT_PAGE
     offset: int = 0
+    after: dict | None = None  # the cursor of a page; its rows come behind it, whatever the offset
 
     def __post_init__(self):
         self.q = (self.q or "").strip()
@@ -71,6 +72,7 @@ class FeedQuery:
 class FeedPage:
     items: DataFrame
     next_offset: int | None
+    cursor: dict | None = None
 
 
 def story_list(store: Store) -> DataFrame:
@@ -115,6 +117,8 @@ def filtered(store: Store, query: FeedQuery, base: DataFrame | None = None) -> D
         out = with_any_slug(out, store.story_topic, store.topic, "topic_id", query.topics)
     if query.q:
         out = matching_text(store, out, query.q)
+    if query.after is not None:
+        out = out.where(behind(query.sort, query.after))
     return with_summary(store, out)
 
 
@@ -129,6 +133,31 @@ def ordering(sort: str) -> list[Column]:
     return [F.coalesce("hot_score", F.lit(0.0)).desc(), *newest_first]
 
 
+def behind(sort: str, cursor: dict) -> Column:
+    """Rows that come after the cursor in the sort order, as predicates on plain columns that reach the scan.
+
+    ``cursor``: the last row's ``id``, ``created_at`` and, where the order has one, its leading value.
+    """
+    at = F.lit(cursor["created_at"])
+    later = (F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") > F.lit(cursor["id"])))
+    if sort == "newest":
+        # a plain bound in front, which a scan can use to leave row groups out
+        return (F.col("created_at") <= at) & later
+    if sort in ("points", "comments"):
+        lead = F.col("points" if sort == "points" else "comments_count")
+        if cursor["lead"] is None:
+            return lead.isNull() & later
+        return lead.isNull() | (lead < cursor["lead"]) | ((lead == cursor["lead"]) & later)
+    lead = F.coalesce("hot_score", F.lit(0.0))
+    return (lead < cursor["lead"]) | ((lead == cursor["lead"]) & later)
+
+
+def cursor_of(sort: str, row) -> dict:
+    """The cursor that stands behind ``row``."""
+    lead = {"points": row["points"], "comments": row["comments_count"], "hot": row["hot_score"] or 0.0}
+    return {"id": row["id"], "created_at": row["created_at"], "lead": lead.get(sort)}
+
+
 def page_of(ranked: DataFrame, sort: str, limit: int, offset: int) -> DataFrame:
     return ranked.orderBy(*ordering(sort)).offset(offset).limit(limit)
 
@@ -202,7 +231,8 @@ def feed(store: Store, query: FeedQuery) -> FeedPage:
     wide tables are then filtered by those literal ids, which reaches their scans.
     """
     ranked = filtered(store, query)
-    top = page_of(ranked, query.sort, query.limit, query.offset)
+    # behind a cursor every page is the first one: no rows are sorted to be skipped
+    top = page_of(ranked, query.sort, query.limit, query.offset if query.after is None else 0)
     rows = top.collect()
     spark = store.story.sparkSession
     page = spark.createDataFrame(rows, top.schema)
@@ -219,6 +249,7 @@ def feed(store: Store, query: FeedQuery) -> FeedPage:
             "impact_score", "confidence", "paywall", "link_format", "is_pdf", "class_type",
         ),
         query.offset + len(rows) if full else None,
+        cursor_of(query.sort, rows[-1]) if full else None,
     )
 
 
@@ -229,11 +260,9 @@ def enriched(store: Store, stories: DataFrame) -> DataFrame:
 
 
 def story_detail(store: Store, articles: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Story with its article, summaries and signals; unknown ids give no row.
+    """Story with its article, all its article's summaries, newest first, and its signals; unknown ids give no row.
 
-    ``store.summary`` holds one summary per article, as the uniqueness rule demands,
-    so the summaries array has at most one entry. Before that rule is applied use
-    ``article_summaries``, which returns rows instead of an array.
+    Summaries are gathered once per article that is asked for and only then spread to its stories.
     """
     stories = store.story if ids is None else store.story.join(ids.select("id").distinct(), "id", "left_semi")
     signals = store.rank_signals.select(
@@ -241,10 +270,15 @@ def story_detail(store: Store, articles: DataFrame, ids: DataFrame | None = None
     )
     article = articles.select(
         F.col("id").alias("article_id"),
-        F.struct(F.col("id"), "language", "text", "word_count", "content_hash").alias("article"),
+        F.struct(F.col("id"), "language", "html", "text", "word_count", "content_hash").alias("article"),
     )
     one = F.struct("id", "model", "lang", "summary", "created_at", "classification_json", "ui_json", "summarized_at")
-    summaries = store.summary.select("article_id", F.array(one).alias("summaries"))
+    wanted = store.summary
+    if ids is not None:
+        wanted = wanted.join(stories.select("article_id").distinct(), "article_id", "left_semi")
+    # sorted by (time, id) first, so the newest stands last
+    listed = F.reverse(F.sort_array(F.collect_list(F.struct("created_at", "id", one.alias("s")))))
+    summaries = wanted.groupBy("article_id").agg(F.transform(listed, lambda x: x["s"]).alias("summaries"))
     out = with_vocab(stories, story_tags(store), story_topics(store)).join(signals, "id", "left")
     out = lookup(out, article, "article_id", heavy=store.heavy_articles)
     out = lookup(out, summaries, "article_id", heavy=store.heavy_articles)

@@ -89,6 +89,22 @@ for _key, (_query, _sql) in _FEEDS.items():
     query(_key, feed_sql(**_sql))(lambda e, q=_query: feed.feed(Store.of(e), q).items)
 
 
+def _deep(e, sort: str, limit: int, pages: int):
+    """The last of several pages, each found by the cursor of the one before."""
+    page = feed.feed(Store.of(e), FeedQuery(sort=sort, limit=limit))
+    for _ in range(pages - 1):
+        if page.cursor is None:
+            return page.items.where(F.lit(False))
+        page = feed.feed(Store.of(e), FeedQuery(sort=sort, limit=limit, after=page.cursor))
+    return page.items
+
+
+for _sort, _limit, _pages in (("hot", 7, 3), ("newest", 9, 4), ("points", 8, 5), ("comments", 5, 3)):
+    query(f"feed_seek_{_sort}", feed_sql(sort=_sort, limit=_limit, offset=_limit * (_pages - 1)))(
+        lambda e, s=_sort, n=_limit, p=_pages: _deep(e, s, n, p)
+    )
+
+
 @query("feed_has_summary", f"""
     SELECT s.id, s.article_id, s.hot_score FROM (
         SELECT s.*, r.hot_score FROM fx_story s LEFT JOIN fx_rank_signals r ON r.story_id = s.id) s
@@ -156,22 +172,22 @@ def story_base_json(e):
 
 
 @query("story_detail", f"""
-    WITH {TAGS}, {TOPICS}, {LATEST}
+    WITH {TAGS}, {TOPICS},
+    told AS (SELECT article_id, count(*) AS n, string_agg(id || ':' || strftime(created_at, '%H:%M') || ':' || summary, '|' ORDER BY created_at DESC, id DESC) AS summaries
+             FROM fx_summary GROUP BY 1)
     SELECT {BASE}, coalesce(g.tags, '') AS tags, coalesce(h.topics, '') AS topics,
-           a.word_count, a.content_hash, a.text, m.id AS summary_id, m.summary,
-           CASE WHEN m.id IS NULL THEN 0 ELSE 1 END AS n_summaries, r.hot_score, r.click_count
+           a.word_count, a.content_hash, a.text, '<article>' || a.text || '</article>' AS html,
+           coalesce(m.n, 0)::INT AS n_summaries, coalesce(m.summaries, '') AS summaries, r.hot_score, r.click_count
     FROM fx_story s LEFT JOIN tags_of g ON g.story_id = s.id LEFT JOIN topics_of h ON h.story_id = s.id
-    LEFT JOIN fx_article a ON a.id = s.article_id LEFT JOIN latest m ON m.article_id = s.article_id
+    LEFT JOIN fx_article a ON a.id = s.article_id LEFT JOIN told m ON m.article_id = s.article_id
     LEFT JOIN fx_rank_signals r ON r.story_id = s.id""")
 def story_detail(e):
-    store = Store.of(e)
-    store.summary = merge.one_summary_per_article(store.summary)
-    out = feed.story_detail(store, e.article())
-    first = F.get("summaries", F.lit(0))
+    html = F.concat(F.lit("<article>"), "text", F.lit("</article>"))
+    out = feed.story_detail(Store.of(e), e.article().withColumn("html", html))
+    told = F.transform("summaries", lambda x: F.concat_ws(":", x["id"], F.date_format(x["created_at"], "HH:mm"), x["summary"]))
     return out.select(
-        *feed.STORY_COLUMNS, "tags", "topics", "article.word_count", "article.content_hash", "article.text",
-        first["id"].alias("summary_id"), first["summary"].alias("summary"), F.size("summaries").alias("n_summaries"),
-        "rank_signals.hot_score", "rank_signals.click_count",
+        *feed.STORY_COLUMNS, "tags", "topics", "article.word_count", "article.content_hash", "article.text", "article.html",
+        F.size("summaries").alias("n_summaries"), F.array_join(told, "|").alias("summaries"), "rank_signals.hot_score", "rank_signals.click_count",
     )
 
 

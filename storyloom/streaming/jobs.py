@@ -1,6 +1,6 @@
 """Structured Streaming forms of the stages, with replay-safe writes.
 
-Multi-table micro-batches are committed as one Parquet write under the batch id, so a
+Multi-table micro-batches are committed as one Parquet write under the batch id and one rename, so a
 batch is there as a whole or not at all, and a replayed batch is recognised and skipped.
 """
 
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
+from storyloom.functions import urls as U
 from storyloom.operators import ingest, stages
+from storyloom.session import durable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SEEN = f"{ingest.SEEN_DAYS} days"
@@ -24,18 +26,22 @@ TTL_MS = ingest.SEEN_DAYS * 24 * 3600 * 1000
 # -- commits -------------------------------------------------------------------
 
 
-def _committed(spark: SparkSession, pattern: str) -> list[str]:
-    """Folders matching the pattern whose batch was written as a whole."""
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
-    found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
-    return [f.getPath().getParent().toString() for f in found or []]
+def _folder(spark: SparkSession, path: str):
+    """A path and the file system that holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def commit_batch(frames: dict[str, DataFrame], root: str, batch_id: int) -> bool:
-    """Write several tables in one commit; False when the batch was there already."""
+    """Write several tables in one commit; False when the batch was there already.
+
+    The batch is written beside the table, in a folder that Spark does not read, and becomes part of it by
+    one rename. Who reads or follows the table meets whole batches only, and a replay never touches one.
+    The store has to rename folders as a whole, as HDFS and local disks do.
+    """
     spark = next(iter(frames.values())).sparkSession
-    path = f"{root}/batch={batch_id}"
-    if _committed(spark, path):
+    at, store = _folder(spark, f"{root}/batch={batch_id}")
+    if store.exists(at):
         return False
     out = None
     for name, df in frames.items():
@@ -45,20 +51,26 @@ def commit_batch(frames: dict[str, DataFrame], root: str, batch_id: int) -> bool
         ]
         part = df.select(F.lit(name).alias("kind"), *columns)
         out = part if out is None else out.unionByName(part)
-    out.write.mode("overwrite").partitionBy("kind").parquet(path)
+    beside = f"{root}/_writing/batch={batch_id}"
+    out.write.mode("overwrite").partitionBy("kind").parquet(beside)
+    if not store.rename(_folder(spark, beside)[0], at):
+        raise OSError(f"batch {batch_id} was written but could not be moved into {root}")
     return True
 
 
+def _any(spark: SparkSession, root: str) -> bool:
+    at, store = _folder(spark, root)
+    return store.exists(at) and any(f.getPath().getName().startswith("batch=") for f in store.listStatus(at))
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One table of all committed batches, with the batch it came in."""
-    rows = spark.read.option("basePath", root).parquet(*_committed(spark, f"{root}/batch=*"))
-    return rows.where(F.col("kind") == name).select("batch", f"{name}.*")
+    return spark.read.parquet(root).where(F.col("kind") == name).select("batch", f"{name}.*")
 
 
 def follow_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The same table as a stream, for the next stage."""
-    schema = spark.read.option("basePath", root).parquet(root).schema
-    rows = spark.readStream.schema(schema).option("basePath", root).parquet(f"{root}")
+    """The same table as a stream, for the next stage: each committed batch once."""
+    rows = spark.readStream.schema(spark.read.parquet(root).schema).parquet(root)
     return rows.where(F.col("kind") == name).select(f"{name}.*")
 
 
@@ -118,7 +130,7 @@ def marking(
 
     def run(batch: DataFrame) -> dict[str, DataFrame]:
         spark = batch.sparkSession
-        marks = read_table(spark, root, "mark") if _committed(spark, f"{root}/batch=*") else None
+        marks = read_table(spark, root, "mark") if _any(spark, root) else None
         at = now()
         fresh = unmarked(batch, marks, keys, at, order)
         return {**stage(fresh), "mark": fresh.select(*keys, at.alias("done_at"))}
@@ -194,8 +206,76 @@ def daily_counters(metrics: DataFrame) -> DataFrame:
 # -- routes --------------------------------------------------------------------
 
 
+class HoldUntilVisible(StatefulProcessor):
+    """Holds each retry job until its ``visible_at`` and lets it through once.
+
+    A job is kept under its own key (trace and attempt), so state is one row per waiting job and no key
+    is shared by many. A timer at ``visible_at`` releases it when event time has come that far.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "visible_at long, value string")
+
+    def handleInputRows(self, key, rows, timer_values):
+        due = None
+        for pdf in rows:
+            for value, at in zip(pdf["value"], pdf["visible_at"], strict=True):
+                due = (int(at), value) if due is None else max(due, (int(at), value))
+        # a job that arrives again while it waits, or after it was let through, is the same job
+        if due is not None and not self.held.exists():
+            self.held.update(due)
+            if due[0] > timer_values.getCurrentWatermarkInMs():
+                self.handle.registerTimer(due[0])
+            else:
+                yield self._out(key, due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # named as Spark passes them
+        due = self.held.get()
+        yield self._out(key, (due[0], due[1]))
+
+    @staticmethod
+    def _out(key, due) -> pd.DataFrame:
+        return pd.DataFrame({"trace_id": [key[0]], "attempt": pd.array([key[1]], "Int32"), "visible_at": [due[0]], "value": [due[1]]})
+
+    def close(self) -> None:
+        pass
+
+
+def delayed(jobs: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """A stream of retry jobs (``trace_id, attempt, visible_at, value``, event time ``at``) in which each comes out when it is due.
+
+    Due is what event time has passed, so any later arrival drives the clock. Needs the RocksDB state store.
+    """
+    rows = jobs.withWatermark("at", late).select("trace_id", F.coalesce("attempt", F.lit(0)).cast("int").alias("attempt"), F.coalesce("visible_at", F.lit(0)).cast("long").alias("visible_at"), "value", "at")
+    return rows.groupBy("trace_id", "attempt").transformWithStateInPandas(
+        HoldUntilVisible(), outputStructType="trace_id string, attempt int, visible_at long, value string", outputMode="Append", timeMode="EventTime"
+    )
+
+
+def jobs_with_bodies(jobs: DataFrame, bodies: DataFrame, wait: str = "10 minutes", late: str = "1 minute") -> DataFrame:
+    """Scrape jobs joined with the bodies that land for them, as streams: a job without a body within ``wait`` comes out with none.
+
+    ``jobs``: value, trace_id, url, ``asked_at``; ``bodies``: url, status, content_type, html, ``landed_at``. A body that
+    landed up to ``wait`` before or after the job counts. Both sides leave the state once event time is past that window.
+    """
+    j = jobs.withColumn("url", U.canonical_url(F.col("url"))).withWatermark("asked_at", late)
+    b = bodies.select(U.canonical_url(F.col("url")).alias("_url"), "status", "content_type", "html", "landed_at").withWatermark("landed_at", late)
+    near = F.expr(f"landed_at >= asked_at - interval {wait} and landed_at <= asked_at + interval {wait}")
+    return j.join(b, (F.col("url") == F.col("_url")) & near, "left").drop("_url")
+
+
+def scrape_joined(batch: DataFrame, language: Column, now_ms: Column) -> dict[str, DataFrame]:
+    """The scrape stage for a micro-batch of ``jobs_with_bodies``: jobs that met no body are tried again later."""
+    batch = durable(batch)
+    # a job that met several bodies is one job; the stage chooses among the bodies of a page
+    jobs = batch.groupBy("trace_id").agg(F.any_value("value").alias("value"))
+    bodies = batch.where("landed_at is not null").select("url", "status", "content_type", "html").distinct()
+    return stages.scrape_stage(jobs.select("value"), bodies, language, now_ms)
+
+
 def requeue(batch: DataFrame, now_ms: Column) -> dict[str, DataFrame]:
-    """Retry jobs due now, and the ones to put back until their time comes."""
+    """Retry jobs due now, and the ones to put back until their time comes: the batch form of ``delayed``."""
     due = F.col("visible_at").isNull() | (F.col("visible_at") <= now_ms)
     return {"due": batch.where(due), "waiting": batch.where(~due)}
 

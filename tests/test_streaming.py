@@ -1,6 +1,7 @@
 """Streams drained with availableNow: twins of the batch forms, replays, stages in a row."""
 
 import datetime as dt
+import json
 import time
 
 import pytest
@@ -161,3 +162,88 @@ def test_seen_runs_against_day_by_day_walk(entities):
             marks[id_] = run
             want.add((id_, run))
     assert kept == want
+
+
+def _land(spark, root, n, rows, schema):
+    """One more file for a file stream; event times are given in seconds."""
+    df = spark.createDataFrame(rows, schema)
+    for f in df.schema.fields:
+        if f.name in ("at", "asked_at", "landed_at"):
+            df = df.withColumn(f.name, F.timestamp_seconds(f.name))
+    df.coalesce(1).write.mode("append").parquet(root)
+
+
+def test_a_retry_job_is_held_over_micro_batches_and_released_once(spark, root):
+    schema = "trace_id string, attempt int, visible_at long, value string, at long"
+    out = []
+
+    def run(rows):
+        _land(spark, f"{root}/retry", 0, rows, schema)
+        jobs = spark.readStream.schema(spark.read.parquet(f"{root}/retry").schema).parquet(f"{root}/retry")
+        q = (
+            J.delayed(jobs).writeStream.foreachBatch(lambda df, _: out.extend((r.trace_id, r.attempt, r.value) for r in df.collect()))
+            .option("checkpointLocation", f"{root}/ck").outputMode("append").trigger(availableNow=True).start()
+        )
+        assert q.awaitTermination(120)
+        found, out[:] = sorted(out), []
+        return found
+
+    assert run([("a", 1, 30_000, "A", 10), ("b", 1, 5_000, "B", 10), ("c", 1, None, "C", 10)]) in ([("b", 1, "B"), ("c", 1, "C")],)
+    assert run([("a", 1, 30_000, "A", 20)]) == []  # not yet due, and no second copy of it
+    assert run([("d", 2, 90_000, "D", 29)]) == []
+    assert run([("x", 1, 500_000, "X", 40)]) == [("a", 1, "A")]
+    assert run([("a", 1, 30_000, "A", 50), ("a", 2, 60_000, "A2", 50)]) == []  # the same attempt again, and a new one
+    assert run([("y", 1, 500_000, "Y", 100)]) == [("a", 2, "A2"), ("d", 2, "D")]
+
+
+def test_jobs_meet_late_missing_and_repeated_bodies(spark, root):
+    job = "value string, trace_id string, url string, asked_at long"
+    body = "url string, status int, content_type string, html string, landed_at long"
+    page = lambda w: f"<html><article><p>{' '.join([w] * 120)}</p></article></html>"
+
+    def ask(n, url):
+        story = {"id": str(n), "hn_id": n, "source": "hn", "title": "t", "url": url, "domain": None, "author": None, "created_at": "2024-01-01T00:00:00.000Z"}
+        return json.dumps({"trace_id": f"t{n}", "story": story, "attempt": 0, "schema_version": 1}), f"t{n}", url
+
+    made = []
+
+    def run(jobs, bodies):
+        _land(spark, f"{root}/j", 0, jobs, job)
+        _land(spark, f"{root}/b", 0, bodies, body)
+        j, b = (spark.readStream.schema(spark.read.parquet(f"{root}/{x}").schema).parquet(f"{root}/{x}") for x in "jb")
+        joined = J.jobs_with_bodies(j, b, wait="100 seconds", late="0 seconds")
+
+        def write(batch, n):
+            found = J.scrape_joined(batch, F.lit("en"), F.lit(0))
+            trace = F.get_json_object("value", "$.trace_id")
+            made.extend(("job", r[0]) for r in found["summarize_job"].select(trace).collect())
+            made.extend(("retry", r.trace_id) for r in found["retry"].collect())
+
+        q = joined.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/ck").outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(180)
+        got, made[:] = sorted(made), []
+        return got
+
+    u = "https://example.com/"
+    # 1: body with the job; 2: body comes later; 3: never; 4: two bodies, one failed
+    first = run(
+        [(*ask(1, u + "1"), 1000), (*ask(2, u + "2"), 1000), (*ask(3, u + "3"), 1000), (*ask(4, u + "4"), 1000)],
+        [(u + "1", 200, "text/html", page("one"), 1010), (u + "4", 503, "text/html", "", 1005), (u + "4", 200, "text/html", page("four"), 1006)],
+    )
+    assert first == [("job", "t1"), ("job", "t4")]
+    assert run([(*ask(5, u + "5"), 1050)], [(u + "2", 200, "text/html", page("two"), 1060)]) == [("job", "t2")]
+    # event time passes the window of jobs 3 and 5
+    late = run([(*ask(6, u + "6"), 2000)], [(u + "9", 200, "text/html", page("nine"), 2000)])
+    late += run([(*ask(7, u + "7"), 3000)], [(u + "8", 200, "text/html", page("eight"), 3000)])
+    assert ("retry", "t3") in late and ("retry", "t5") in late and not [x for x in late if x[0] == "job"]
+
+
+def test_followers_see_committed_batches_only(spark, root):
+    frames = lambda n: {"a": spark.createDataFrame([(n,)], "n int")}
+    J.commit_batch(frames(1), f"{root}/t", 1)
+    # a batch that a lost driver left half written
+    frames(9)["a"].select(F.lit("a").alias("kind"), F.struct("n").alias("a")).write.partitionBy("kind").parquet(f"{root}/t/_writing/batch=2")
+    assert [r.n for r in J.read_table(spark, f"{root}/t", "a").collect()] == [1]
+    assert J.commit_batch(frames(2), f"{root}/t", 2) is True
+    out = drain(J.follow_table(spark, f"{root}/t", "a"), root, "followed")
+    assert sorted(r.n for r in out.collect()) == [1, 2]
