@@ -30,6 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from storyloom.llm.common import partitions, store, text_of
 
@@ -41,6 +42,8 @@ FLUSH_BYTES = 2_000_000
 #: Documents read for the splitters.
 SPLITTER_DOCS = 2_000
 BUCKET_BYTES = 1_500_000
+#: Bytes of texts whose anchor hashes meet in one task: a seventeenth of them are anchors, of which a chunk sends each hash once.
+ANCHOR_BYTES = 4_000_000
 _UNITS = 1 << 30
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -136,21 +139,22 @@ def equal_windows(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Segments:
-    """Runs of strings under judgement: doc_id, place of the first in its text, number of strings, bytes."""
+    """Runs of strings under judgement: text (doc_id and digest), place of the first in its text, number of strings, bytes."""
 
     def __init__(self):
-        self.doc, self.start, self.n, self.data, self.lead = [], [], [], [], []
+        self.text, self.start, self.n, self.data, self.lead = [], [], [], [], []
         self.bytes = 0
 
-    def add(self, doc, start, n, data: np.ndarray, lead=None):
-        self.doc.append(doc), self.start.append(start), self.n.append(n), self.data.append(data)
+    def add(self, text: np.ndarray, start, n, data: np.ndarray, lead=None):
+        self.text.append(text), self.start.append(start), self.n.append(n), self.data.append(data)
         if lead is not None:
             self.lead.append(lead)
         self.bytes += len(data)
 
     def judge(self):
         """Per string: segment, place in its text, and whether a smaller doc_id has it."""
-        doc, start, n = (np.concatenate(x) for x in (self.doc, self.start, self.n))
+        text, start, n = (np.concatenate(x) for x in (self.text, self.start, self.n))
+        doc = text[:, 0]
         buf = np.concatenate(self.data)
         base = np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1)
         seg = np.repeat(np.arange(len(n)), n)
@@ -161,18 +165,19 @@ class Segments:
             first = np.flatnonzero(new)
             owner = doc[seg[order]]
             lost[order] = owner > np.minimum.reduceat(owner, first)[np.cumsum(new) - 1]
-        return doc, start, buf, base, seg, inner, lost
+        return text, start, buf, base, seg, inner, lost
 
 
-def _spans(doc, place, lost) -> dict[int, np.ndarray]:
-    """Places of lost strings by doc_id."""
-    d, p = doc[lost], place[lost]
+def _spans(text, seg, place, lost) -> list[tuple[int, int, np.ndarray]]:
+    """``(doc_id, digest, places)`` of lost strings."""
+    if not lost.any():
+        return []
+    names, number = np.unique(text, axis=0, return_inverse=True)
+    d, p = number.ravel()[seg[lost]], place[lost]
     o = np.argsort(d, kind="stable")
     d, p = d[o], p[o]
-    if not len(d):
-        return {}
     cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-    return {int(d[s]): np.unique(p[s:e]) for s, e in zip(cut, np.r_[cut[1:], len(d)], strict=True)}
+    return [(*names[d[s]].tolist(), np.unique(p[s:e])) for s, e in zip(cut, np.r_[cut[1:], len(d)], strict=True)]
 
 
 def _runs_of(places: np.ndarray) -> np.ndarray:
@@ -201,13 +206,19 @@ def _numbers(parts: list[bytes], kind) -> np.ndarray:
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, z)``: texts compressed before they are shuffled."""
+    """``(doc_id, digest, z)``: texts compressed before they are shuffled."""
 
     def run(batches):
         for b in batches:
-            yield _cols(doc_id=b.column(0), z=pa.array([_zip(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary()))
+            yield _cols(doc_id=b.column(0), digest=b.column(1), z=pa.array([_zip(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()], pa.binary()))
 
-    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc_id long, z binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()), text_of()).mapInArrow(run, "doc_id long, digest long, z binary")
+
+
+def _same_text(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Join on (doc_id, digest): rows that share a doc_id are one text or texts of their own."""
+    other = other.withColumnsRenamed({"doc_id": "_of", "digest": "_digest"})
+    return texts.join(other, (F.col("doc_id") == F.col("_of")) & (F.col("digest") == F.col("_digest")), how).drop("_of", "_digest")
 
 
 def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
@@ -306,20 +317,21 @@ def splitters(docs: DataFrame, n_docs: int, buckets: int) -> np.ndarray:
 
 
 def removed_windows(docs: DataFrame, reps: DataFrame, n_docs: int, n_bytes: int) -> DataFrame:
-    """``(doc_id, runs)``: packed (place, number) pairs of strings that a smaller doc_id has."""
+    """``(doc_id, digest, runs)``: packed (place, number) pairs of strings that a smaller doc_id has."""
     spark: SparkSession = docs.sparkSession
     buckets = max(partitions(spark), -(-n_bytes // BUCKET_BYTES))
-    shared = store(shared_anchors(docs, buckets), "suffix-anchors")
-    wanted = shared.join(reps.select("digest", "doc_id"), "digest").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    shared = store(shared_anchors(docs, max(partitions(spark), -(-n_bytes // ANCHOR_BYTES))), "suffix-anchors")
+    told = shared.groupBy("digest").agg(F.collect_list("hashes").alias("hashes"))  # the anchors of one text
+    wanted = reps.select("doc_id", "digest").join(told, "digest")
     cuts = spark.sparkContext.broadcast(splitters(docs, n_docs, buckets))
     # only the texts that have shared anchors go on
-    texts = packed_texts(docs).join(wanted.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of")).select("doc_id", "z", "hashes")
+    texts = _same_text(packed_texts(docs), wanted, "inner").select("doc_id", "digest", "z", "hashes")
 
     def decide(segments: Segments, lead: bool):
-        doc, start, buf, base, seg, inner, lost = segments.judge()
+        text, start, buf, base, seg, inner, lost = segments.judge()
         place = start[seg] + inner
-        for d, places in _spans(doc[seg], place, lost).items():
-            yield d, _runs_of(places).tobytes()
+        for d, digest, places in _spans(text, seg, place, lost):
+            yield d, digest, _runs_of(places).tobytes()
         if not lead:
             return
         # undecided strings go on as runs, each place of the smallest doc_id that has them here
@@ -336,7 +348,7 @@ def removed_windows(docs: DataFrame, reps: DataFrame, n_docs: int, n_bytes: int)
             where = base[seg[first[own]]] + inner[first[own]]
             size = n[own] + WINDOW - 1
             data = buf[np.repeat(where - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
-            yield b, doc[seg[first[own]]].tobytes(), place[first[own]].tobytes(), n[own].astype(np.int32).tobytes(), _zip(data.tobytes())
+            yield b, text[seg[first[own]]].tobytes(), place[first[own]].tobytes(), n[own].astype(np.int32).tobytes(), _zip(data.tobytes())
 
     def local(batches):
         held = Segments()
@@ -345,19 +357,22 @@ def removed_windows(docs: DataFrame, reps: DataFrame, n_docs: int, n_bytes: int)
             lost, rest = [], []
             if held.bytes:
                 for r in decide(held, True):
-                    (lost if len(r) == 2 else rest).append(r)
+                    (lost if len(r) == 3 else rest).append(r)
             if lost:
                 none = pa.nulls(len(lost), pa.binary())
-                yield _cols(kind=pa.array([1] * len(lost), pa.int32()), key=pa.array([r[0] for r in lost], pa.int64()), a=pa.array([r[1] for r in lost], pa.binary()), b=none, c=none, d=none)
+                yield _cols(
+                    kind=pa.array([1] * len(lost), pa.int32()), key=pa.array([r[0] for r in lost], pa.int64()), digest=pa.array([r[1] for r in lost], pa.int64()),
+                    a=pa.array([r[2] for r in lost], pa.binary()), b=none, c=none, d=none,
+                )
             if rest:
                 yield _cols(
-                    kind=pa.array([0] * len(rest), pa.int32()), key=pa.array([r[0] for r in rest], pa.int64()),
+                    kind=pa.array([0] * len(rest), pa.int32()), key=pa.array([r[0] for r in rest], pa.int64()), digest=pa.nulls(len(rest), pa.int64()),
                     **{x: pa.array([r[i + 1] for r in rest], pa.binary()) for i, x in enumerate("abcd")},
                 )
 
         for b in batches:
-            ids, blobs = b.column(0).to_pylist(), b.column(2).to_pylist()
-            texts = [_unzip(z) for z in b.column(1).to_pylist()]
+            names, blobs = np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]), b.column(3).to_pylist()
+            texts = [_unzip(z) for z in b.column(2).to_pylist()]
             for numbers, c in _chunks(texts):
                 doc_no = c.docs_of(c.anchors)
                 hit = np.zeros(len(c.anchors), bool)
@@ -373,7 +388,7 @@ def removed_windows(docs: DataFrame, reps: DataFrame, n_docs: int, n_bytes: int)
                 data = c.buf[np.repeat(place - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
                 grams = c.buf[c.anchors[chosen][:, None] + np.arange(GRAM)].view(f"S{GRAM}").ravel()
                 offset = np.array([at for _, at in numbers], np.int64)
-                held.add(np.array([ids[i] for i, _ in numbers], np.int64)[d], place - c.starts[d] + offset[d], n, data, grams)
+                held.add(names[[i for i, _ in numbers]][d], place - c.starts[d] + offset[d], n, data, grams)
                 if held.bytes > FLUSH_BYTES:
                     yield from flush()
                     held = Segments()
@@ -381,42 +396,42 @@ def removed_windows(docs: DataFrame, reps: DataFrame, n_docs: int, n_bytes: int)
 
     def sort_bucket(t: pa.Table) -> pa.Table:
         if t.column("kind")[0].as_py() == 1:
-            return t.select(["key", "a"]).rename_columns(["doc_id", "runs"])
+            return t.select(["key", "digest", "a"]).rename_columns(["doc_id", "digest", "runs"])
         held = Segments()
         for a, b, c, d in zip(*(t.column(x).to_pylist() for x in "abcd"), strict=True):
-            held.add(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int32).astype(np.int64), np.frombuffer(_unzip(d), np.uint8))
+            held.add(np.frombuffer(a, np.int64).reshape(-1, 2), np.frombuffer(b, np.int64), np.frombuffer(c, np.int32).astype(np.int64), np.frombuffer(_unzip(d), np.uint8))
         found = list(decide(held, False))
-        return pa.table({"doc_id": pa.array([r[0] for r in found], pa.int64()), "runs": pa.array([r[1] for r in found], pa.binary())})
+        return pa.table({"doc_id": pa.array([r[0] for r in found], pa.int64()), "digest": pa.array([r[1] for r in found], pa.int64()), "runs": pa.array([r[2] for r in found], pa.binary())})
 
-    sent = texts.mapInArrow(local, "kind int, key long, a binary, b binary, c binary, d binary")
+    sent = texts.mapInArrow(local, "kind int, key long, digest long, a binary, b binary, c binary, d binary")
     key = F.when(F.col("kind") == 0, F.col("key")).otherwise(F.lit(buckets) + F.pmod("key", F.lit(buckets))).alias("bucket")
-    return sent.withColumn("bucket", key).groupBy("bucket").applyInArrow(sort_bucket, "doc_id long, runs binary")
+    return sent.withColumn("bucket", key).groupBy("bucket").applyInArrow(sort_bucket, "doc_id long, digest long, runs binary")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per row of ``docs``.
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per row of ``docs``; doc_id is an integer.
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id.
     Null and empty texts, and texts of fewer than 50 bytes, lose nothing. Rows that repeat a
-    doc_id and its text have the same result. A row without doc_id, and texts that share a
-    doc_id with another text, are kept whole; the latter still count as sources. Extra
+    doc_id and its text have the same result; texts that share a doc_id are judged one by one, and
+    lose nothing to each other. A row without doc_id has no smaller one and is kept whole. Extra
     columns are not used; an empty table gives an empty result.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id has to be an integer: documents are compared by it")
     body = text_of()
     slim = docs.select("doc_id", F.unhex(F.md5(body)).alias("md5"), F.xxhash64(body).alias("digest"), F.octet_length(body).cast("long").alias("n"))
     slim = store(slim.filter("doc_id is not null"), "suffix-texts")
     total = slim.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("bytes")).first()
     reps = store(slim.groupBy("md5", "digest").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "suffix-reps")
-    several = slim.groupBy("doc_id").agg(F.min("md5").alias("_a"), F.max("md5").alias("_b")).filter("_a <> _b").select("doc_id")
     copies = slim.join(reps.select("md5", F.col("doc_id").alias("least")), "md5").filter((F.col("doc_id") > F.col("least")) & (F.col("n") >= WINDOW))
     own = docs.filter("doc_id is not null").select("doc_id", "text")
     lost = removed_windows(own, reps, total.docs, total.bytes or 0)
-    whole = copies.select("doc_id", F.array(F.lit(None).cast("binary")).alias("runs")).distinct()
-    lost = lost.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")).unionByName(whole)
-    lost = store(lost.join(several, "doc_id", "left_anti").withColumnRenamed("doc_id", "_of"), "suffix-lost")
+    whole = copies.select("doc_id", "digest", F.array(F.lit(None).cast("binary")).alias("runs")).distinct()
+    lost = store(lost.groupBy("doc_id", "digest").agg(F.collect_list("runs").alias("runs")).unionByName(whole), "suffix-lost")
     z = docs.filter("doc_id is null").select("doc_id", "text")
-    both = packed_texts(own).join(lost, F.col("doc_id") == F.col("_of"), "left").select("doc_id", "z", "runs")
-    both = both.unionByName(packed_texts(z).withColumn("runs", F.lit(None).cast("array<binary>")))
+    both = _same_text(packed_texts(own), lost, "left").select("doc_id", "z", "runs")
+    both = both.unionByName(packed_texts(z).select("doc_id", "z", F.lit(None).cast("array<binary>").alias("runs")))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def finish(batches):

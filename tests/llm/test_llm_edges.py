@@ -202,9 +202,12 @@ def test_suffixes(docs, none):
 
 
 def test_texts_that_share_an_id(spark):
-    df = spark.createDataFrame([(1, "q" * 60), (2, "q" * 60), (2, "other " * 20), (3, "other " * 20)], "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.deduplicate(df).collect())
-    assert got == [(1, 0), (2, 0), (2, 0), (3, 120)]
+    rows = [(1, "q" * 60), (2, "q" * 60), (2, "other " * 20), (3, "other " * 20), (2, "x" + "q" * 55), (4, "z" * 70), (4, "z" * 70 + "!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.deduplicate(df).collect())
+    assert got == [(1, 60, 0), (2, 56, 55), (2, 60, 60), (2, 120, 0), (3, 120, 120), (4, 70, 0), (4, 71, 0)]
+    with pytest.raises(TypeError):
+        suffix_dedup.deduplicate(df.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_neighbours(spark):
