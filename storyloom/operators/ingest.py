@@ -128,7 +128,11 @@ def submissions_to_stories(landed: DataFrame, now: Column) -> DataFrame:
 
 
 def funnel(lists: DataFrame, caps: dict[str, int], updates: DataFrame, items: DataFrame, seen: DataFrame, as_of: Column) -> DataFrame:
-    """One row of run counters for a polling run."""
+    """One row of run counters for a polling run.
+
+    An error is something that was asked for and did not land: an item, a whole list, the
+    tail of updates, or, for the run itself, all of them.
+    """
     now_items = current_items(items)
     flagged = now_items.select("id", is_good(cutoff(as_of)).alias("good"), F.lit(True).alias("fetched"))
     known = seen.select("id", F.lit(True).alias("known"))
@@ -140,6 +144,7 @@ def funnel(lists: DataFrame, caps: dict[str, int], updates: DataFrame, items: Da
         F.count_if(new).alias("unseen"),
         F.count_if(new & F.col("fetched")).alias("fetched"),
         F.count_if(keeps).alias("keepers"),
+        F.count_if(new & F.col("fetched").isNull()).alias("_lost"),
     )
     marked = first.where(keeps).select("id", F.lit(True).alias("marked"))
     tail = updates_tail(updates).select(F.col("item_id").alias("id"))
@@ -149,9 +154,16 @@ def funnel(lists: DataFrame, caps: dict[str, int], updates: DataFrame, items: Da
         F.count(F.lit(1)).alias("updates_considered"),
         F.count_if(fresh).alias("updates_unseen"),
         F.count_if(fresh & F.coalesce("good", F.lit(False))).alias("updates_processed"),
+        F.count_if(fresh & F.col("fetched").isNull()).alias("_lost_updates"),
     )
-    scalars = [more.select(c).scalar().alias(c) for c in more.columns]
-    return counts.select("*", F.col("keepers").alias("processed"), *scalars)
+    landed = lists.where(F.col("list_name").isin(list(caps))).agg(F.count_distinct("list_name").alias("lists"))
+    scalars = [more.select(c).scalar().alias(c) for c in more.columns] + [landed.scalar().alias("_lists")]
+    none = F.col("updates_considered") == 0
+    return counts.select("*", F.col("keepers").alias("processed"), *scalars).select(
+        "candidates", "unseen", "fetched", "keepers", "processed", "updates_considered", "updates_unseen", "updates_processed",
+        (F.col("_lost") + F.col("_lost_updates")).alias("fetch_errors"), (F.lit(len(caps)) - F.col("_lists")).alias("list_errors"),
+        none.cast("long").alias("update_errors"), (none & (F.col("_lists") == 0)).cast("long").alias("tick_errors"),
+    )
 
 
 # -- state over runs -----------------------------------------------------------

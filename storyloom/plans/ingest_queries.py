@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.operators import ingest, metrics
+from storyloom.operators import buckets, ingest, metrics
 from storyloom.plans.registry import query
+from storyloom.session import shared_dir
 from storyloom.sources.entities import ts
 
 CAPS = {"signup": 20, "error": 50, "click": 50, "view": 100, "purchase": 100}
@@ -80,13 +83,17 @@ def quality_filter(e):
     a AS (SELECT c.id, s.id IS NULL AS new, n.id IS NOT NULL AS fetched, coalesce(n.good, false) AS good
           FROM cand c LEFT JOIN fx_seen s USING (id) LEFT JOIN now n USING (id)),
     up AS (SELECT user_id AS id FROM events ORDER BY event_id DESC LIMIT 200),
-    b AS (SELECT u.id, s.id IS NULL AND k.id IS NULL AS fresh, coalesce(n.good, false) AS good
+    b AS (SELECT u.id, s.id IS NULL AND k.id IS NULL AS fresh, n.id IS NOT NULL AS fetched, coalesce(n.good, false) AS good
           FROM up u LEFT JOIN fx_seen s USING (id) LEFT JOIN now n USING (id)
           LEFT JOIN (SELECT id FROM a WHERE new AND good) k USING (id))
     SELECT count(*) AS candidates, count(*) FILTER (WHERE new) AS unseen, count(*) FILTER (WHERE new AND fetched) AS fetched,
            count(*) FILTER (WHERE new AND good) AS keepers, count(*) FILTER (WHERE new AND good) AS processed,
            (SELECT count(*) FROM b) AS updates_considered, (SELECT count(*) FROM b WHERE fresh) AS updates_unseen,
-           (SELECT count(*) FROM b WHERE fresh AND good) AS updates_processed FROM a""")
+           (SELECT count(*) FROM b WHERE fresh AND good) AS updates_processed,
+           count(*) FILTER (WHERE new AND NOT fetched) + (SELECT count(*) FROM b WHERE fresh AND NOT fetched) AS fetch_errors,
+           (SELECT count(*) FROM (VALUES {", ".join(f"('{c}')" for c in CAPS)}) v(n) WHERE n NOT IN (SELECT event_type FROM events)) AS list_errors,
+           (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM events)::BIGINT AS update_errors,
+           (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM events)::BIGINT AS tick_errors FROM a""")
 def run_funnel(e):
     lists = e.ranked_list()
     return ingest.funnel(lists, CAPS, lists.select("pos", "item_id"), e.item(), e.seen(), ts(RUN_AT))
@@ -107,15 +114,28 @@ def seen_dedupe(e):
     return out.select("id", F.date_format("run", "yyyy-MM-dd").alias("run"))
 
 
-@query("idempotent_filter", """
+IDEMPOTENT = """
     SELECT e.event_id, e.user_id AS story_id FROM events e WHERE NOT EXISTS (
         SELECT 1 FROM fx_done d WHERE d.story_id = e.user_id AND d.model = 'm1'
-        AND d.done_at > TIMESTAMP '2024-02-01' - INTERVAL 7 DAY AND d.done_at <= TIMESTAMP '2024-02-01')""")
+        AND d.done_at > TIMESTAMP '2024-02-01' - INTERVAL 7 DAY AND d.done_at <= TIMESTAMP '2024-02-01')"""
+
+
+@query("idempotent_filter", IDEMPOTENT)
 def idempotent_filter(e):
     jobs = e.events().select("event_id", F.col("user_id").alias("story_id"), F.lit("m1").alias("model"))
     return ingest.not_done(jobs, e.done(), ["story_id", "model"], ts("2024-02-01")).drop("model")
 
 
+@query("idempotent_marks", IDEMPOTENT)
+def idempotent_marks(e):
+    """The same filter against a stored table of marks, which is neither shuffled nor read beyond its retention period."""
+    table = f"marks_{uuid.uuid4().hex}"
+    buckets.create_marks(e.spark, table, {"story_id": "bigint", "model": "string"}, 4, f"{shared_dir(e.spark)}/{table}")
+    buckets.add_marks(table, e.done())
+    jobs = e.events().select("event_id", F.col("user_id").alias("story_id"), F.lit("m1").alias("model"))
+    return buckets.without_marks(jobs, table, ["story_id", "model"], ts("2024-02-01")).drop("model")
+
+
 @query("publish_once", """
     WITH j AS (SELECT event_id AS seq, user_id, CASE WHEN k % 10 <> 0 THEN event_type || user_id END AS job_key FROM fx_events)
     SELECT job_key, seq, user_id FROM j WHERE job_key IS NULL

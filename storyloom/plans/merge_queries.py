@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from storyloom import schemas
 from storyloom.functions import text as T
-from storyloom.operators import ingest, merge, results
+from storyloom.operators import buckets, ingest, merge, results
 from storyloom.plans.registry import query
 from storyloom.plans.text_queries import CLEAN, LABELS, accepted
-from storyloom.session import spread
+from storyloom.session import shared_dir, spread
 from storyloom.sources.entities import ts
 
 NOW = "2024-02-01 00:00:00"
@@ -18,7 +20,7 @@ STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
 SHA1 = "sha1(regexp_replace(trim({0}, E' \\t\\n\\r'), '\\s+', ' ', 'g'))"
 
 
-@query("story_upsert", f"""
+STORY_UPSERT = f"""
     WITH inc AS (
         SELECT hn_id, arg_min(source, seq) AS source, arg_max(struct_pack(title := title, url := url, domain := domain, author := author), seq) AS last,
                arg_max(points, seq) FILTER (WHERE points IS NOT NULL) AS points,
@@ -41,13 +43,28 @@ SHA1 = "sha1(regexp_replace(trim({0}, E' \\t\\n\\r'), '\\s+', ' ', 'g'))"
         UNION ALL
         SELECT sha256('seq:' || seq), source, NULL, title, url, domain, author, points, comments_count, created_at, {NOW_SQL}, NULL
         FROM fx_submission WHERE hn_id IS NULL)
-    SELECT * REPLACE (strftime(created_at, {STAMP}) AS created_at, strftime(fetched_at, {STAMP}) AS fetched_at) FROM merged""")
+    SELECT * REPLACE (strftime(created_at, {STAMP}) AS created_at, strftime(fetched_at, {STAMP}) AS fetched_at) FROM merged"""
+
+
+@query("story_upsert", STORY_UPSERT)
 def story_upsert(e):
     target = e.stories().withColumns({"id": F.col("id").cast("string"), "article_id": F.col("article_id").cast("string")})
     incoming = ingest.submissions_to_stories(e.submission_json(), ts(NOW))
     return merge.story_upsert(target, incoming, ts(NOW))
 
 
+@query("story_upsert_buckets", STORY_UPSERT)
+def story_upsert_buckets(e):
+    """The upsert into a stored table: only the buckets of arriving stories are rewritten."""
+    path = f"{shared_dir(e.spark)}/stories-{uuid.uuid4().hex}"
+    key = F.coalesce(F.col("hn_id").cast("string"), F.col("id"))
+    arriving = F.coalesce(F.col("hn_id").cast("string"), F.sha2(F.concat(F.lit("seq:"), F.col("seq").cast("string")), 256))
+    buckets.create(e.stories().withColumns({"id": F.col("id").cast("string"), "article_id": F.col("article_id").cast("string")}), path, key, 8)
+    incoming = ingest.submissions_to_stories(e.submission_json(), ts(NOW))
+    buckets.merge_into(path, incoming, key, arriving, lambda t, n: merge.story_upsert(t, n, ts(NOW)), 8)
+    return buckets.read(e.spark, path)
+
+
 @query("article_dedupe", f"""
     SELECT content_hash, min(doc_id) AS id, arg_min(lang, doc_id) AS language, arg_min(words, doc_id) AS word_count FROM (
         SELECT doc_id, lang, {SHA1.format('text')} AS content_hash, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words
