@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.operators import search, search_index
@@ -73,6 +73,7 @@ class FeedPage:
     items: DataFrame
     next_offset: int | None
     cursor: dict | None = None
+    order: list[Column] = field(default_factory=list)
 
 
 def story_list(store: Store) -> DataFrame:
@@ -250,6 +251,7 @@ def feed(store: Store, query: FeedQuery) -> FeedPage:
         ),
         query.offset + len(rows) if full else None,
         cursor_of(query.sort, rows[-1]) if full else None,
+        [F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("id"))] if ids else [F.col("id")],
     )
 
 
@@ -318,6 +320,26 @@ def story_base_json(stories: DataFrame) -> DataFrame:
     return stories.select("id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def feed_page_json(page: FeedPage) -> DataFrame:
+    """One row: the page as the JSON a client gets, its items in order (at most MAX_PAGE) and the next offset."""
+    extra = [c for c in page.items.columns if c not in STORY_COLUMNS and c not in ("tags", "topics")]
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+    base = [F.date_format(c, iso).alias(c) if c in ("created_at", "fetched_at") else F.col(c) for c in [*STORY_COLUMNS, "tags", "topics"]]
+    # what an item has no value for is left out
+    items = page.items.withColumn("_item", F.struct(*base, *extra))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_place", "_item"))), lambda x: x["_item"])
+    placed = items.withColumn("_place", F.row_number().over(Window.orderBy(*page.order)))
+    body = F.struct(listed.alias("items"), F.lit(page.next_offset).cast("int").alias("next_offset"))
+    return placed.agg(F.to_json(body, {"ignoreNullFields": "true"}).alias("value"))
+
+
+def search_hits_json(hits: DataFrame) -> DataFrame:
+    """``rank, value``: each hit of a search as the JSON a client gets."""
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+    base = [F.date_format(c, iso).alias(c) if c in ("created_at", "fetched_at") else F.col(c) for c in [*STORY_COLUMNS, "tags", "topics"]]
+    return hits.select("rank", F.to_json(F.struct(F.struct(*base).alias("story"), "score", "match")).alias("value"))
+
+
 def vocab_tags(tag: DataFrame) -> DataFrame:
     return tag.select("id", "slug", "name", "kind").orderBy("slug")
 

@@ -200,6 +200,21 @@ def article_summaries(e):
     return feed.article_summaries(Store.of(e))
 
 
+@query("feed_page_json", f"""
+    WITH {TAGS},
+    page AS (SELECT s.*, row_number() OVER (ORDER BY {ORDERS["points"]}) AS place FROM fx_story s LEFT JOIN fx_rank_signals r ON r.story_id = s.id
+             WHERE EXISTS (SELECT 1 FROM fx_summary x WHERE x.article_id = s.article_id) ORDER BY place LIMIT 20)
+    SELECT place::INT AS place, s.id, s.title, s.points, strftime(s.created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS created_at,
+           len(string_split(g.tags, '|'))::INT AS n_tags, 20 AS next_offset
+    FROM page s LEFT JOIN tags_of g ON g.story_id = s.id""")
+def feed_page_json(e):
+    """A page as one JSON document, read back."""
+    doc = feed.feed_page_json(feed.feed(Store.of(e), FeedQuery(sort="points", limit=20)))
+    item = "struct<id:long,title:string,points:int,created_at:string,tags:array<struct<slug:string>>>"
+    back = doc.select(F.from_json("value", f"items array<{item}>, next_offset int").alias("d")).select("d.next_offset", F.posexplode("d.items").alias("place", "i"))
+    return back.select((F.col("place") + 1).alias("place"), "i.id", "i.title", "i.points", "i.created_at", F.size("i.tags").alias("n_tags"), "next_offset")
+
+
 @query("vocab_tags", "SELECT 'tag:' || slug AS id, slug, name, kind FROM fx_tag")
 def vocab_tags(e):
     return feed.vocab_tags(e.tag())

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from storyloom.operators import search, search_index, similarity
+from storyloom.operators import feed, search, search_index, similarity
 from storyloom.operators.feed import Store
 from storyloom.plans.registry import query
 from storyloom.session import shared_dir
@@ -113,6 +113,17 @@ def search_lexical(e):
     )
 
 
+@query("search_hits_json", f"""
+    WITH {OCC}, {TERMS}, {RANK}, top AS ({TOP.format(k=20)})
+    SELECT t.rank, t.id, s.title, t.score, 'lexical' AS match, strftime(s.created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS created_at
+    FROM top t JOIN fx_story s USING (id) WHERE t.query_id = 2""")
+def search_hits_json(e):
+    """Hits as JSON documents, read back."""
+    hits = feed.search_hits_json(search.search(Store.of(e), "the of", k=20))
+    doc = F.from_json("value", "story struct<id:long,title:string,created_at:string>, score double, match string")
+    return hits.select("rank", doc.alias("d")).select("rank", "d.story.id", "d.story.title", F.round("d.score", 6).alias("score"), "d.match", "d.story.created_at")
+
+
 GRAMS = """list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'),
     lambda w: list_transform(range(1, length('  ' || w || ' ') - 1), lambda i: substring('  ' || w || ' ', CAST(i AS INT), 3)))))"""
 NAMES = ["blog.thethan.example.net", "therin example", "spam-farm.org"]

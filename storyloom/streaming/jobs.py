@@ -138,18 +138,35 @@ def marking(
     return run
 
 
+def _one_per_batch(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Repeats of a key inside an Arrow batch go before the shuffle: a key in a third of all rows sends a row per batch."""
+
+    def combine(batches):
+        for pdf in batches:
+            yield pdf.drop_duplicates(keys)
+
+    return rows.mapInPandas(combine, rows.schema)
+
+
 def first_seen_in_event_time(items: DataFrame, as_of_cutoff: Column) -> DataFrame:
     """Good items, each id once per retention period of event time ``ts``.
 
     The quality rule comes first: a rejected item leaves no mark and is judged again.
     """
     good = items.where(ingest.is_good(as_of_cutoff))
-    return good.withWatermark("ts", SEEN).dropDuplicatesWithinWatermark(["id"])
+    return _one_per_batch(good, ["id"]).withWatermark("ts", SEEN).dropDuplicatesWithinWatermark(["id"])
 
 
-def publish_once(jobs: DataFrame) -> DataFrame:
-    """Jobs with a new key, and all jobs without one; keys are remembered for good."""
-    keyed = jobs.where("job_key is not null").dropDuplicates(["job_key"])
+def publish_once(jobs: DataFrame, at: str | None = None, within: str = SEEN) -> DataFrame:
+    """Jobs with a new key, and all jobs without one.
+
+    With the event time column ``at`` a key is remembered for ``within``, so state has an end; without it, for good.
+    """
+    keyed = _one_per_batch(jobs.where("job_key is not null"), ["job_key"])
+    if at is None:
+        keyed = keyed.dropDuplicates(["job_key"])
+    else:
+        keyed = keyed.withWatermark(at, within).dropDuplicatesWithinWatermark(["job_key"])
     return keyed.unionByName(jobs.where("job_key is null"))
 
 
@@ -180,15 +197,9 @@ def mark_first(jobs: DataFrame, keys: list[str]) -> DataFrame:
     until its mark expires. Needs the RocksDB state store and a query that keeps running:
     expiry by processing time never lets an availableNow drain end; use ``marking`` there.
 
-    All rows of a micro-batch share one processing time, so repeats inside an Arrow batch
-    are dropped before the shuffle: a key in a third of all rows sends a row per batch.
+    All rows of a micro-batch share one processing time, so one of them per Arrow batch is enough.
     """
-
-    def combine(batches):
-        for pdf in batches:
-            yield pdf.drop_duplicates(keys)
-
-    return jobs.mapInPandas(combine, jobs.schema).groupBy(*keys).transformWithStateInPandas(
+    return _one_per_batch(jobs, keys).groupBy(*keys).transformWithStateInPandas(
         SetIfAbsent(), outputStructType=jobs.schema, outputMode="Append", timeMode="ProcessingTime"
     )
 

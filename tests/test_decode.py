@@ -30,3 +30,20 @@ def test_declared(spark):
     df = spark.createDataFrame(rows, "body binary, kind string")
     got = [r.t for r in df.select(decode_body(F.col("body"), F.col("kind")).alias("t")).collect()]
     assert got == [page, "Да", "né", None]
+
+
+def test_learned_charsets(spark):
+    """A model of samples in several scripts reads other texts of them."""
+    from storyloom.operators import charsets
+
+    rows = [(i, t) for i, t in enumerate([RUSSIAN, GREEK, FRENCH] * 3)]
+    names = ["cp1251", "koi8_r", "cp1253", "cp1252", "cp850", "utf-16-le", "utf-16-be"]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    model = charsets.train_charsets(charsets.encoded(texts, names))
+    assert set(model.names) == set(names)
+    other = {"cp1251": "Завтра будет тёплый день, и мы пойдём гулять.", "koi8_r": "Завтра будет тёплый день, и мы пойдём гулять.",
+             "cp1253": "Ο καιρός είναι πολύ καλός σήμερα, κόσμε.", "cp1252": "Les élèves étaient à l'école cet été.", "utf-16-be": "Été à Genève"}
+    bodies = [(c, t, t.encode(c)) for c, t in other.items()] + [("utf-8", "né", "né".encode()), ("none", None, None), ("empty", "", b""), ("mark", "né", "né".encode("utf-16"))]
+    df = spark.createDataFrame(bodies, "name string, want string, body binary")
+    got = df.select("name", "want", charsets.decode_learned(F.col("body"), model).alias("text")).collect()
+    assert {r.name: r.text for r in got} == {r.name: r.want for r in got}

@@ -14,7 +14,7 @@ def con(folder):
 
 
 IN_PYTHON = {
-    "redact_json", "decode_body", "extract_html", "extract_main", "extract_route", "language_id",
+    "redact_json", "decode_body", "charset_learned", "extract_html", "extract_main", "extract_route", "language_id",
     "knn_deep", "knn_every_row", "knn_exact", "knn_ivf", "knn_ivf_all_cells", "retry_twice", "search_hybrid", "stages_end_to_end",
 }
 PYTHON_NODES = ("MapInPandas", "MapInArrow", "ArrowEvalPython", "BatchEvalPython", "FlatMap")

@@ -58,6 +58,26 @@ def test_publish_once(spark, root):
     assert out.where("job_key is null").count() == 2 and out.where("job_key = 'k'").count() == 1
 
 
+def test_publish_once_forgets_keys_behind_the_watermark(spark, root):
+    schema = "job_key string, n int, at long"
+
+    def run(rows):
+        _land(spark, f"{root}/j", 0, rows, schema)
+        stream = spark.readStream.schema(spark.read.parquet(f"{root}/j").schema).parquet(f"{root}/j")
+        got = []
+        q = (
+            J.publish_once(stream, at="at", within="100 seconds").writeStream.foreachBatch(lambda df, _: got.extend(r.n for r in df.collect()))
+            .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
+        )
+        assert q.awaitTermination(120)
+        return sorted(got)
+
+    assert run([("k", 1, 1000), (None, 3, 1000)]) == [1, 3]
+    assert run([("k", 4, 1050)]) == []
+    assert run([("x", 5, 9000)]) == [5]
+    assert run([("k", 6, 9001)]) == [6]
+
+
 def test_mark_first_passes_a_key_once(spark, root):
     schema = "article_id string, model string, n int"
     spark.createDataFrame([("a", "m", 1), ("a", "m", 2), ("b", "m", 3)], schema).coalesce(1).write.parquet(f"{root}/s")
