@@ -33,11 +33,19 @@ FURNITURE = frozenset(
     "script search select style svg template textarea title video".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|adv|adbox|adslot|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner|cookie[a-z]*|consent|gdpr|notice[a-z]*|alert|"
+_WORDS = (
+    r"(?:ad|ads|adv|adbox|adslot|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner|cookie[a-z]*|consent|gdpr|notice[a-z]*|alert|"
     r"newsletter|subscri[a-z]*|signup|login|sidebar[a-z]*|menu[a-z]*|nav|navbar|navigation|breadcrumb[a-z]*|footer|masthead|(?:site|top|main|global)-?header|"
     r"comment[a-z]*|disqus[a-z]*|repl(?:y|ies)|respond|share|sharing|social|related|recommend[a-z]*|popup|modal|overlay|widget[a-z]*|"
-    r"toolbar|pager|pagination|copyright|disclaimer)(?:[^a-z]|$)"
+    r"toolbar|pager|pagination|copyright|disclaimer)"
+)
+_NAMES = re.compile(rf"(?:^|[^a-z]){_WORDS}(?:[^a-z]|$)")
+_WORD = re.compile(_WORDS)
+#: Words that say nothing by themselves: a name made of them and of furniture's words only is furniture for certain.
+_PLAIN = frozenset(
+    "area article articles bar block body bottom box btn button buttons card cards col column container content count desktop fixed follow "
+    "form grid group header icon icons inner item items left link links list main media mobile more news on outer page panel post posts "
+    "primary right row secondary section side site slot sticky stories story text this thread title tools top unit us wrap wrapper".split()
 )
 #: Names that say something about an element's surroundings.
 _ABOUT = re.compile(r"(?:has|no|with|without|is|js)-")
@@ -52,31 +60,39 @@ _SCORED = frozenset("article body div li main section span td center dd blockquo
 
 
 class Node:
-    __slots__ = ("bad", "commas", "heads", "kids", "length", "linked", "links", "parent", "score", "tag")
+    __slots__ = ("bad", "commas", "heads", "kids", "length", "linked", "links", "parent", "score", "sure", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool):
-        self.tag, self.parent, self.bad = tag, parent, bad
+    def __init__(self, tag: str, parent: Node | None, bad: bool, sure: bool = False):
+        self.tag, self.parent, self.bad, self.sure = tag, parent, bad, sure
         self.kids: list = []
         self.score = 0.0
         self.length = self.linked = self.commas = self.links = self.heads = 0
 
 
-def _furniture(tag: str, attrs: str, open_tags: dict[str, int]) -> bool:
+def _certain(name: str) -> bool:
+    """Whether nothing in the name speaks of anything but furniture: "share-buttons" does not, "share-price" does."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    return any(_WORD.fullmatch(w) for w in words) and all(_WORD.fullmatch(w) or w in _PLAIN for w in words)
+
+
+def _furniture(tag: str, attrs: str, open_tags: dict[str, int]) -> tuple[bool, bool]:
+    """Whether an element looks like furniture, and whether it is so for certain, that is inside an article too."""
     if tag in FURNITURE:
-        return True
+        return True, True
     if tag == "header":
-        return not open_tags.get("article")
+        return (not open_tags.get("article"),) * 2
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         if name in ("class", "id"):
             names = _CAMEL.sub("-", m[2] or m[3] or m[4] or "").lower().split()
             if any(x == "header" or _NAMES.search(x) and not _ABOUT.match(x) for x in names):
-                return tag not in HEADINGS
+                sure = any(x == "header" or _certain(x) and not _ABOUT.match(x) for x in names)
+                return tag not in HEADINGS, sure and tag not in HEADINGS
         elif name == "hidden" or name == "role" and (m[2] or m[3] or m[4] or "").lower() in ROLES:
-            return True
-    return False
+            return True, True
+    return False, False
 
 
 def parse(html: str) -> Node:
@@ -128,7 +144,8 @@ def parse(html: str) -> Node:
         if tag in ("html", "body") and (tag == "html" or count.get("body")):
             continue
         attrs = m[3] or m[6] or ""
-        node = Node(tag, at, at.bad or _furniture(tag, attrs, count))
+        bad, sure = _furniture(tag, attrs, count)
+        node = Node(tag, at, at.bad or bad, at.sure or sure)
         at.kids.append(node)
         if tag in VOID:
             continue
@@ -191,8 +208,11 @@ def _density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
 
-def _text_of(parts: list, blocks: list[str]) -> None:
-    """Appends the blocks of nodes and strings in page order."""
+def _text_of(parts: list, blocks: list[str], inside: bool = False) -> None:
+    """Appends the blocks of nodes and strings in page order.
+
+    ``inside`` the article only what is furniture for certain is left out; lists of links there are its references.
+    """
     run: list[str] = []
 
     def cut():
@@ -208,11 +228,11 @@ def _text_of(parts: list, blocks: list[str]) -> None:
             run.append(k)
         elif k is None:
             cut()
-        elif not k.bad:
+        elif not (k.sure if inside else k.bad):
             if k.tag == "br":
                 run.append(" ")
                 continue
-            if k.tag in ("ul", "ol", "dl", "div", "section", "table") and k.links > 2 and _density(k) > 0.6:
+            if not inside and k.tag in ("ul", "ol", "dl", "div", "section", "table") and k.links > 2 and _density(k) > 0.6:
                 cut()  # a menu without a name
                 continue
             block = k.tag in BLOCKS
@@ -237,29 +257,49 @@ def main_text(html: str | None) -> str:
     if best is None:
         # no paragraph of any length: what is marked as the article, or all there is
         marked = [n for n in nodes if n.tag in ("article", "main") and n.length]
-        _text_of([max(marked, key=lambda n: n.length) if marked else root], blocks)
+        _text_of([max(marked, key=lambda n: n.length) if marked else root], blocks, bool(marked))
         return "\n".join(blocks)
     # an element that marks the article as a whole, or shares its text with one other wrapper only
-    for up in _ancestors(best):
-        if up.tag == "article" or up.length == best.length:
+    above = list(_ancestors(best))
+    marks = next((t for t in ("article", "main") if t == best.tag or any(up.tag == t for up in above)), None)
+    for up in above:
+        if up.tag == marks or up.length == best.length and best.tag != marks:
             best = up
-    kept: list = [best]
-    if best.parent is not None:
-        kept, ahead = [], True
-        for k in best.parent.kids:
-            if k is best:
-                kept.append(k)
-                ahead = False
-            elif type(k) is Node and not k.bad and k.tag in BLOCKS:
-                like = k.score * (1 - _density(k)) >= max(4.0, 0.2 * most)
-                text = k.tag in ("p", "pre", "blockquote") and k.length >= 25 and _density(k) < 0.33
-                headline = k.tag in HEADINGS or ahead and k.heads and _density(k) < 0.33
-                if like or text or headline:
-                    kept.append(k)
-    _text_of(kept, blocks)
+    if best.parent is None:
+        _text_of([best], blocks, True)
+        return "\n".join(blocks)
+    # the wrapper of an unmarked article holds the rest of it; beside a marked one, or in the body, more is asked
+    strict = best.tag in ("article", "main") or best.parent.tag in ("html", "body")
+    run: list = []
+    ahead = True
+    for k in best.parent.kids:
+        if k is best:
+            _text_of(run, blocks)
+            _text_of([best], blocks, True)
+            run, ahead = [], False
+        elif type(k) is str:
+            if not strict or best.tag not in ("article", "main") and len(k.strip()) >= 25:
+                run.append(k)
+        elif k.bad:
+            continue
+        elif _density(k) < 0.33 and (not strict or _belongs(k, most, ahead, best)):
+            run.append(k)
+        elif k.score * (1 - _density(k)) >= max(4.0, 0.2 * most) or k.tag in HEADINGS:
+            run.append(k)
+    _text_of(run, blocks)
     return "\n".join(blocks)
 
 
+def _belongs(k: Node, most: float, ahead: bool, best: Node) -> bool:
+    """Whether an element beside the container is part of the article: like text, a headline in front, prose, a table or a list."""
+    if k.tag not in BLOCKS:
+        return False
+    if k.score * (1 - _density(k)) >= max(4.0, 0.2 * most) or k.tag in HEADINGS or ahead and k.heads:
+        return True
+    prose = k.tag in ("p", "pre", "blockquote")
+    return k.length >= 25 and (prose or k.tag in ("table", "ul", "ol", "dl", "figure") and best.tag not in ("article", "main"))
+
+
 def _ancestors(node: Node):
     while node.parent is not None:
         node = node.parent

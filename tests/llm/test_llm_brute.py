@@ -281,3 +281,28 @@ def test_pipeline_stages(spark, folder, docs):
         rows = out
     assert all(a >= b > 0 for a, b in zip(sizes, sizes[1:]))
     assert rows.select("doc_id").distinct().count() == rows.count()
+
+
+LONG = "A paragraph of the article that is long enough to score, with a comma, and goes on for a while so that it counts for something in the end."
+MENU = '<ul class="menu"><li><a href="/">Home</a></li><li><a href="/a">About</a></li></ul>'
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        # the second section is short
+        (f"<div><section>{f'<p>{LONG}</p>' * 5}</section><section><h2>B</h2><p>{LONG[:90]}</p></section></div>", [LONG] * 5 + ["B", LONG[:90]]),
+        # references inside the article
+        (f"<article><p>{LONG}</p><ul><li><a href='1'>One</a></li><li><a href='2'>Two</a></li><li><a href='3'>Three</a></li></ul></article>", [LONG, "One", "Two", "Three"]),
+        # names that only begin like furniture, and names that are
+        (f'<article><p>{LONG}</p><p class="share-price">Up 3%.</p><div class="related-work">Others did it.</div><div class="share-buttons">Post it</div><div class="ad">Buy</div><div class="related-posts">More</div><section id="comments"><p>{LONG} says a reader</p></section></article>', [LONG, "Up 3%.", "Others did it."]),
+        # a table and loose text beside the container
+        (f"<div><div><p>{LONG}</p><p>{LONG}</p></div><table><tr><td>1</td><td>2</td></tr></table>and so on</div>", [LONG, LONG, "1", "2", "and so on"]),
+        # divs without any mark, furniture by name and by tag around them
+        (f'<body><div id="header"><p>{LONG}</p></div>{MENU}<div class="page"><h1>Title</h1><div><p>{LONG}</p>text <b>bold</b> text<p>short</p></div><div><p>{LONG[:60]}</p></div></div><div class="footer">(c)</div></body>', ["Title", LONG, "text bold text", "short", LONG[:60]]),
+        (f"<body><h1>T</h1><p>{LONG}</p><p>{LONG}</p><nav>x</nav><ul><li>a point that is made in a list, not in a paragraph</li></ul></body>", ["T", LONG, LONG, "a point that is made in a list, not in a paragraph"]),
+        (f"<main><h1>T</h1><div><p>{LONG}</p></div><div><p>end</p></div><aside>no</aside></main><div>{MENU}</div>", ["T", LONG, "end"]),
+    ],
+)
+def test_container_keeps_the_whole_article(html, want):
+    assert html_extract.main_text(html).split("\n") == want
