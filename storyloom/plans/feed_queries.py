@@ -205,7 +205,7 @@ def article_summaries(e):
     page AS (SELECT s.*, row_number() OVER (ORDER BY {ORDERS["points"]}) AS place FROM fx_story s LEFT JOIN fx_rank_signals r ON r.story_id = s.id
              WHERE EXISTS (SELECT 1 FROM fx_summary x WHERE x.article_id = s.article_id) ORDER BY place LIMIT 20)
     SELECT place::INT AS place, s.id, s.title, s.points, strftime(s.created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS created_at,
-           len(string_split(g.tags, '|'))::INT AS n_tags, 20 AS next_offset
+           len(string_split(g.tags, '|'))::INT AS n_tags, CASE WHEN count(*) OVER () = 20 THEN 20 END AS next_offset
     FROM page s LEFT JOIN tags_of g ON g.story_id = s.id""")
 def feed_page_json(e):
     """A page as one JSON document, read back."""

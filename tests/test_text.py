@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.functions import urls as U
-from storyloom.operators import ingest, metrics, results, search
+from storyloom.operators import ingest, metrics, results, similarity
 
 
 def one(spark, value, fn, kind="string"):
@@ -146,8 +146,8 @@ def test_updates_tail_array(spark):
 
 
 def test_trigrams(spark):
-    assert sorted(one(spark, "cat", search.trigrams)) == ["  c", " ca", "at ", "cat"]
-    assert one(spark, "", search.trigrams) == []
+    assert sorted(one(spark, "cat", similarity.trigrams)) == ["  c", " ca", "at ", "cat"]
+    assert one(spark, "", similarity.trigrams) == []
 
 
 @pytest.mark.parametrize(
