@@ -10,7 +10,7 @@ Three steps keep this small without losing a pair. Of ``d + 1`` pieces one has n
 many edits before it as it has pieces before it, at most; lines that share no such piece with
 another line emit nothing. Lines that meet are verified against the earliest of their key, and
 keys of up to ``SMALL`` lines are verified in full. What is left undecided in larger keys
-deletes halves as a whole, then halves of these, and only keys that meet go on.
+deletes halves as a whole, then halves of these; after each halving only keys that meet go on.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ EDIT_BOUND = 3
 CHARS_PER_EDIT = 20
 #: Keys of so many lines are judged pair by pair.
 SMALL = 8
+#: Lines whose pieces are counted, and the count from which a piece is not dealt out: one in a thousand.
+SAMPLE_LINES = 50_000
+HOT_SAMPLE = 50
+_UNITS = 1 << 30
 #: In lines with fewer characters one edit is a large share; only equal ones are duplicates.
 MIN_CHARS = 20
 
@@ -52,16 +56,49 @@ def _frames(lines: DataFrame, bound: int) -> DataFrame:
     return rows.withColumn("d", allowed(F.col("m"), bound)).filter("m - n <= d")
 
 
-def _pieces(lines: DataFrame, bound: int, *columns) -> DataFrame:
-    """``(*columns, piece)``: near lines have a piece in common.
+def _cuts(bound: int) -> list[tuple[int, int, int, int]]:
+    """``(more, d, p, s)``: against a line of ``more`` further characters that allows ``d`` edits, piece ``p`` is looked for ``s`` places on.
 
     The longer line is cut into d + 1 pieces. Some piece p has no edit, p edits before it and at
-    most d - p behind it, so in the other line it stands shifted by s: -p <= s <= p and p - d <= s + m - n <= d - p.
+    most d - p behind it, so in the other line it stands shifted by s: -p <= s <= p and p - d <= s + more <= d - p.
+    """
+    return [
+        (more, d, p, s) for d in range(1, bound + 1) for more in range(d + 1) for p in range(d + 1)
+        for s in range(max(-p, p - d - more), min(p, d - p - more) + 1)
+    ]
+
+
+def _pieces(lines: DataFrame, bound: int, *columns) -> DataFrame:
+    """``(*columns, piece)``: near lines have a piece in common. A line may emit a piece twice.
+
+    The cuts are one literal that is exploded, so that keys are made in generated code, row by row.
+    """
+    fields = ("more", "d", "p", "s")
+    cuts = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, cut, strict=True)]) for cut in _cuts(bound)])
+    own = lines.select(F.col("line").alias("_line"), F.char_length("line").alias("_m"), *columns)
+    rows = own.withColumn("_c", F.explode(cuts)).withColumn("_m", F.col("_m") + F.col("_c.more")).filter(allowed(F.col("_m"), bound) == F.col("_c.d"))
+    key = F.expr("""xxhash64(_m, _c.p, substring(_line, cast(_m * _c.p div (_c.d + 1) + _c.s + 1 as int),
+        cast(_m * (_c.p + 1) div (_c.d + 1) - _m * _c.p div (_c.d + 1) as int)))""")
+    return rows.select(*own.columns[2:], key.alias("piece"))
+
+
+def _candidates(lines: DataFrame, bound: int, n_lines: int) -> DataFrame:
+    """``(h)`` of the lines that may share a piece with another line; lines: (doc_id, line_no, line).
+
+    A piece that stands in a large share of a bounded sample of lines makes its lines candidates without
+    looking further, so none is gathered anywhere. The others are dealt out once; their groups and the lines in
+    them are read from the same shuffle.
     """
-    keys = F.expr("""flatten(transform(sequence(0, d), p ->
-        transform(sequence(greatest(-p, p - d - m + n), least(p, d - p - m + n)), s -> xxhash64(m, p,
-            substring(line, cast(m * p div (d + 1) + s + 1 as int), cast(m * (p + 1) div (d + 1) - m * p div (d + 1) as int))))))""")
-    return _frames(lines, bound).select(*columns, F.explode(F.array_distinct(keys)).alias("piece"))
+    pieces = _pieces(lines, bound, F.xxhash64("line").alias("h"))
+    share = min(1.0, SAMPLE_LINES / max(1, n_lines))
+    some = lines.filter(F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(_UNITS)) < int(share * _UNITS))
+    hot = _pieces(some, bound).groupBy("piece").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_SAMPLE).select("piece")
+    hot = F.broadcast(store(hot, "line-hot"))  # at most SAMPLE_LINES / HOT_SAMPLE times the pieces of a line
+    dealt = pieces.join(hot, "piece", "left_anti").repartition("piece")
+    meets = dealt.groupBy("piece").agg(F.min("h").alias("_a"), F.max("h").alias("_b")).filter("_a <> _b").select("piece")
+    # each piece stands once in meets. An inner join stays above the shuffle, so both sides are the same one
+    met = dealt.join(meets.hint("merge"), "piece").select("h")
+    return met.unionByName(pieces.join(hot, "piece", "left_semi").select("h")).distinct()
 
 
 def _whole(lines: DataFrame, bound: int) -> DataFrame:
@@ -118,13 +155,13 @@ def _judged(rows: DataFrame, key: str, lines: DataFrame, near: DataFrame | None,
 
 def _near(lines: DataFrame, bound: int) -> DataFrame:
     """Digests of the lines that an earlier line is near to. lines: (id, first, line), distinct."""
-    near, left = _judged(_pieces(lines, bound, "id", "first"), "piece", lines, None, bound)
+    near, left = _judged(_pieces(lines, bound, "id", "first").distinct(), "piece", lines, None, bound)
     rows = _whole(lines.join(left.select("id").distinct(), "id", "left_semi"), bound)
     while True:
         rows = store(rows, "line-deletions")
         if rows.isEmpty():
             return near
-        near, rows = _judged(_split(_split(rows)), "key", lines, near, bound)
+        near, rows = _judged(_split(rows), "key", lines, near, bound)
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bound: int = 1, min_equal: int = 1) -> DataFrame:
@@ -142,9 +179,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bound: int = 1, m
     keyed = store(lines.select("doc_id", "line_no", _digest().alias("id"), F.xxhash64("line").alias("h")), "line-keys")
     firsts = store(keyed.groupBy("id").agg(F.min(at).alias("first"), F.min("h").alias("h")), "line-firsts")
 
-    pieces = _pieces(lines.filter(F.char_length("line") >= min_chars), bound, F.xxhash64("line").alias("h"))
-    meets = pieces.groupBy("piece").agg(F.min("h").alias("_a"), F.max("h").alias("_b")).filter("_a <> _b").select("piece")
-    some = pieces.join(meets, "piece", "left_semi").select("h").distinct()
+    some = _candidates(lines.filter(F.char_length("line") >= min_chars), bound, keyed.count())
     places = store(firsts.join(some, "h", "left_semi"), "line-candidates")
     # the texts of the candidates, each from its earliest place
     by_place = places.groupBy(F.col("first.doc_id").alias("_of")).agg(F.collect_set(F.struct("first", "id")).alias("_places"))

@@ -16,29 +16,38 @@ def _query(fn):
     return fn
 
 
-ORACLES["op4_line_dedup"] = """
+def _line_sql(bound: int) -> str:
+    """Near lines through pieces at every shift, verified by edit distance; DuckDB counts edits of bytes, so letters beyond ASCII are replaced by single bytes."""
+    control = " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 32)])
+    return f"""
 WITH parts AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), l AS (
   SELECT doc_id, i AS line_no, ls[i + 1] AS line, doc_id * 1000000 + i AS ord
-  FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM parts) WHERE length(ls[i + 1]) >= 20
+  FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM parts)
+  WHERE length(ls[i + 1]) >= 20 OR regexp_matches(ls[i + 1], '[^ \\t\\n\\x0B\\f\\r]')
 ), d AS (
   SELECT line, min(ord) AS first, length(line) AS n FROM l GROUP BY line
-), h AS (
-  SELECT line, first, n, unnest(list_distinct([
-    'f' || left(line, n // 2), 'f' || left(line, (n + 1) // 2),
-    'l' || right(line, n - n // 2), 'l' || right(line, n + 1 - (n + 1) // 2)])) AS half FROM d
+), own AS (
+  SELECT line, first, n, p, substr(line, n * p // (e + 1) + 1, n * (p + 1) // (e + 1) - n * p // (e + 1)) AS piece FROM (
+    SELECT *, unnest(range(0, e + 1)) AS p FROM (SELECT *, least({bound}, greatest(1, n // 20)) AS e FROM d WHERE n >= 20))
+), other AS (
+  SELECT line, first, m, p, substr(line, m * p // (e + 1) + s + 1, m * (p + 1) // (e + 1) - m * p // (e + 1)) AS piece FROM (
+    SELECT *, unnest(range(-{bound}, {bound + 1})) AS s FROM (
+      SELECT *, unnest(range(0, e + 1)) AS p FROM (
+        SELECT *, least({bound}, greatest(1, m // 20)) AS e FROM (
+          SELECT line, first, n + k AS m, k FROM (SELECT *, unnest(range(0, {bound + 1})) AS k FROM d WHERE n >= 20)) WHERE k <= e)))
+  WHERE m * p // (e + 1) + s >= 0
 ), pairs AS (
-  SELECT DISTINCT a.line AS a, b.line AS b, a.n AS an, b.n AS bn
-  FROM h a JOIN h b ON a.half = b.half AND a.first < b.first AND abs(a.n - b.n) <= 1
-), steps AS (
-  SELECT a, b, an, bn, unnest(range(0, greatest(an, bn))) AS i FROM pairs
+  SELECT DISTINCT a.line AS a, b.line AS b, a.first AS af, b.first AS bf, least({bound}, greatest(1, a.n // 20)) AS e
+  FROM own a JOIN other b ON a.n = b.m AND a.p = b.p AND a.piece = b.piece AND a.line <> b.line
+), letters AS (
+  SELECT *, array_to_string(list_distinct(regexp_extract_all(a || b, '[^\\x00-\\x7F]')), '') AS cs FROM pairs
 ), near AS (
-  SELECT DISTINCT b FROM steps WHERE
-    (an = bn AND left(a, i) = left(b, i) AND substr(a, i + 2) = substr(b, i + 2))
-    OR (an < bn AND a = left(b, i) || substr(b, i + 2)) OR (an > bn AND b = left(a, i) || substr(a, i + 2))
+  SELECT DISTINCT CASE WHEN af < bf THEN b ELSE a END AS line FROM letters
+  WHERE levenshtein(translate(a, cs, substr({control}, 1, length(cs))), translate(b, cs, substr({control}, 1, length(cs)))) <= e
 ), gone AS (
-  SELECT doc_id, line_no FROM l JOIN d ON l.line = d.line WHERE ord > first OR l.line IN (SELECT b FROM near)
+  SELECT doc_id, line_no FROM l JOIN d ON l.line = d.line WHERE ord > first OR l.line IN (SELECT line FROM near)
 ), g AS (
   SELECT doc_id, count(*) AS n, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS dropped FROM gone GROUP BY doc_id
 )
@@ -46,6 +55,10 @@ SELECT p.doc_id, len(p.ls)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_dro
 FROM parts p LEFT JOIN g ON p.doc_id = g.doc_id
 """
 
+
+ORACLES["op4_line_dedup"] = _line_sql(1)
+ORACLES["op4_line_dedup_wide"] = _line_sql(line_dedup.EDIT_BOUND)
+
 ORACLES["op9_url_filters"] = """
 WITH p AS (
   SELECT page_id,
@@ -172,8 +185,7 @@ def op3_toxicity(spark, folder):
 @_query
 def op4_line_dedup(spark, folder):
     docs = table(spark, folder, "documents")
-    # the bound and the least length its check text has
-    return line_dedup.summary(docs, line_dedup.dropped_lines(docs, bound=1, min_equal=line_dedup.MIN_CHARS))
+    return line_dedup.summary(docs, line_dedup.dropped_lines(docs, bound=1))
 
 
 @_query
