@@ -15,10 +15,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with the settings that the operators rely on."""
     tune(spark)
     # one row may be a whole book: bound what one Arrow batch holds
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return spark
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -68,15 +74,16 @@ def by_doc(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return joined if how in ("left_semi", "left_anti") else joined.drop(name)
 
 
-def by_row(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame, DataFrame], DataFrame], ordered: bool = False) -> DataFrame:
+def by_row(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame, DataFrame], DataFrame], ordered: bool = False, short: bool = False) -> DataFrame:
     """``keep(docs, judge(docs))`` with a row's own id and text as its doc_id meanwhile.
 
     Rows with a null doc_id, and unlike texts that share one, are documents of their own. The
-    key is a string, or with ``ordered`` a struct that sorts as doc_id does, nulls last.
+    key is a string, or with ``ordered`` a struct that sorts as doc_id does, nulls last. A ``short`` key has a
+    64-bit hash of the text in it, for judges that shuffle a key with every line.
     """
     (own,) = free(docs, "_own")
-    digest = F.md5(text_of())
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), digest)
+    digest = F.xxhash64(text_of()) if short else F.md5(text_of())
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), digest.cast("string"))
     if ordered:
         key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), digest.alias("digest"))
     rows = docs.withColumn(own, F.col("doc_id")).withColumn("doc_id", key)

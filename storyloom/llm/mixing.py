@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import free, store, word_count
+from storyloom.llm.common import free, store, text_of, word_count
 
 MAX_NEWTON = 60
 TOLERANCE = 1e-9
@@ -168,17 +168,30 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), total: float = 1.5, cap: float
     )
 
 
+DECISIONS = ["size", "source_size", "target", "rate", "copies", "taken"]
+
+
 def apply_mix(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """``docs`` with its decision columns, without the documents that the mix takes no time.
 
-    Rows that share a ``doc_id`` are matched in order of source and size.
+    All columns of ``docs`` stay; a decision whose name is taken there gets underscores in front. Rows that
+    share ``doc_id``, source and size are alike to the mix and matched in any order.
     """
-    names = ["size", "source_size", "target", "rate", "copies", "taken"]
-    own = [n for n in docs.columns if n not in names]
-    words, nth, nth2, id2 = free(docs, "_size", "_nth", "_nth2", "_id2")
-    left = docs.select(*own, word_count().alias(words))
-    left = left.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("source", words))).drop(words)
-    right = decided.withColumn(nth2, F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")))
-    right = right.select(F.col("doc_id").alias(id2), nth2, *names)
-    same = F.col("doc_id").eqNullSafe(F.col(id2)) & F.col(nth).between(F.col(nth2), F.col(nth2))
-    return left.join(right, same).filter("copies > 0").select(*own, *names)
+    names = free(docs, *DECISIONS)
+    words, nth, nth2, id2, source2, size2 = free(docs, "_words", "_nth", "_nth2", "_id2", "_source2", "_words2")
+    left = docs.withColumn(words, word_count())
+    left = left.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", "source", words).orderBy("doc_id")))
+    right = decided.withColumn(nth2, F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.col("copies").desc())))
+    right = right.select(
+        F.col("doc_id").alias(id2), F.col("source").alias(source2), F.col("size").alias(size2), nth2, *[F.col(d).alias(n) for d, n in zip(DECISIONS, names, strict=True)]
+    )
+    same = F.col("doc_id").eqNullSafe(F.col(id2)) & F.col("source").eqNullSafe(F.col(source2)) & (F.col(words) == F.col(size2)) & (F.col(nth) == F.col(nth2))
+    return left.join(right, same).filter(F.col(names[DECISIONS.index("copies")]) > 0).select(*docs.columns, *names)
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` after ``mix(docs, **how)``, see ``apply_mix``; rows without doc_id, and texts that share one, are told apart by their text."""
+    (own,) = free(docs, "_own")
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text_of()))
+    rows = docs.withColumn(own, F.col("doc_id")).withColumn("doc_id", key)
+    return apply_mix(rows, mix(rows, **how)).withColumn("doc_id", F.col(own)).drop(own)

@@ -57,8 +57,9 @@ def test_mixing(docs, none):
     assert by[(2, None)].size == 0 and by[(2, None)].taken == 0 and by[(2, None)].source_size == 0
     assert by[(5, "b")].size == 80_000 and by[(5, "b")].copies <= 2
     kept = mixing.apply_mix(docs, got)
-    assert set(docs.columns) - {"size", "copies", "rate", "target"} <= set(kept.columns)
-    assert kept.filter("copies < 1").count() == 0
+    # the documents' own columns of these names stay; the decisions stand beside them
+    assert kept.columns[: len(docs.columns)] == docs.columns and kept.columns[len(docs.columns) :] == ["_size", "source_size", "_target", "_rate", "_copies", "taken"]
+    assert kept.filter("_copies < 1 or copies is not null").count() == 0
     assert mixing.mix(none).count() == 0 and mixing.apply_mix(none, mixing.mix(none)).count() == 0
 
 
@@ -275,3 +276,36 @@ def test_stages_judge_each_row_by_its_own_text(spark, folder, monkeypatch):
     kept = corpus_pipeline.keep_one_of_each(spark, copies, folder)
     assert kept.columns == df.columns
     assert ids(kept, "doc_id", "text") == sorted([(7, leak), (7, texts[2]), (9, texts[0]), (9, texts[1])], key=repr)
+
+
+def test_pipeline_stages_tell_rows_without_ids_apart(spark, folder):
+    import corpus_pipeline
+
+    line = "a first line that two unlike texts share, long enough to be judged"
+    rows = [(None, f"{line}\nthe one goes on about this and that"), (None, f"{line}\nquite another text follows here"), (3, line), (3, "unlike but of the same id, and of some length")]
+    df = spark.createDataFrame([(i, t, "en", "a", 7, 1.5) for i, t in rows], BASE + ", Size double")
+    kept = corpus_pipeline.drop_repeated_lines(spark, df, folder)
+    assert kept.columns == df.columns
+    # the line stays where it stands first: rows without doc_id come last
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert got == [(0, "quite another text follows here"), (0, "the one goes on about this and that"), (3, line), (3, "unlike but of the same id, and of some length")]
+    mixed = corpus_pipeline.mix_sources(spark, df, folder)
+    assert mixed.columns == [*df.columns, "_size", "source_size", "target", "rate", "copies", "taken"]
+    assert {r.Size for r in mixed.collect()} == {1.5} and mixed.filter("taken <> copies * _size").count() == 0
+
+
+def test_pipeline_runs_over_odd_tables(spark, folder, tmp_path):
+    import shutil
+
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{folder}/{name}.parquet", tmp_path / f"{name}.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = spark.createDataFrame(ROWS + [(None, None, None, None, None)] * 2, BASE)
+    both = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).unionByName(odd)
+    both.withColumn("target", F.lit("own")).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "target", "size", "source_size", "_target", "rate", "copies", "taken"]
+    rows = out.collect()
+    assert rows and all(r.target == "own" and r.copies > 0 for r in rows)
