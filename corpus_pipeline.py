@@ -1,7 +1,11 @@
 """The corpus pipeline: toxicity, line dedup, near duplicates, decontamination, mixing.
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet to the shared
-folder and read again as the next stage's documents.
+folder and read again as the next stage's documents. All but the last return the columns of ``docs``.
+
+In every stage each row is a document of its own: rows without doc_id, and unlike texts that share one, are told
+apart by their text, and rows that repeat a doc_id and its text have one fate. Null and empty texts, and texts of
+any length, are read as they are; other columns, whatever their names, are carried along. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -9,37 +13,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.llm import decontaminate, line_dedup, mixing, simhash, toxicity
-from storyloom.llm.common import by_row, store, table
+from storyloom.llm.common import by_row, ready, store, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain calls toxic go."""
+    """Documents that the chain calls toxic go. Null and empty texts are scored like any other; they have no feature and stay."""
     models = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return by_row(docs, lambda d: toxicity.score(d, models), toxicity.keep_clean)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines near to an earlier line go."""
-    table(spark, sf_dir, "documents")
-    return line_dedup.apply_dropped(docs, line_dedup.dropped_lines(docs, bound=line_dedup.EDIT_BOUND))
+    """Lines equal or near to an earlier line go; rows without doc_id come last. Texts without lines stay, texts that lose all their lines go."""
+    ready(spark)
+    judge = lambda d: line_dedup.dropped_lines(d, bound=line_dedup.EDIT_BOUND)
+    return by_row(docs, judge, line_dedup.apply_dropped, ordered=True, short=True)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
-    table(spark, sf_dir, "documents")
+    """Of each group of near duplicates the smallest doc_id stays, rows without one last; texts without words are one group."""
+    ready(spark)
     return by_row(docs, simhash.near_duplicates, simhash.keep_one, ordered=True)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go; null and empty texts hold none."""
     items = table(spark, sf_dir, "benchmark")
     return by_row(docs, lambda d: decontaminate.contaminated(d, items), decontaminate.without_leaks)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, with their copies."""
-    table(spark, sf_dir, "documents")
-    return mixing.apply_mix(docs, mixing.mix(docs))
+    """The documents the mix takes, with their copies and the other decisions as further columns; texts without words stay once."""
+    ready(spark)
+    return mixing.mixed(docs)
 
 
 STAGES = [
@@ -55,6 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus: what the stages leave of ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
