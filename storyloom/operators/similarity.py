@@ -8,10 +8,19 @@ enough grams behind it. What is left is verified on the whole sets.
 
 The rows of one gram are joined by sort and merge, where the adaptive skew join splits a gram that very
 many texts begin with. Repeated texts are one text here; callers join back what holds them.
+
+Where few grams make up all texts, nearly all texts meet, and often. Then the counts of the prefixes, which are
+known before the join, say so, and texts are compared in blocks of like size instead: a task holds two blocks,
+keeps of each text a few words of bits, whose differences are at most those of the sets, and counts shared grams
+only where the bits allow the similarity. No meeting is written; a text is sent once for each block it is compared with.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +29,13 @@ from storyloom.session import durable
 THRESHOLD = 0.3
 #: Taken off products of the threshold and a size before they are rounded up.
 SLACK = 1e-9
+#: Meetings that the join of the prefixes may make for each of its rows.
+MEETINGS = 64
+#: Texts of a block: a SHARE-th of all, within these.
+BLOCK_ROWS = (4_096, 65_536)
+SHARE = 24
+#: Words of 64 bits kept of a text, at most.
+WORDS = 32
 
 
 def trigrams(c: Column) -> Column:
@@ -49,6 +65,116 @@ def _prefixes(sets: DataFrame, counts: DataFrame, t: float) -> DataFrame:
     return whole.select("text", "n", F.posexplode(prefix).alias("at", "g")).select("text", "n", F.col("g.gram").alias("gram"), "at")
 
 
+def _meetings(a: DataFrame, b: DataFrame) -> float:
+    """Rows that the join of two tables of prefixes makes, for each of theirs."""
+    rows = lambda df, n: df.groupBy("gram").agg(F.count(F.lit(1)).cast("double").alias(n))
+    per = rows(a, "n").join(rows(b, "m"), "gram", "full").agg(F.sum(F.col("n") * F.col("m")).alias("met"), F.sum("n").alias("n"), F.sum("m").alias("m")).first()
+    return (per.met or 0) / max(1, (per.n or 0) + (per.m or 0))
+
+
+def _classes(sizes: list, rows: int) -> list[tuple[int, int, int, int]]:
+    """``low, high, own, other``: ranges of set sizes that hold at most ``rows`` texts, or are one size, with the texts of both sides."""
+    out: list[tuple[int, int, int, int]] = []
+    for r in sorted(sizes):
+        if out and max(out[-1][2] + r.own, out[-1][3] + r.other) <= rows:
+            low, _, own, other = out.pop()
+            out.append((low, r.n, own + r.own, other + r.other))
+        else:
+            out.append((r.n, r.n, r.own, r.other))
+    return out
+
+
+def _coded(sets: DataFrame, blocks: list, side: str) -> DataFrame:
+    """``text, n, codes, block``: each gram as a number made of its three characters."""
+    letter = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("long")
+    code = lambda g: F.shiftleft(letter(g, 1), 42) + F.shiftleft(letter(g, 2), 21) + letter(g, 3)
+    plan = F.broadcast(sets.sparkSession.createDataFrame([(c, n, cuts[side], first[side]) for c, lows in blocks for n, cuts, first in lows], "class int, n int, cuts int, first int"))
+    rows = sets.select("text", F.size("grams").alias("n"), F.transform("grams", code).alias("codes")).join(plan, "n")
+    block = (F.col("first") + F.pmod(F.xxhash64("text"), F.col("cuts"))).cast("int")
+    return rows.select("text", "n", "codes", block.alias("block"))
+
+
+def _words_of(rows: np.ndarray, ids: np.ndarray, texts: int, words: int) -> np.ndarray:
+    """``words`` rows of 64 bits for each text; a bit is set if an odd number of the text's grams fall on it."""
+    bits = np.zeros((words, texts), np.uint64)
+    np.bitwise_xor.at(bits, ((ids >> 6) % words, rows), np.uint64(1) << (ids & 63).astype(np.uint64))
+    return bits
+
+
+def _near(t: float, alone: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The pairs of two blocks at or above ``t``; with ``alone`` both are blocks of one table, and a block meets itself once."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = (x.sort_by([("n", "ascending"), ("text", "ascending")]) for x in (left, right))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            same = alone and key[0].as_py() == key[1].as_py()
+            codes = [x.column("codes").combine_chunks() for x in (left, right)]
+            n, m = (x.column("n").to_numpy().astype(np.int64) for x in (left, right))
+            ids = pa.concat_arrays([c.flatten() for c in codes]).dictionary_encode()
+            flat, grams = ids.indices.to_numpy().astype(np.int64), len(ids.dictionary)
+            own, other = flat[: n.sum()], flat[n.sum() :]
+            begin, start = np.cumsum(n) - n, np.cumsum(m) - m
+            words = int(min(WORDS, max(2, -(-2 * max(n[-1], m[-1]) // 64))))
+            mine = _words_of(np.repeat(np.arange(len(n)), n), own, len(n), words)
+            theirs = _words_of(np.repeat(np.arange(len(m)), m), other, len(m), words)
+            lows = np.searchsorted(m, np.ceil(n * t - SLACK))
+            highs = np.searchsorted(m, np.floor(n / t + SLACK), side="right")
+            held = np.zeros(grams, bool)
+            for i in range(len(n)):
+                lo, hi = max(lows[i], i + 1) if same else lows[i], highs[i]
+                if lo >= hi:
+                    continue
+                odd = np.zeros(hi - lo, np.uint16)
+                for w in range(words):
+                    odd += np.bitwise_count(theirs[w, lo:hi] ^ mine[w, i])
+                most = n[i] + m[hi - 1]  # the bound grows with the size
+                at = np.flatnonzero(odd <= most - 2 * most * t / (1 + t) + SLACK) + lo
+                if not len(at):
+                    continue
+                gram = other[np.repeat(start[at] - np.cumsum(m[at]) + m[at], m[at]) + np.arange(m[at].sum())]
+                held[own[begin[i] : begin[i] + n[i]]] = True
+                shared = np.add.reduceat(held[gram].astype(np.int64), np.cumsum(m[at]) - m[at])
+                held[own[begin[i] : begin[i] + n[i]]] = False
+                like = shared / (n[i] + m[at] - shared)
+                good = like >= t
+                out.append((np.full(good.sum(), i), at[good], like[good]))
+        a, b, like = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"a": left.column("text").take(pa.array(a)), "b": right.column("text").take(pa.array(b)), "similarity": pa.array(like)})
+
+    return run
+
+
+def _block_pairs(own: DataFrame, other: DataFrame | None, t: float) -> DataFrame:
+    """The pairs at or above ``t`` by blocks: every two that hold sizes alike enough meet in one task."""
+    alone = other is None
+    size = lambda df, side: df.groupBy(F.size("grams").alias("n")).agg(F.count(F.lit(1)).alias("c")).withColumn("side", F.lit(side))
+    sizes = size(own, "own") if alone else size(own, "own").unionByName(size(other, "other"))
+    # one line for each size of a set
+    sizes = sizes.groupBy("n").agg(*[F.sum(F.when(F.col("side") == s, F.col("c")).otherwise(0)).alias(s) for s in ("own", "other")]).collect()
+    least, most = BLOCK_ROWS
+    rows = max(least, min(most, -(-max(sum(r.own for r in sizes), sum(r.other for r in sizes)) // SHARE)))
+    classes, first, blocks, listed = _classes(sizes, rows), {"own": 0, "other": 0}, [], {"own": [], "other": []}
+    for c, (low, high, *held) in enumerate(classes):
+        cuts = {s: max(1, -(-n // rows)) for s, n in zip(("own", "other"), held, strict=True)}
+        blocks.append((c, [(r.n, cuts, dict(first)) for r in sizes if low <= r.n <= high]))
+        for s in first:
+            listed[s] += [(first[s] + i, low, high) for i in range(cuts[s])]
+            first[s] += cuts[s]
+    met = [
+        (i, j) for i, low, high in listed["own"] for j, low2, high2 in listed["own" if alone else "other"]
+        if (i <= j or not alone) and high >= low2 * t - SLACK and high2 >= low * t - SLACK
+    ]
+    met = F.broadcast(own.sparkSession.createDataFrame(met, "i int, j int"))  # a line for each two blocks that meet
+    left = _coded(own, blocks, "own")
+    right = _coded(own, blocks, "own") if alone else _coded(other, blocks, "other")
+    left = left.join(met.withColumn("block", F.col("i")), "block").select("i", "j", "text", "n", "codes")
+    right = right.join(met.withColumn("block", F.col("j")), "block").select("i", "j", "text", "n", "codes")
+    right = right.toDF("i2", "j2", "text", "n", "codes")  # own columns, where both sides are one table
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInArrow(_near(t, alone), "a string, b string, similarity double")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity") if alone else pairs
+
+
 def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``a, b, similarity`` of all pairs of texts at or above ``threshold`` (above 0, at most 1).
 
@@ -65,6 +191,8 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: fl
 
     a = durable(_prefixes(own, counts, t))
     b = a if right is None else durable(_prefixes(other, counts, t))
+    if _meetings(a, b) > MEETINGS:
+        return _block_pairs(own, None if right is None else other, t)
     b = b.select(F.col("text").alias("_text"), F.col("n").alias("_n"), "gram", F.col("at").alias("_at"))
     met = a.join(b.hint("merge"), "gram")
     if right is None:

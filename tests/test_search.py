@@ -129,3 +129,26 @@ def test_similar_pairs_are_all_pairs(spark, threshold):
     assert got == want and want or threshold == 1.0
     two = similarity.similar_pairs(df.where("text < 'f'"), df.where("text >= 'f'"), threshold).collect()
     assert {(r.a, r.b) for r in two} == {p for p in want if p[0].encode() < b"f" <= p[1].encode()}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 1.0])
+def test_similar_pairs_of_common_grams_meet_by_blocks(spark, monkeypatch, threshold):
+    rng = random.Random(5)
+    words = ["site", "sites", "new", "newer", "𝔸x", "é", "ab12"]
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 7))) for _ in range(150)})
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,), ("--",)], "text string")
+    monkeypatch.setattr(similarity, "MEETINGS", 1)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", (16, 16))
+    want = {}
+    for a, b in itertools.product(texts, texts):
+        x, y = _grams(a), _grams(b)
+        if len(x & y) / len(x | y) >= threshold:
+            want[a, b] = round(len(x & y) / len(x | y), 9)
+    found = similarity.similar_pairs(df, threshold=threshold)
+    rows = found.collect()
+    assert {(r.a, r.b): round(r.similarity, 9) for r in rows} == {p: s for p, s in want.items() if p[0].encode() < p[1].encode()}
+    assert len({(r.a, r.b) for r in rows}) == len(rows)
+    two = similarity.similar_pairs(df, df, threshold).collect()
+    assert len(two) == len(want) and {(r.a, r.b): round(r.similarity, 9) for r in two} == want
+    # no row for each meeting of two texts in a gram
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
