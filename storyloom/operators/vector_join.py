@@ -1,14 +1,16 @@
 """Nearest-neighbour joins: queries are a table of any size, routed to blocks of the base.
 
 Every vector is filed under a cell and, for the exact join, under a ring of like distance to the
-cell's pivot; a block is one ring of one cell. Queries are copied to the blocks they must visit,
-large blocks are cut by a hash of the id, and one task holds one cut of a block and some of its
-queries. Each returns its k best per query; the best of these are the answer.
+cell's pivot; a block is one ring of one cell. The exact join visits, for each query, the blocks of
+the lowest bounds first, until they hold a few times k rows. The k-th distance found there is the
+query's radius. By the triangle inequality a vector o under pivot p is at least ``|d(q, p) - d(o, p)|``
+from q, so what is beyond the radius is left out. On vectors without any structure nearly all are within it.
 
-The exact join visits, for each query, the blocks of the lowest bounds first, until they hold a
-few times k rows. The k-th distance found there is the query's radius. By the triangle inequality
-a vector o under pivot p is at least ``|d(q, p) - d(o, p)|`` from q, so blocks, and vectors inside a
-block, beyond the radius are left out. On vectors without any structure nearly all are within it.
+Neighbouring blocks share a tile of about BLOCK_ROWS rows. A query is copied once to each tile that holds
+a block within its radius, not once to each block, large tiles are cut by a hash of the id, and one task
+holds one cut of a tile and some of its queries. There products of matrices tell which few rows can be
+among the k best, and only of these the distances are taken. Each task returns its k best per query; the
+best of these are the answer.
 
 What goes to the driver: at most PIVOTS pivots, and one line per block, of which there are at
 most RINGS for each pivot and vector length.
@@ -20,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from storyloom.session import durable
@@ -29,9 +31,13 @@ PIVOTS = 128
 RINGS = 16
 #: Rows of the base that one pivot stands for, while there are fewer than PIVOTS.
 PIVOT_ROWS = 256
-#: Rows of a block and queries that one task takes.
+#: Rows of a tile and queries that one task takes.
 BLOCK_ROWS = 20_000
-BLOCK_QUERIES = 2_000
+BLOCK_QUERIES = 20_000
+#: Queries and rows that are compared at once, and pairs whose distance is taken at once.
+CHUNK, PIECE, PAIRS = 128, 2_048, 50_000
+#: Copies of queries in one Arrow batch.
+BATCH = 20_000
 #: The first visit ends when its blocks hold so many times k rows.
 FIRST = 4
 BLOCK = ["dims", "cell", "ring"]
@@ -104,63 +110,148 @@ class Blocks:
             self.by_dims[d] = tuple(np.array([r[c] for r in own]) for c in ("cell", "ring", "n", "low", "high"))
 
     def order(self, gaps: np.ndarray, dims: int, k: int):
-        """For each query its blocks by lower bound: ``(cell, ring, bound, first)``; ``first`` marks the first visit."""
+        """For each query its blocks by lower bound: ``(cell, ring, first)``; ``first`` marks the first visit."""
         cell, ring, n, low, high = self.by_dims[dims]
         own = gaps[:, cell]
         bound = np.maximum(np.maximum(own - high, low - own), 0)
         at = np.lexsort((own, bound), axis=1)
         held = np.cumsum(n[at], axis=1) - n[at]
-        return cell[at], ring[at], np.take_along_axis(bound, at, 1), held < FIRST * k, np.take_along_axis(own, at, 1)
+        return cell[at], ring[at], held < FIRST * k
+
+    def tiles(self) -> list[tuple[int, int, int, int, int]]:
+        """``dims, cell, ring, tile, n``: neighbouring blocks share a tile of at most BLOCK_ROWS rows, larger ones have their own."""
+        out, tile = [], -1
+        for d, (cell, ring, n, _, _) in self.by_dims.items():
+            held = BLOCK_ROWS + 1
+            for i in np.lexsort((ring, cell)):
+                if held + n[i] > BLOCK_ROWS:
+                    tile, held = tile + 1, 0
+                held += int(n[i])
+                out.append((d, int(cell[i]), int(ring[i]), tile, int(n[i])))
+        return out
+
+    def bounds(self, gaps: np.ndarray, dims: int) -> np.ndarray:
+        """For each query and block the least distance that the pivots allow, blocks by cell and ring."""
+        cell, ring, _, low, high = self.by_dims[dims]
+        at = np.lexsort((ring, cell))
+        own = gaps[:, cell[at]]
+        return np.maximum(np.maximum(own - high[at], low[at] - own), 0)
+
+
+def _copied(ids: pa.Array, vectors: pa.Array, radius: np.ndarray, i: np.ndarray, dims: int, cell: np.ndarray, ring: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Copies of the queries at ``i`` for the blocks or tiles ``cell, ring``, in batches of bounded size."""
+    for lo in range(0, len(i), BATCH):
+        c = slice(lo, lo + BATCH)
+        rows = pa.array(i[c])
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(rows), vectors.take(rows), pa.array(np.full(len(rows), dims, np.int32)), pa.array(cell[c].astype(np.int32)), pa.array(ring[c].astype(np.int32)), pa.array(radius[i[c]])],
+            names=["query_id", "vector", "dims", "cell", "ring", "radius"],
+        )
 
 
 def _routed(queries: DataFrame, pivots: dict[int, np.ndarray], blocks: Blocks, k: int, first: bool) -> DataFrame:
-    """A row for each query and block it visits: first, or within ``radius`` and not first."""
+    """A row for each query and block of its first visit, or for each query and tile (as ``cell``) within its ``radius``."""
     kind = queries.schema["vector"].dataType.simpleString()
+    tile_of = {d: np.array([t for e, _, _, t, _ in blocks.tiles() if e == d]) for d in blocks.by_dims}
 
     def run(batches):
         for b in batches:
-            ids = b.column(b.schema.get_field_index("query_id"))
+            ids, vectors = (b.column(b.schema.get_field_index(c)) for c in ("query_id", "vector"))
             radius = np.full(b.num_rows, np.inf) if first else b.column(b.schema.get_field_index("radius")).to_numpy(zero_copy_only=False)
             for at, x in _matrices(b):
-                if x.shape[1] not in blocks.by_dims:
+                dims = x.shape[1]
+                if dims not in blocks.by_dims:
                     continue
-                cell, ring, bound, head, gap = blocks.order(_gaps(x, pivots), x.shape[1], k)
-                use = head if first else ~head & (bound <= radius[at][:, None] * (1 + 1e-9) + 1e-12)
-                i, j = np.nonzero(use)
-                rows = pa.array(at[i])
-                vectors = b.column(b.schema.get_field_index("vector")).take(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), vectors, pa.array(np.full(len(i), x.shape[1], np.int32)), pa.array(cell[i, j].astype(np.int32)),
-                     pa.array(ring[i, j].astype(np.int32)), pa.array(gap[i, j]), pa.array(radius[at][i])],
-                    names=["query_id", "vector", "dims", "cell", "ring", "gap", "radius"],
-                )
+                gaps = _gaps(x, pivots)
+                if first:
+                    cell, ring, head = blocks.order(gaps, dims, k)
+                    i, j = np.nonzero(head)
+                    yield from _copied(ids, vectors, radius, at[i], dims, cell[i, j], ring[i, j])
+                else:
+                    tiles, starts = np.unique(tile_of[dims], return_index=True)
+                    bound = np.minimum.reduceat(blocks.bounds(gaps, dims), starts, axis=1)
+                    i, j = np.nonzero(bound <= radius[at][:, None] * (1 + 1e-9) + 1e-12)
+                    yield from _copied(ids, vectors, radius, at[i], dims, tiles[j], np.zeros(len(j)))
+
+    return queries.mapInArrow(run, f"query_id long, vector {kind}, dims int, cell int, ring int, radius double")
+
+
+def _closest(i: np.ndarray, d: np.ndarray, queries: int, k: int) -> np.ndarray:
+    """The k-th smallest ``d`` of each query number in ``i``, infinite where there are fewer."""
+    order = np.lexsort((d, i))
+    starts = np.searchsorted(i[order], np.arange(queries))
+    ends = np.append(starts[1:], len(i))
+    out = np.full(queries, np.inf)
+    full = ends - starts >= k
+    out[full] = d[order][starts[full] + k - 1]
+    return out
 
-    return queries.mapInArrow(run, f"query_id long, vector {kind}, dims int, cell int, ring int, gap double, radius double")
 
+def _compared(x: np.ndarray, parts: list, gap: np.ndarray, v: np.ndarray, gaps: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, row) that can be among a query's k nearest, and with how many rows each was compared.
 
-def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The k nearest rows of one block cut for each of its queries, ties by id."""
+    A product of matrices gives squares of distances up to ``error``; what is beyond the k-th by more is left out.
+    """
+    norms, own = (np.einsum("ij,ij->i", m, m) for m in (x, v))
+    error = (x.shape[1] + 8) * 1e-15 * (norms.max() + own)
+    limit, compared = reach**2 + error, np.zeros(len(v), np.int64)
+    i, j, d, next_cut = np.zeros(0, int), np.zeros(0, int), np.zeros(0), 8 * k * len(v)
+    for s, (begin, end) in enumerate(parts):
+        lo = begin + np.searchsorted(gap[begin:end], gaps[:, s] - reach)
+        hi = begin + np.searchsorted(gap[begin:end], gaps[:, s] + reach, side="right")
+        met = np.flatnonzero(hi > lo)
+        for a in range(lo[met].min(), hi[met].max(), PIECE) if len(met) else ():
+            use = met[(lo[met] < a + PIECE) & (hi[met] > a)]
+            b = min(a + PIECE, hi[met].max())
+            square = norms[a:b] + own[use][:, None] - 2 * (v[use] @ x[a:b].T)
+            if b - a > k and not np.isfinite(limit[use]).all():
+                limit[use] = np.minimum(limit[use], np.partition(square, k - 1, axis=1)[:, k - 1] + 2 * error[use])
+            n, m = np.nonzero(square <= limit[use][:, None])
+            compared[use] += b - a
+            i, j, d = np.append(i, use[n]), np.append(j, m + a), np.append(d, square[n, m])
+            if len(i) > next_cut:
+                limit = np.minimum(limit, _closest(i, d, len(v), k) + 2 * error)
+                near = d <= limit[i]
+                i, j, d = i[near], j[near], d[near]
+                next_cut = 8 * k * len(v) + 2 * len(i)
+    near = d <= np.minimum(limit, _closest(i, d, len(v), k) + 2 * error)[i]
+    return i[near], j[near], compared
+
+
+def _best(k: int, pivots: dict[int, np.ndarray] | None = None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k nearest rows of one cut of a block or tile for each of its queries, ties by id. base: ``id, vector, pivot, gap``.
+
+    With ``pivots`` rows beyond a query's radius are left out by their ``gap`` to their ``pivot``.
+    """
 
     def run(base: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if base.num_rows and queries.num_rows:
-            base = base.sort_by([("gap", "ascending")])
-            gap, ids = base.column("gap").to_numpy(), base.column("id").to_numpy()
+            base = base.sort_by([("pivot", "ascending"), ("gap", "ascending")])
+            gap, ids, pivot = (base.column(c).to_numpy() for c in ("gap", "id", "pivot"))
             x = np.concatenate([m for b in base.to_batches() for _, m in _matrices(b)])
             block = [base.column(c)[0].as_py() for c in (*BLOCK, "cut")]
-            for b in queries.to_batches():
-                asked, own, radius = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("query_id", "gap", "radius"))
-                for at, q in _matrices(b):
-                    for i, v in zip(at, q, strict=True):
-                        reach = radius[i] * (1 + 1e-9) + 1e-12
-                        lo, hi = np.searchsorted(gap, own[i] - reach), np.searchsorted(gap, own[i] + reach, side="right")
-                        diff = x[lo:hi] - v
-                        dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-                        near = np.arange(hi - lo)
-                        if len(near) > k:
-                            near = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
-                        near = near[np.lexsort((ids[lo:hi][near], dist[near]))[:k]]
-                        out.append((np.full(len(near), asked[i]), ids[lo:hi][near], dist[near], *(np.full(len(near), n) for n in block), np.full(len(near), hi - lo)))
+            asked, radius = (queries.column(c).to_numpy() for c in ("query_id", "radius"))
+            q = np.concatenate([m for b in queries.to_batches() for _, m in _matrices(b)])
+            used, starts = np.unique(pivot, return_index=True)
+            parts = list(zip(starts, np.append(starts[1:], len(x)), strict=True))
+            if pivots is None:
+                parts, gaps, radius = [(0, len(x))], np.zeros((len(q), 1)), np.full(len(q), np.inf)
+            else:
+                gaps = _gaps(q, {d: p[used] for d, p in pivots.items() if d == q.shape[1]})
+            order = np.lexsort((gaps.min(1), gaps.argmin(1)))  # queries side by side have rows in common
+            for c in range(0, len(q), CHUNK):
+                at = order[c : c + CHUNK]
+                i, j, compared = _compared(x, parts, gap, q[at], gaps[at], radius[at] * (1 + 1e-9) + 1e-12, k)
+                dist = np.zeros(len(i))
+                for lo in range(0, len(i), PAIRS):
+                    diff = x[j[lo : lo + PAIRS]] - q[at[i[lo : lo + PAIRS]]]
+                    dist[lo : lo + PAIRS] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+                best = np.lexsort((ids[j], dist, i))
+                i, j, dist = i[best], j[best], dist[best]
+                top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j, dist = i[top], j[top], dist[top]
+                out.append((asked[at[i]], ids[j], dist, *(np.full(len(i), n) for n in block), compared[i]))
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * len(kinds)
         names = [f.split()[0] for f in HITS.split(", ")]
@@ -169,8 +260,8 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def _visited(rows: DataFrame, counts: list, routed: DataFrame, k: int) -> DataFrame:
-    """The k best of each block cut for each query routed to it. rows: ``id, vector, *BLOCK, gap``."""
+def _visited(rows: DataFrame, counts: list, routed: DataFrame, k: int, pivots: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """The k best of each block cut for each query routed to it. rows: ``id, vector, *BLOCK, pivot, gap``."""
     spark = rows.sparkSession
     asked = {tuple(r[c] for c in BLOCK): r.n for r in routed.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = [(*at, -(-n // BLOCK_ROWS), -(-asked[at] // BLOCK_QUERIES)) for at, n in ((tuple(r[c] for c in BLOCK), r.n) for r in counts) if at in asked]
@@ -179,11 +270,11 @@ def _visited(rows: DataFrame, counts: list, routed: DataFrame, k: int) -> DataFr
     salt = lambda c, n: F.pmod(F.xxhash64(c, F.lit("cut")), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.join(plan, BLOCK).withColumn("cut", salt("id", "cuts")).withColumn("q_cut", each("q_cuts"))
-    left = left.select(*BLOCK, "cut", "q_cut", "id", "vector", "gap")
+    left = left.select(*BLOCK, "cut", "q_cut", "id", "vector", "pivot", "gap")
     right = routed.join(plan, BLOCK).withColumn("q_cut", salt("query_id", "q_cuts")).withColumn("cut", each("cuts"))
-    right = right.select(*BLOCK, "cut", "q_cut", "query_id", "vector", "gap", "radius")
+    right = right.select(*BLOCK, "cut", "q_cut", "query_id", "vector", "radius")
     key = [*BLOCK, "cut", "q_cut"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best(k), HITS)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best(k, pivots), HITS)
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
@@ -192,17 +283,25 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
 
 
 def visits(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best of every visited block cut for each query, with ``pairs``, the rows compared there."""
+    """The k best of every visited tile cut for each query, with ``pairs``, the rows compared there."""
     base = comparable(base.select(F.col("id").cast("long").alias("id"), "vector"))
     queries = durable(comparable(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector")))
     pivots = choose_pivots(base)
-    rows = durable(filed(base, pivots))
+    rows = durable(filed(base, pivots).withColumn("pivot", F.col("cell")))
     counts = rows.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high")).collect()
     blocks = Blocks(counts)
-    first = durable(_visited(rows, counts, durable(_routed(queries, pivots, blocks, k, True)), k))
+    first = _visited(rows, counts, durable(_routed(queries, pivots, blocks, k, True)), k)
     radius = _top(first, k).where(F.col("rank") == k).select("query_id", F.col("distance").alias("radius"))
     more = queries.join(radius, "query_id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
-    return first.unionByName(_visited(rows, counts, durable(_routed(more, pivots, blocks, k, False)), k))
+    # the second visit is whole: it meets the blocks of the first again
+    spark, tiles = rows.sparkSession, blocks.tiles()
+    held = {}
+    for d, _, _, t, n in tiles:
+        held[d, t] = held.get((d, t), 0) + n
+    sizes = [Row(dims=d, cell=t, ring=0, n=n) for (d, t), n in held.items()]
+    place = F.broadcast(spark.createDataFrame([x[:4] for x in tiles], "dims int, cell int, ring int, tile int"))
+    tiled = rows.join(place, BLOCK).select("id", "vector", "dims", F.col("tile").alias("cell"), F.lit(0).alias("ring"), "pivot", "gap")
+    return _visited(tiled, sizes, durable(_routed(more, pivots, blocks, k, False)), k, pivots)
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -240,11 +339,11 @@ def knn_cells(celled: DataFrame, centers: np.ndarray, queries: DataFrame, k: int
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(near.ravel().astype(np.int32))], names=["query_id", "vector", "cell"])
 
     # a query sees its cells whole: no distance to a pivot, no radius
-    whole = {"dims": F.lit(dims), "ring": F.lit(0), "gap": F.lit(0.0)}
+    whole = {"dims": F.lit(dims), "ring": F.lit(0)}
     routed = durable(queries.mapInArrow(route, f"query_id long, vector {kind}, cell int").withColumns({**whole, "radius": F.lit(float("inf"))}))
     probed = [r.cell for r in routed.select("cell").distinct().collect()]  # at most one for each centre
     rows = comparable(celled.where(F.col("cell").isin(probed)).select(F.col("id").cast("long").alias("id"), "vector", F.col("cell").cast("int").alias("cell")))
-    rows = rows.where(F.size("vector") == dims).withColumns(whole)
+    rows = rows.where(F.size("vector") == dims).withColumns({**whole, "pivot": F.lit(0), "gap": F.lit(0.0)})
     counts = rows.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n")).collect()
     return _top(_visited(rows, counts, routed, k), k).select("query_id", "rank", "id", "distance")
 

@@ -117,3 +117,20 @@ def test_language_accuracy(entities):
     assert right > 0.9
     empty = docs.sparkSession.createDataFrame([(1, ""), (2, None), (3, "123")], "doc_id long, text string")
     assert {r.language for r in extract.detect_language(empty, "doc_id", model).collect()} == {"und"}
+
+
+def test_a_query_is_copied_once_to_a_tile(spark, monkeypatch):
+    """Vectors without structure reach nearly every block; the copies follow the tiles, and batches of them stay small."""
+    monkeypatch.setattr(vector_join, "PIVOT_ROWS", 20)
+    monkeypatch.setattr(vector_join, "BATCH", 64)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 16))
+    x[7] = x[300]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+    made = []
+    routed = vector_join._routed
+    monkeypatch.setattr(vector_join, "_routed", lambda *a: made.append(routed(*a)) or made[-1])
+    got = ids(vectors.knn(rows, rows.select(F.col("id").alias("query_id"), "vector"), 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert got == {i: sorted(range(len(x)), key=lambda n: (d[i, n], n))[:3] for i in range(len(x))}
+    assert len(made) == 2 and made[1].count() == len(x)
