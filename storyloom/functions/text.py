@@ -40,18 +40,18 @@ def _collapsed(c: Column, chars: str) -> Column:
     return F.regexp_replace(F.btrim(F.translate(c, chars, " " * len(chars))), " {2,}", " ")
 
 
-def _words_in(c: Column) -> Column:
+def words_between_blanks(c: Column) -> Column:
     # one blank between words: count the blanks instead of building an array
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + (F.length(c) > 0).cast("int")
 
 
 def word_count(c: Column) -> Column:
     """Number of blank-separated words; null text has none."""
-    return _words_in(_collapsed(F.coalesce(c, F.lit("")), _PY_CHARS))
+    return words_between_blanks(_collapsed(F.coalesce(c, F.lit("")), _PY_CHARS))
 
 
 def word_count_js(c: Column) -> Column:
-    return _words_in(_collapsed(F.coalesce(c, F.lit("")), _JS_CHARS))
+    return words_between_blanks(_collapsed(F.coalesce(c, F.lit("")), _JS_CHARS))
 
 
 @functools.cache
@@ -98,22 +98,24 @@ def unaccent(c: Column) -> Column:
 def _compat_fold(c: Column) -> Column:
     """Compatibility folding; the few characters that grow take the lookup branch."""
     src, dst, longer = _folding("NFKD")
-    has_rare = F.length(F.translate(c, "".join(longer), "")) < F.length(c)
+    beyond = F.regexp_replace(c, r"[\x00-\x7F]+", "")  # a small part of most texts
+    has_rare = F.length(F.translate(beyond, "".join(longer), "")) < F.length(beyond)
     table = F.str_to_map(
         F.lit("\x01".join(f"{k}\x02{v}" for k, v in longer.items())), F.lit("\x01"), F.lit("\x02")
     )
-    spelled = F.array_join(
-        F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), ""
-    )
+    # a map is searched key by key, so only once for each such character of a text
+    rare = F.filter(F.array_distinct(F.split(beyond, "")), lambda x: (F.length(x) > 0) & (F.length(F.translate(x, "".join(longer), "")) == 0))
+    spelled = F.aggregate(rare, c, lambda text, x: F.replace(text, x, F.try_element_at(table, x)))
     folded = F.translate(F.when(has_rare, spelled).otherwise(c), src, dst)
     return F.when(_is_ascii(c), c).otherwise(folded)
 
 
 def slugify(c: Column) -> Column:
     """Lower-case ascii slug, null when nothing is left."""
-    kept = F.regexp_replace(_compat_fold(F.lower(c)), f"[^a-z0-9{JS_SPACE}-]", "")
-    dashed = F.regexp_replace(trim_js(kept), f"[{JS_SPACE}-]+", "-")
-    return F.nullif(F.regexp_replace(dashed, "^-+|-+$", ""), F.lit(""))
+    kept = F.regexp_replace(_compat_fold(F.lower(c)), f"[^a-z0-9{JS_SPACE}-]+", "")
+    # blanks at the ends become dashes and go with them
+    dashed = F.btrim(F.regexp_replace(kept, f"[{JS_SPACE}-]+", "-"), F.lit("-"))
+    return F.when(F.length(dashed) > 0, dashed)
 
 
 def tokens(c: Column) -> Column:
@@ -121,6 +123,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def token_text(c: Column) -> Column:
+    """The words of ``tokens`` in order, one blank between two."""
+    return F.btrim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+
+
 def sha1_hash(text: Column, canonical_url: Column | None = None) -> Column:
     """sha1 of the text with white space collapsed, plus the URL when one is given."""
     norm = _collapsed(F.coalesce(text, F.lit("")), _JS_CHARS)

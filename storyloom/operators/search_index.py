@@ -17,8 +17,13 @@ void; ``merged`` folds all segments into one.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +34,8 @@ from storyloom.session import durable, spread
 #: Articles per slice, slices that one writer takes of a bucket, and articles per bucket.
 SLICE_ROWS = 1024
 WRITER_SLICES = 64
+#: Words of a slice, at most about; slices of long articles hold fewer of them.
+SLICE_WORDS = 1_000_000
 BUCKET_ROWS = 50_000
 #: Slices of each query that are scored first.
 FIRST_SLICES = 2
@@ -76,31 +83,82 @@ class Index:
 
 
 def _sliced(words: DataFrame) -> tuple[DataFrame, int]:
-    """Adds ``slice``: a class of lengths, cut by a hash of the id into slices of SLICE_ROWS articles."""
-    words = words.withColumn("_class", F.floor(2 * F.log2(F.size("words") + F.lit(1))).cast("int"))
+    """Adds ``slice``: a class of lengths, cut by a hash of the id into slices of SLICE_ROWS articles, or fewer long ones."""
+    words = words.withColumn("_class", F.floor(2 * F.log2(F.col("n") + F.lit(1))).cast("int"))
     sizes = {r["_class"]: r["count"] for r in words.groupBy("_class").count().collect()}  # two classes for each doubling
-    cuts = {c: -(-n // SLICE_ROWS) for c, n in sizes.items()}
+    cuts = {c: -(-n // max(1, min(SLICE_ROWS, int(SLICE_WORDS / 2 ** ((c + 1) / 2))))) for c, n in sizes.items()}
     of_class = F.create_map(*[F.lit(x) for pair in (cuts or {0: 1}).items() for x in pair])
     cut = F.pmod(F.xxhash64("id"), F.try_element_at(of_class, F.col("_class")))
     return words.withColumn("slice", F.col("_class").cast("long") * (1 << 40) + cut).drop("_class"), sum(cuts.values())
 
 
+def _blocks_of(ids: pa.Array, text: pa.Array, slice_: int) -> pa.RecordBatch:
+    """The blocks of one slice: ``term, slice, n, most, entries``. Rows come by id; rows of one id are one article."""
+    filled = pc.greater(pc.binary_length(text), 0)
+    ids, words = ids.filter(filled), pc.split_pattern(text.filter(filled), " ")
+    n = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    article = ids.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    code = coded.indices.to_numpy()
+    pos = (np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.int32)
+    row = np.repeat(np.arange(len(n)), n)
+    if len(article) and (np.diff(article) == 0).any():
+        order = np.lexsort((pos, article[row], code))
+    else:  # rows and positions are in order; numbers of two bytes sort fastest
+        order = np.argsort(code.astype(np.uint16) if len(coded.dictionary) < 1 << 16 else code, kind="stable")
+    code, row, pos = code[order], row[order], pos[order]
+    fresh = np.ones(len(code), bool)
+    fresh[1:] = (np.diff(code) != 0) | (np.diff(article[row]) != 0)
+    starts = np.flatnonzero(fresh)
+    ends = np.append(starts, len(code)).astype(np.int32)
+    entries = pa.StructArray.from_arrays([ids.take(pa.array(row[starts])), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos))], names=["id", "positions"])
+    first = np.flatnonzero(np.append(True, np.diff(code[starts]) != 0)) if len(starts) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(np.diff(ends), first) if len(first) else np.zeros(0, np.int32)
+    blocks = np.append(first, len(starts)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [coded.dictionary.take(pa.array(code[starts[first]])), pa.array(np.full(len(first), slice_, np.int64)), pa.array(np.diff(blocks).astype(np.int64)),
+         pa.array(most.astype(np.int32)), pa.ListArray.from_arrays(pa.array(blocks), entries)],
+        names=["term", "slice", "n", "most", "entries"],
+    )
+
+
+def _slice_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``slice, id, text`` by slice and id to blocks; one slice is held at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def made() -> pa.RecordBatch:
+        ids, text = (pa.concat_arrays([b.column(c) for b in held]) for c in (1, 2))
+        return _blocks_of(ids, text, held[0].column(0)[0].as_py())
+
+    for b in batches:
+        slices = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1), len(slices)]
+        for lo, hi in itertools.pairwise(cuts):
+            if hi == lo:
+                continue
+            if held and held[0].column(0)[0].as_py() != slices[lo]:
+                yield made()
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield made()
+
+
 def _write(rows: DataFrame, path: str, buckets: int, slices: int) -> None:
-    """rows: ``id, words, slice``. One shuffle: by bucket and group of slices, so a frequent term has many writers."""
-    hits = rows.select("id", "slice", F.posexplode("words").alias("pos", "term"))
+    """rows: ``id, text, n, slice``. One shuffle, of the texts by slice: a task makes the blocks of its slices whole and writes them by bucket."""
+    kind = rows.schema["id"].dataType.simpleString()
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-slices // WRITER_SLICES))
+    texts = rows.select("slice", "id", "text").repartition(tasks, "slice").sortWithinPartitions("slice", "id")
+    blocks = texts.mapInArrow(_slice_blocks, f"term string, slice long, n long, most int, entries array<struct<id:{kind},positions:array<int>>>")
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    split = F.pmod(F.xxhash64("slice"), F.lit(max(1, -(-slices // WRITER_SLICES)))).cast("int")
-    key = ["bucket", "split", "slice", "term"]
-    hits = hits.withColumns({"bucket": bucket, "split": split, "pos": F.col("pos") + 1}).repartition("bucket", "split")
-    entries = hits.groupBy(*key, "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    blocks = entries.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("positions")).alias("most"), F.sort_array(F.collect_list(F.struct("id", "positions"))).alias("entries")
-    )
-    blocks.sortWithinPartitions("bucket", "term", "slice").drop("split").write.partitionBy("bucket").parquet(path)
+    blocks.withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "slice").write.partitionBy("bucket").parquet(path)
 
 
 def _words(article: DataFrame) -> DataFrame:
-    return spread(article.select("id", "text"), "id").select("id", T.tokens(T.unaccent(F.coalesce("text", F.lit("")))).alias("words"))
+    """``id, text, n``: the words of each article with a blank between two, and their number."""
+    words = T.token_text(T.unaccent(F.coalesce("text", F.lit(""))))
+    rows = spread(article.select("id", "text"), "id").select("id", words.alias("text"))
+    return rows.withColumn("n", T.words_between_blanks(F.col("text")))
 
 
 def build(article: DataFrame, root: str, buckets: int | None = None) -> Index:

@@ -134,3 +134,23 @@ def test_identifiers_may_be_strings(spark, tmp_path):
     index = search_index.build(article, str(tmp_path / "s"))
     asked = spark.createDataFrame([("q", "b a")], "query_id string, q string")
     assert [tuple(r) for r in search_index.matching(index, asked).collect()] == [("q", "x")]
+
+
+def test_blocks_of_a_slice():
+    """One slice to its blocks: rows of one id are one article, texts without words have no entry."""
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict(
+        {"slice": pa.array([5, 5, 5, 5, 9], pa.int64()), "id": pa.array([1, 2, 2, 3, 1], pa.int64()), "text": ["b a b", "a", "a c", "", "b"]}
+    )
+    parts = [rows.slice(0, 1), rows.slice(1, 1), rows.slice(2)]  # a slice may come in several batches
+    made = [r for b in search_index._slice_blocks(iter(parts)) for r in b.to_pylist()]
+    entry = lambda i, p: {"id": i, "positions": p}
+    want = [
+        {"term": "a", "slice": 5, "n": 2, "most": 2, "entries": [entry(1, [2]), entry(2, [1, 1])]},
+        {"term": "b", "slice": 5, "n": 1, "most": 2, "entries": [entry(1, [1, 3])]},
+        {"term": "b", "slice": 9, "n": 1, "most": 1, "entries": [entry(1, [1])]},
+        {"term": "c", "slice": 5, "n": 1, "most": 1, "entries": [entry(2, [2])]},
+    ]
+    assert sorted(made, key=lambda r: (r["term"], r["slice"])) == want
+    assert not list(search_index._slice_blocks(iter([]))) and all(b.num_rows == 0 for b in search_index._slice_blocks(iter([rows.slice(3, 1)])))
