@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters the two source languages count as white space, as classes.
+ASCII_SPACE = "\\t\\n\\x0B\\f\\r "
 JS_SPACE = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 PY_SPACE = "\\t\\n\\x0B\\f\\r \\x1C-\\x1F\\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 _COMMON = "\t\n\x0b\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -96,7 +97,7 @@ def unaccent(c: Column) -> Column:
 
 
 def _compat_fold(c: Column) -> Column:
-    """Compatibility folding; the few characters that grow take the lookup branch."""
+    """Compatibility folding, white space to ASCII; the few characters that grow take the lookup branch."""
     src, dst, longer = _folding("NFKD")
     beyond = F.regexp_replace(c, r"[\x00-\x7F]+", "")  # a small part of most texts
     has_rare = F.length(F.translate(beyond, "".join(longer), "")) < F.length(beyond)
@@ -106,16 +107,18 @@ def _compat_fold(c: Column) -> Column:
     # a map is searched key by key, so only once for each such character of a text
     rare = F.filter(F.array_distinct(F.split(beyond, "")), lambda x: (F.length(x) > 0) & (F.length(F.translate(x, "".join(longer), "")) == 0))
     spelled = F.aggregate(rare, c, lambda text, x: F.replace(text, x, F.try_element_at(table, x)))
+    spaces = "".join(x for x in _JS_CHARS if x > "\x7f" and x not in src)  # the other ones fold to a blank
+    src, dst = src[: len(dst)] + spaces + src[len(dst) :], dst + " " * len(spaces)
     folded = F.translate(F.when(has_rare, spelled).otherwise(c), src, dst)
     return F.when(_is_ascii(c), c).otherwise(folded)
 
 
 def slugify(c: Column) -> Column:
     """Lower-case ascii slug, null when nothing is left."""
-    kept = F.regexp_replace(_compat_fold(F.lower(c)), f"[^a-z0-9{JS_SPACE}-]+", "")
+    kept = F.regexp_replace(_compat_fold(F.lower(c)), f"[^a-z0-9{ASCII_SPACE}-]+", "")
     # blanks at the ends become dashes and go with them
-    dashed = F.btrim(F.regexp_replace(kept, f"[{JS_SPACE}-]+", "-"), F.lit("-"))
-    return F.when(F.length(dashed) > 0, dashed)
+    dashed = F.btrim(F.regexp_replace(kept, f"[{ASCII_SPACE}-]+", "-"), F.lit("-"))
+    return F.nullif(dashed, F.lit(""))
 
 
 def tokens(c: Column) -> Column:

@@ -182,3 +182,14 @@ def test_job_errors(spark, old, new, errors):
 def test_broken_job(spark):
     got = spark.createDataFrame([("{oops",)], "value string").select(results.job_errors("value").alias("e")).first().e
     assert "json" in got
+
+
+def test_slug_of_rare_characters_and_token_text(spark):
+    assert one(spark, "½ ﬁn… ﬁ a -  b™ 𝔸 ½", T.slugify) == "12-fin-fi-a-b-12"
+    assert one(spark, "　--  ", T.slugify) is None
+    text = "  The ÉEAU, the-end x2 "
+    assert one(spark, text, T.token_text).split(" ") == one(spark, text, T.tokens) == ["the", "éeau", "the", "end", "x2"]
+    assert one(spark, "--", T.token_text) == ""
+    # one pass over the text for each such character, not one search of the map for each character of the text
+    plan = spark.range(1).select(T.slugify(F.lit("x").substr(F.lit(1), F.col("id").cast("int"))).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert "array_distinct" in plan
