@@ -35,8 +35,8 @@ def _kind(doc: Column, path: str) -> Column:
 class _Rules:
     """Rules over one JSON document; each gives the rule's name where it is broken, else null."""
 
-    def __init__(self, value: str):
-        self.text, self.doc = F.col(value), F.try_parse_json(value)
+    def __init__(self, value: str, doc: str | None = None):
+        self.text, self.doc = F.col(value), F.try_parse_json(value) if doc is None else F.col(doc)
 
     def kind(self, path: str) -> Column:
         return _kind(self.doc, path)
@@ -157,9 +157,9 @@ def clamp(c: Column, low, high) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
-def result_errors(value: str = "value") -> Column:
-    """Names of the rules a result message breaks; an empty array means valid."""
-    r = _Rules(value)
+def result_errors(value: str = "value", doc: str | None = None) -> Column:
+    """Names of the rules a result message breaks; an empty array means valid. ``doc``: the column that holds the parsed message, if any."""
+    r = _Rules(value, doc)
     lang = F.length(F.get_json_object(value, "$.lang"))
     kind = F.get_json_object(value, "$.classification.type")
     stamps = F.from_json(F.get_json_object(value, "$.timestamps"), "map<string,variant>")
@@ -189,7 +189,9 @@ def decode_results(messages: DataFrame, value: str = "value") -> DataFrame:
     """Result messages taken apart: ``errors``, the fields of ``schemas.RESULT``, and both documents' fields as columns."""
     m = F.from_json(value, schemas.RESULT)
     kept = [c for c in messages.columns if c != value]
-    rows = messages.select(*kept, result_errors(value).alias("errors"), m.alias("m"))
+    # parsed once as a column, not once for each rule
+    parsed = messages.select(*kept, value, F.try_parse_json(value).alias("_doc"))
+    rows = parsed.select(*kept, result_errors(value, "_doc").alias("errors"), m.alias("m"))
     plain = ["trace_id", "story_id", "article_id", "model", "lang", "summary", "schema_version"]
     stamp = F.to_timestamp(F.try_element_at("m.timestamps", F.lit("summarized_at")))
     return rows.select(*kept, "errors", *[F.col(f"m.{c}").alias(c) for c in plain], "m.classification.*", "m.ui.*", stamp.alias("summarized_at"))

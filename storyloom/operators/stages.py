@@ -94,7 +94,8 @@ def scrape_stage(jobs: DataFrame, bodies: DataFrame, language: Column, now_ms: C
 
 def persist_stage(messages: DataFrame) -> dict[str, DataFrame]:
     """Result messages (``value``, ``seq``) to summary, tag, topic and link rows; unusable ones to dead letters as they came."""
-    clean = results.gate_results(results.clean_results(results.decode_results(messages.withColumn("_value", F.col("value")))))
+    # six tables are read from the cleaned messages, which must not be parsed six times
+    clean = durable(results.gate_results(results.clean_results(results.decode_results(messages.withColumn("_value", F.col("value"))))))
     usable = (F.size("errors") == 0) & F.col("skip").isNull()
     good = clean.where(usable)
     tags, topics = results.result_labels(good, "tags"), results.result_labels(good, "topics")
