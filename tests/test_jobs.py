@@ -76,3 +76,14 @@ def test_fetched_body_wins(spark):
         rows = [("https://a.example.com/x", 500, "text/html", f"<p>error {n}"), ("https://a.example.com/x", 200, "text/html", f"<p>page {n}")]
         out = stages.scrape_stage(jobs, spark.createDataFrame(rows, "url string, status int, content_type string, html string"), F.lit("en"), F.lit(0).cast("long"))
         assert [r.text for r in out["article"].collect()] == [f"page {n}"]
+
+
+def test_result_messages_are_parsed_once(spark):
+    from storyloom.operators import results, stages
+
+    messages = spark.createDataFrame([('{"trace_id": "t"}', 1), ("{", 2)], "value string, seq long")
+    plan = results.decode_results(messages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") <= 1
+    made = stages.persist_stage(messages)
+    assert made["dead"].count() == 2 and made["summary"].count() == made["tag"].count() == 0
+    assert all("json" not in made[k]._jdf.queryExecution().optimizedPlan().toString().lower().split("scan")[0] for k in ("tag", "story_topic"))
