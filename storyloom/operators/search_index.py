@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.operators import search
+from storyloom.operators.search import TERM_WEIGHT  # a value: tasks have no module of this package
 from storyloom.session import durable, spread
 
 #: Articles per slice, slices that one writer takes of a bucket, and articles per bucket.
@@ -57,10 +58,14 @@ class Index:
         paths = [f"{self.root}/{name}/segment={s}" for s in self.segments]
         return self.spark.read.schema(f"{columns}, segment int").option("basePath", f"{self.root}/{name}").parquet(*paths)
 
-    def blocks(self, buckets: list[int] | None = None) -> DataFrame:
-        """``term, slice, n, most, entries, segment, bucket``; ``entries`` holds ``id, positions``."""
+    def blocks(self, buckets: list[int] | None = None, words: list[str] | None = None) -> DataFrame:
+        """``term, slice, n, most, entries, segment, bucket``; ``entries`` holds ``id, positions``.
+
+        Files are in the order of terms, so those without ``words`` are skipped page by page.
+        """
         rows = self._read("blocks", f"term string, slice long, n long, most int, entries array<struct<id:{self.kind},positions:array<int>>>, bucket int")
-        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+        rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+        return rows if words is None else rows.where(F.col("term").isin(words))
 
     def void(self) -> DataFrame:
         """``id, since``: entries of ``id`` in segments before ``since`` are void."""
@@ -214,65 +219,140 @@ def _bound(n_terms: Column, total: Column, least: Column) -> Column:
     noise adds TERM_WEIGHT.
     """
     covers = F.least(total - n_terms + 1, n_terms * least)
-    return F.when(n_terms > 1, covers).otherwise(total) * F.lit(search.TERM_WEIGHT) + SLACK
+    return F.when(n_terms > 1, covers).otherwise(total) * F.lit(TERM_WEIGHT) + SLACK
 
 
-def _asked_buckets(index: Index, terms: DataFrame) -> list[int]:
-    return [r.b for r in terms.select(index.bucket_of(F.col("term")).alias("b")).distinct().collect()]  # at most index.buckets
+def _asked(index: Index, terms: DataFrame) -> tuple[list[int], list[str] | None]:
+    """The buckets of the terms (at most index.buckets), and the terms themselves when they are few."""
+    buckets = [r.b for r in terms.select(index.bucket_of(F.col("term")).alias("b")).distinct().collect()]
+    words = [r.term for r in terms.select("term").distinct().limit(search.MAX_QUERY_TERMS + 1).collect()]
+    return buckets, words if len(words) <= search.MAX_QUERY_TERMS else None
 
 
-def live_slices(index: Index, terms: DataFrame, buckets: list[int]) -> DataFrame:
+def live_slices(index: Index, terms: DataFrame, buckets: list[int], words: list[str] | None = None) -> DataFrame:
     """``query_id, n_terms, segment, slice, bound`` of the slices that hold every term, from the skip table."""
-    heads = index.blocks(buckets).select("term", "segment", "slice", "most")
+    heads = index.blocks(buckets, words).select("term", "segment", "slice", "most")
     found = heads.join(terms, "term").groupBy("query_id", "n_terms", "segment", "slice")
     found = found.agg(F.count(F.lit(1)).alias("_held"), F.sum("most").alias("_total"), F.min("most").alias("_least"))
     bound = _bound(F.col("n_terms"), F.col("_total"), F.col("_least"))
     return found.where("_held = n_terms").select("query_id", "n_terms", "segment", "slice", bound.alias("bound"))
 
 
-def _intersected(index: Index, terms: DataFrame, live: DataFrame, buckets: list[int], *carried: str) -> DataFrame:
-    """``query_id, n_terms, *carried, segment, slice, blocks, common``: blocks, rarest first, and the ids that all of them hold."""
-    key = ["query_id", "n_terms", *carried, "segment", "slice"]
-    wanted = live.select(*key).join(terms.drop("n_terms"), "query_id")
-    blocks = index.blocks(buckets).select("term", "segment", "slice", "n", "entries").join(wanted, ["term", "segment", "slice"])
-    # at most n_terms blocks of one slice meet in a group
-    grouped = blocks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("n", "term", "entries"))).alias("blocks"))
-    ids = lambda b: F.transform(b["entries"], lambda e: e["id"])
-    common = F.aggregate(F.expr("slice(blocks, 2, size(blocks))"), ids(F.get("blocks", F.lit(0))), lambda acc, b: F.array_intersect(acc, ids(b)))
-    return grouped.withColumn("common", common).where(F.size("common") > 0)
+def _blocks_asked(index: Index, terms: DataFrame, live: DataFrame, buckets: list[int], words: list[str] | None, *carried: str) -> DataFrame:
+    """``query_id, n_terms, *carried, segment, slice, term, n, entries``: a block for each term of a query in a live slice."""
+    wanted = live.select("query_id", "n_terms", *carried, "segment", "slice").join(terms.drop("n_terms"), "query_id")
+    return index.blocks(buckets, words).select("term", "segment", "slice", "n", "entries").join(wanted, ["term", "segment", "slice"])
 
 
 def matching(index: Index, queries: DataFrame, strict: bool = False) -> DataFrame:
     """``query_id, id`` of the articles that hold every term of a query; no position is looked at."""
     terms = durable(search.query_terms(queries, strict))
-    buckets = _asked_buckets(index, terms)
-    hits = _intersected(index, terms, live_slices(index, terms, buckets), buckets)
-    return index.current(hits.select("query_id", "segment", F.explode("common").alias("id"))).select("query_id", "id")
-
-
-def _scored(index: Index, terms: DataFrame, live: DataFrame, buckets: list[int]) -> DataFrame:
-    """``query_id, id, score`` of the articles in the ``live`` slices whose bound reaches ``floor``."""
-    hits = _intersected(index, terms, live, buckets, "floor")
-    hits = hits.select("query_id", "n_terms", "floor", "segment", "slice", "common", F.explode("blocks").alias("b"))
-    hits = hits.select("query_id", "n_terms", "floor", "segment", "slice", "common", "b.term", F.explode("b.entries").alias("e"))
-    hits = hits.where(F.array_contains("common", F.col("e.id")))
-    spots = F.transform("e.positions", lambda p: F.struct(p.alias("pos"), F.col("term").alias("term")))
-    hits = hits.select("query_id", "n_terms", "floor", "segment", "slice", "e.id", F.size("e.positions").alias("_n"), spots.alias("_spots"))
-    per = hits.groupBy("query_id", "n_terms", "floor", "segment", "slice", "id").agg(
-        F.sum("_n").alias("_total"), F.min("_n").alias("_least"), F.collect_list("_spots").alias("_spots")
+    buckets, words = _asked(index, terms)
+    # at most n_terms blocks of one slice meet in a group
+    grouped = _blocks_asked(index, terms, live_slices(index, terms, buckets, words), buckets, words).groupBy("query_id", "n_terms", "segment", "slice").agg(
+        F.sort_array(F.collect_list(F.struct("n", "term", F.transform("entries", lambda e: e["id"]).alias("ids")))).alias("blocks")
     )
+    rest = F.expr("slice(blocks, 2, size(blocks))")
+    common = F.aggregate(rest, F.get("blocks", F.lit(0))["ids"], lambda acc, b: F.array_intersect(acc, b["ids"]))
+    hits = grouped.select("query_id", "segment", F.explode(common).alias("id"))
+    return index.current(hits).select("query_id", "id")
+
+
+def _cover_scores(n_terms: int, article: np.ndarray, pos: np.ndarray, term: np.ndarray, n_articles: int) -> np.ndarray:
+    """The rank of each article, as ``search._cover_score`` has it; one row per occurrence."""
+    order = np.lexsort((term, pos, article))
+    article, pos, term = article[order], pos[order], term[order]
+    at = np.arange(len(pos))
+    new = np.append(True, np.diff(article) != 0)
+    begin = np.maximum.accumulate(np.where(new, at, 0))
+    seen, oldest = np.zeros(len(pos), np.int64), at.copy()
+    for t in np.unique(term):
+        last = np.maximum.accumulate(np.where(term == t, at, -1))
+        held = last >= begin
+        seen += held
+        oldest = np.where(held, np.minimum(oldest, last), oldest)
+    full, start = seen == n_terms, pos[oldest]
+    fresh = full.copy()
+    fresh[1:] &= new[1:] | ~full[:-1] | (start[1:] > start[:-1])
+    noise = (pos - start) - (at - oldest)
+    with np.errstate(divide="raise"):
+        gain = TERM_WEIGHT / (1.0 + noise[fresh])
+    return np.bincount(article[fresh], weights=gain, minlength=n_articles)
+
+
+def _score_slice(rows: pa.Table) -> pa.RecordBatch | None:
+    """``query_id, n_terms, floor, segment, id, _total, _least, score`` of the articles that all blocks of a query in one slice hold."""
+    n_terms, entries = rows.column("n_terms")[0].as_py(), rows.column("entries").combine_chunks()
+    held = entries.flatten()
+    coded = held.field(0).dictionary_encode()
+    kinds = len(coded.dictionary)
+    code = coded.indices.fill_null(kinds).to_numpy(zero_copy_only=False).astype(np.int64)
+    term = np.repeat(np.arange(len(entries)), pc.list_value_length(entries).to_numpy(zero_copy_only=False))
+    blocks = np.bincount(np.unique(code * len(entries) + term) // len(entries), minlength=kinds + 1)
+    blocks[kinds] = 0  # a null id is no article
+    kept = np.flatnonzero(blocks[code] == len(entries))
+    if not len(kept):
+        return None
+    found, article = np.unique(code[kept], return_inverse=True)
+    spots = held.field(1).take(pa.array(kept))
+    n = pc.list_value_length(spots).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, least = np.zeros(len(found), np.int64), np.full(len(found), np.iinfo(np.int32).max, np.int64)
+    np.add.at(total, article, n)
+    np.minimum.at(least, article, n)
+    if n_terms > 1:
+        pos = spots.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        score = _cover_scores(n_terms, np.repeat(article, n), pos, np.repeat(term[kept], n), len(found))
+    else:
+        score = total * TERM_WEIGHT
+    of_query = [pa.repeat(rows.column(c)[0], len(found)) for c in ("query_id", "n_terms", "floor", "segment")]
+    out = [*of_query, coded.dictionary.take(pa.array(found)), pa.array(total), pa.array(least), pa.array(score)]
+    return pa.RecordBatch.from_arrays(out, names=["query_id", "n_terms", "floor", "segment", "id", "_total", "_least", "score"])
+
+
+def _score_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by query, slice and term to scored articles; the blocks of one query in one slice are held at a time."""
+    key = ["query_id", "n_terms", "segment", "slice"]
+    of, held = None, []
+    for b in batches:
+        turns = np.zeros(max(0, b.num_rows - 1), bool)
+        for c in key:
+            turns |= pc.not_equal(b.column(c).slice(1), b.column(c).slice(0, max(0, b.num_rows - 1))).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(turns) + 1), b.num_rows]
+        for lo, hi in itertools.pairwise(cuts):
+            if hi == lo:
+                continue
+            part = b.slice(lo, hi - lo)
+            mine = [part.column(c)[0] for c in key]
+            if held and mine != of:
+                out = _score_slice(pa.Table.from_batches(held))
+                held = []
+                if out is not None:
+                    yield out
+            of = mine
+            held.append(part)
+    if held and (out := _score_slice(pa.Table.from_batches(held))) is not None:
+        yield out
+
+
+def _scored(index: Index, terms: DataFrame, live: DataFrame, buckets: list[int], words: list[str] | None) -> DataFrame:
+    """``query_id, id, score`` of the articles in the ``live`` slices whose bound reaches ``floor``.
+
+    The blocks of a query in one slice meet in a task, which intersects and scores them there.
+    """
+    blocks = _blocks_asked(index, terms, live, buckets, words, "floor").select("query_id", "n_terms", "floor", "segment", "slice", "term", "entries")
+    blocks = blocks.repartition("query_id", "segment", "slice").sortWithinPartitions("query_id", "n_terms", "segment", "slice", "term")
+    kind = blocks.schema["query_id"].dataType.simpleString()
+    per = blocks.mapInArrow(_score_slices, f"query_id {kind}, n_terms int, floor double, segment int, id {index.kind}, _total long, _least long, score double")
     per = index.current(per).where(_bound(F.col("n_terms"), F.col("_total"), F.col("_least")) >= F.col("floor"))
-    cover = search._cover_score(F.sort_array(F.flatten("_spots")), F.col("n_terms"))
-    score = F.when(F.col("n_terms") > 1, cover).otherwise(F.col("_total") * F.lit(search.TERM_WEIGHT))
-    return per.select("query_id", "id", score.alias("score"))
+    return per.select("query_id", "id", "score")
 
 
 def ranked(index: Index, queries: DataFrame, strict: bool = False) -> DataFrame:
     """``query_id, id, score`` of every article holding all terms of a query."""
     terms = durable(search.query_terms(queries, strict))
-    buckets = _asked_buckets(index, terms)
-    live = live_slices(index, terms, buckets).withColumn("floor", F.lit(0.0))
-    return _scored(index, terms, live, buckets)
+    buckets, words = _asked(index, terms)
+    live = live_slices(index, terms, buckets, words).withColumn("floor", F.lit(0.0))
+    return _scored(index, terms, live, buckets, words)
 
 
 def contenders(index: Index, queries: DataFrame, stories: DataFrame, k: int, strict: bool = False) -> DataFrame:
@@ -282,18 +362,20 @@ def contenders(index: Index, queries: DataFrame, stories: DataFrame, k: int, str
     found there is a floor: what cannot reach it is skipped.
     """
     terms = durable(search.query_terms(queries, strict))
-    buckets = _asked_buckets(index, terms)
+    buckets, words = _asked(index, terms)
     order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "segment", "slice")
-    live = durable(live_slices(index, terms, buckets))
+    live = durable(live_slices(index, terms, buckets, words))
     head = live.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= FIRST_SLICES).drop("_place")
-    first = durable(_scored(index, terms, head.withColumn("floor", F.lit(0.0)), buckets))
+    first = durable(_scored(index, terms, head.withColumn("floor", F.lit(0.0)), buckets, words))
     floors = search.top_stories(first, stories, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     rest = live.join(head.select("query_id", "segment", "slice"), ["query_id", "segment", "slice"], "left_anti")
     rest = rest.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).where(F.col("bound") >= F.col("floor"))
-    return first.unionByName(_scored(index, terms, rest, buckets))
+    return first.unionByName(_scored(index, terms, rest, buckets, words))
 
 
 def search_many(index: Index, stories: DataFrame, queries: DataFrame, k: int = 30, strict: bool = False) -> DataFrame:
     """Ranked hits of many queries at once: ``query_id, rank, id, score, match``."""
     k = max(1, int(k))
+    # read for the floors and again for the results
+    stories = durable(stories.select("id", "article_id", "created_at").where("article_id is not null"))
     return search.top_stories(contenders(index, queries, stories, k, strict), stories, k).withColumn("match", F.lit("lexical"))

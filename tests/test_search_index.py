@@ -154,3 +154,32 @@ def test_blocks_of_a_slice():
     ]
     assert sorted(made, key=lambda r: (r["term"], r["slice"])) == want
     assert not list(search_index._slice_blocks(iter([]))) and all(b.num_rows == 0 for b in search_index._slice_blocks(iter([rows.slice(3, 1)])))
+
+
+def test_blocks_are_scored_whole_in_the_tasks(spark, corpus, asked):
+    """No row is made for an entry or an occurrence of a term; before, each entry was a row that carried the ids of its slice."""
+    _, _, index = corpus
+    plan = search_index.ranked(index, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("cut", [1, 2, 5])
+def test_scores_of_a_slice(cut):
+    """Groups of blocks may be cut by batches; null ids and articles without one of the terms have no score."""
+    import pyarrow as pa
+
+    def block(query, slice_, term, entries):
+        entries = [{"id": i, "positions": p} for i, p in entries]
+        return {"query_id": query, "n_terms": 2 if query == 1 else 1, "floor": 0.0, "segment": 0, "slice": slice_, "term": term, "entries": entries}
+
+    rows = [
+        block(1, 3, "a", [(7, [1, 9]), (8, [2]), (None, [1])]), block(1, 3, "b", [(7, [4, 10]), (9, [1]), (None, [2])]),
+        block(1, 4, "a", [(1, [1])]), block(1, 4, "b", [(2, [1])]), block(2, 3, "a", [(7, [1, 9]), (8, [2]), (None, [1])]),
+    ]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("positions", pa.list_(pa.int32()))]))
+    schema = pa.schema([("query_id", pa.int32()), ("n_terms", pa.int32()), ("floor", pa.float64()), ("segment", pa.int32()), ("slice", pa.int64()), ("term", pa.string()), ("entries", kind)])
+    whole = pa.RecordBatch.from_pylist(rows, schema=schema)
+    parts = [whole.slice(i, cut) for i in range(0, len(rows), cut)]
+    made = [(r["query_id"], r["id"], r["_total"], r["_least"], round(r["score"], 9)) for b in search_index._score_slices(iter(parts)) for r in b.to_pylist()]
+    covers = 0.1 / 3 + 0.1 / 5 + 0.1  # 1-4 with two words between, 4-9 with four, 9-10 with none
+    assert made == [(1, 7, 4, 2, round(covers, 9)), (2, 7, 2, 2, 0.2), (2, 8, 1, 1, 0.1)]
