@@ -131,6 +131,12 @@ def token_text(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
 
 
+def folded_words(c: Column) -> Column:
+    """The text with its words as ``token_text`` of the unaccented text has them; an ASCII text stays as it is,
+    since there words are runs of letters and digits in either case, which tasks find without a pattern."""
+    return F.when(_is_ascii(c), c).otherwise(token_text(unaccent(c)))
+
+
 def sha1_hash(text: Column, canonical_url: Column | None = None) -> Column:
     """sha1 of the text with white space collapsed, plus the URL when one is given."""
     norm = _collapsed(F.coalesce(text, F.lit("")), _JS_CHARS)

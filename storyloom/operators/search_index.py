@@ -35,8 +35,9 @@ from storyloom.session import durable, spread
 #: Articles per slice, slices that one writer takes of a bucket, and articles per bucket.
 SLICE_ROWS = 1024
 WRITER_SLICES = 64
-#: Words of a slice, at most about; slices of long articles hold fewer of them.
+#: Words of a slice, at most about; slices of long articles hold fewer of them. Words are taken to have so many bytes.
 SLICE_WORDS = 1_000_000
+WORD_BYTES = 6
 BUCKET_ROWS = 50_000
 #: Slices of each query that are scored first.
 FIRST_SLICES = 2
@@ -59,10 +60,7 @@ class Index:
         return self.spark.read.schema(f"{columns}, segment int").option("basePath", f"{self.root}/{name}").parquet(*paths)
 
     def blocks(self, buckets: list[int] | None = None, words: list[str] | None = None) -> DataFrame:
-        """``term, slice, n, most, entries, segment, bucket``; ``entries`` holds ``id, positions``.
-
-        Files are in the order of terms, so those without ``words`` are skipped page by page.
-        """
+        """``term, slice, n, most, entries, segment, bucket``; ``entries`` holds ``id, positions``. Only those of ``words``, if given."""
         rows = self._read("blocks", f"term string, slice long, n long, most int, entries array<struct<id:{self.kind},positions:array<int>>>, bucket int")
         rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
         return rows if words is None else rows.where(F.col("term").isin(words))
@@ -97,16 +95,45 @@ def _sliced(words: DataFrame) -> tuple[DataFrame, int]:
     return words.withColumn("slice", F.col("_class").cast("long") * (1 << 40) + cut).drop("_class"), sum(cuts.values())
 
 
+def _word_bytes() -> np.ndarray:
+    """What each byte of a folded text becomes: letters and digits in lower case, 0 between words. Bytes beyond ASCII are letters there."""
+    table = np.arange(256, dtype=np.uint8)
+    table[:128] = [ord(chr(c).lower()) if chr(c).isalnum() else 0 for c in range(128)]
+    return table
+
+
+_WORD_BYTES = _word_bytes()
+
+
+def _words_in(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and the number of the text that each is in."""
+    text = text.cast(pa.string())
+    if not pc.sum(pc.binary_length(text)).as_py():
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    _, ends, data = text.buffers()
+    at = np.frombuffer(ends, np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    data = _WORD_BYTES[np.frombuffer(data, np.uint8)[at[0] : at[-1]]]
+    at -= at[0]
+    inside = data != 0
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    texts = at[:-1][np.diff(at) > 0]
+    starts[texts] = inside[texts]  # no word goes on in the next text
+    starts = np.flatnonzero(starts)
+    data = data[inside]
+    ends = np.append(np.cumsum(inside)[starts] - 1, len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return words, np.searchsorted(at, starts, side="right") - 1
+
+
 def _blocks_of(ids: pa.Array, text: pa.Array, slice_: int) -> pa.RecordBatch:
     """The blocks of one slice: ``term, slice, n, most, entries``. Rows come by id; rows of one id are one article."""
-    filled = pc.greater(pc.binary_length(text), 0)
-    ids, words = ids.filter(filled), pc.split_pattern(text.filter(filled), " ")
-    n = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    words, row = _words_in(text)
+    n = np.bincount(row, minlength=len(ids))
     article = ids.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
-    coded = words.flatten().dictionary_encode()
+    coded = words.dictionary_encode()
     code = coded.indices.to_numpy()
     pos = (np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.int32)
-    row = np.repeat(np.arange(len(n)), n)
     if len(article) and (np.diff(article) == 0).any():
         order = np.lexsort((pos, article[row], code))
     else:  # rows and positions are in order; numbers of two bytes sort fastest
@@ -150,20 +177,20 @@ def _slice_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _write(rows: DataFrame, path: str, buckets: int, slices: int) -> None:
-    """rows: ``id, text, n, slice``. One shuffle, of the texts by slice: a task makes the blocks of its slices whole and writes them by bucket."""
+    """rows: ``id, text, n, slice`` with folded texts. One shuffle, of the texts by slice: a task makes the blocks of its slices whole and writes them by bucket."""
     kind = rows.schema["id"].dataType.simpleString()
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-slices // WRITER_SLICES))
     texts = rows.select("slice", "id", "text").repartition(tasks, "slice").sortWithinPartitions("slice", "id")
     blocks = texts.mapInArrow(_slice_blocks, f"term string, slice long, n long, most int, entries array<struct<id:{kind},positions:array<int>>>")
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    blocks.withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "slice").write.partitionBy("bucket").parquet(path)
+    blocks.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
 
 
 def _words(article: DataFrame) -> DataFrame:
-    """``id, text, n``: the words of each article with a blank between two, and their number."""
-    words = T.token_text(T.unaccent(F.coalesce("text", F.lit(""))))
-    rows = spread(article.select("id", "text"), "id").select("id", words.alias("text"))
-    return rows.withColumn("n", T.words_between_blanks(F.col("text")))
+    """``id, text, n``: the texts folded but for what ``_words_in`` does in the tasks, and about how many words they have."""
+    text = T.folded_words(F.coalesce("text", F.lit("")))
+    rows = spread(article.select("id", "text"), "id").select("id", text.alias("text"))
+    return rows.withColumn("n", F.ceil(F.octet_length("text") / F.lit(WORD_BYTES)))
 
 
 def build(article: DataFrame, root: str, buckets: int | None = None) -> Index:

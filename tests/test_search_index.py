@@ -183,3 +183,23 @@ def test_scores_of_a_slice(cut):
     made = [(r["query_id"], r["id"], r["_total"], r["_least"], round(r["score"], 9)) for b in search_index._score_slices(iter(parts)) for r in b.to_pylist()]
     covers = 0.1 / 3 + 0.1 / 5 + 0.1  # 1-4 with two words between, 4-9 with four, 9-10 with none
     assert made == [(1, 7, 4, 2, round(covers, 9)), (2, 7, 2, 2, 0.2), (2, 8, 1, 1, 0.1)]
+
+
+def test_words_in_folded_texts():
+    """ASCII texts come as they are and are cut into words in the tasks; no word goes on in the next text."""
+    import pyarrow as pa
+
+    words, row = search_index._words_in(pa.array(["skipped", "", "A-b C3,", "x", "", "y\x00\tZz_9", "é ǆ", "--"]).slice(1))
+    assert list(zip(words.to_pylist(), row.tolist(), strict=True)) == [
+        ("a", 1), ("b", 1), ("c3", 1), ("x", 2), ("y", 4), ("zz", 4), ("9", 4), ("é", 5), ("ǆ", 5)
+    ]
+    assert [len(x) for x in search_index._words_in(pa.array(["", ""]))] == [0, 0]
+
+
+def test_index_of_mixed_texts(spark, tmp_path):
+    rows = [(1, "Straße ÉTÉ x_y"), (2, "A1 b\x00c\x1fd\ne"), (3, "İstanbul ΣΑΣ Σ"), (4, "日本 ét K2"), (5, "  "), (6, None), (7, "l'été—l'hiver")]
+    article = spark.createDataFrame(rows, "id long, text string")
+    index = search_index.build(article, str(tmp_path / "mixed"))
+    assert postings(index.postings()) == postings(search.postings(article))
+    plan = search_index._words(article)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan and "octet_length" in plan
