@@ -25,6 +25,7 @@ _INDEXES: dict[tuple[str, str], search_index.Index] = {}
 
 AS_OF = "2024-01-08 00:00:00"
 MODEL = "m1"
+DOMAIN = "regexp_replace(lower(try_parse_url(url, 'HOST')), '^www\\\\.', '')"
 EMPTY_PAGE = "<html><script>var a = '<p>x</p>'</script><body> </body></html>"
 
 
@@ -112,7 +113,7 @@ class Entities:
             "CASE WHEN id % 4 = 0 THEN CAST(id AS int) END AS hn_id",
             "title",
             "url",
-            "regexp_replace(lower(try_parse_url(url, 'HOST')), '^www\\\\.', '') AS domain",
+            f"{DOMAIN} AS domain",
             "author",
             "points",
             "comments_count",
@@ -127,14 +128,17 @@ class Entities:
         return self.story().drop("lang")
 
     def article(self) -> DataFrame:
-        # the first copy of a text stands for it, so no join back is needed
-        first = self.story("text").where("id = article_id")
+        """The first copy of each text. What is known of it is narrow and hashed, so that texts pass one join and no sort."""
+        firsts = self._copies().select(F.col("article_id").alias("id"), "copy")
+        known = self.with_page(firsts, "id").selectExpr("id AS _id", "copy AS _copy", f"{DOMAIN} AS domain")
+        docs = self.t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), "text", F.sha2("text", 256).alias("copy"))
+        first = docs.join(known.hint("shuffle_hash"), (F.col("id") == F.col("_id")) & (F.col("copy") == F.col("_copy")))
         return first.select(
             "id",
-            F.col("lang").alias("language"),
+            "language",
             "text",
             T.word_count(F.col("text")).alias("word_count"),
-            T.sha256_hash(F.col("lang"), F.coalesce("domain", F.lit("")), F.col("text")).alias("content_hash"),
+            T.sha256_hash(F.col("language"), F.coalesce("domain", F.lit("")), F.col("text")).alias("content_hash"),
         )
 
     def article_text(self) -> DataFrame:

@@ -170,3 +170,24 @@ def test_integrity_reports_every_rule_from_one_scan_per_table(spark):
     }
     plan = report._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == len(tables) and "Join" not in plan
+
+
+def test_texts_of_articles_pass_one_join_without_a_sort(entities):
+    """Only narrow rows are sorted on the way to an article; its text is streamed past a table of hashes."""
+    plan = entities.article()._jdf.queryExecution().executedPlan().toString()
+    joined = [line for line in plan.splitlines() if "ShuffledHashJoin" in line]
+    sorted_ = [line for line in plan.splitlines() if "Sort [" in line]
+    assert len(joined) == 1 and all("text" not in line for line in sorted_)
+    above = plan[: plan.index("ShuffledHashJoin")]
+    assert "SortMergeJoin" not in above and "BroadcastHashJoin" not in above
+
+
+def test_first_copies_are_the_articles(spark, tmp_path):
+    """Rows that repeat an id and a text are articles each, an id with two texts is two, null ids and texts are none."""
+    from storyloom.sources.entities import Entities
+
+    rows = [(3, "a", "en"), (1, "b", "de"), (2, "a", "fr"), (2, "a", "it"), (5, "c", "en"), (5, "d", "en"), (None, "e", "en"), (4, None, "en"), (9, "b", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"https://www.h{i}.example/x") for i in range(3)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    made = sorted(tuple(r) for r in Entities(spark, str(tmp_path)).article().select("id", "language", "text").collect())
+    assert made == [(1, "de", "b"), (2, "fr", "a"), (2, "it", "a"), (5, "en", "c"), (5, "en", "d")]
