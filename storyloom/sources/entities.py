@@ -101,7 +101,8 @@ class Entities:
             "doc_id AS id", "substring(text, 1, 80) AS title", "source AS author", "lang", "copy", *extra
         )
         heavy = hot_from_counts(copies, "copy")
-        return lookup(slim, copies.select("copy", "article_id"), "copy", heavy=heavy).drop("copy")
+        # copies are distinct, so a table of them is small in each task; posts are not sorted
+        return lookup(slim, copies.select("copy", "article_id").hint("shuffle_hash"), "copy", heavy=heavy).drop("copy")
 
     def story(self, *extra: str) -> DataFrame:
         posts = self.with_page(self._posts(*extra), "id")

@@ -191,3 +191,9 @@ def test_first_copies_are_the_articles(spark, tmp_path):
     spark.createDataFrame([(i, f"https://www.h{i}.example/x") for i in range(3)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     made = sorted(tuple(r) for r in Entities(spark, str(tmp_path)).article().select("id", "language", "text").collect())
     assert made == [(1, "de", "b"), (2, "fr", "a"), (2, "it", "a"), (5, "en", "c"), (5, "en", "d")]
+
+
+def test_posts_are_not_sorted_to_learn_their_first_copy(entities):
+    plan = entities.stories()._jdf.queryExecution().executedPlan().toString()
+    joined = next(line for line in plan.splitlines() if "[copy#" in line and "Join" in line)
+    assert "ShuffledHashJoin" in joined and "BuildRight" in joined
