@@ -12,8 +12,8 @@ can start a repeat are sorted here:
    so equal grams never fall on two sides of a boundary and the last suffix before a
    boundary always differs from the first one behind it.
 3. A bucket sorts its 50-byte strings by multikey quicksort on eight-byte words: runs that
-   agree so far are split by the next word, runs of one are left out. In each final run the
-   smallest doc_id keeps the string.
+   agree so far are split by the next word, runs of one are left out; strings whose checksum
+   no other one has are left out before. In each final run the smallest doc_id keeps the string.
 
 Every task first does step 3 on its own texts and sends only what it could not decide, each
 string from one document; a string that stands in a third of all documents thus reaches its
@@ -44,6 +44,8 @@ SPLITTER_DOCS = 2_000
 BUCKET_BYTES = 1_500_000
 #: Bytes of texts whose anchor hashes meet in one task: a seventeenth of them are anchors, of which a chunk sends each hash once.
 ANCHOR_BYTES = 4_000_000
+#: Bytes of texts whose shared anchors are gathered in one task; what tells them comes in one row from each chunk and each task that matches.
+PART_BYTES = 16_000_000
 _UNITS = 1 << 30
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -111,13 +113,27 @@ def _chunks(texts, limit: int = 1 << 20):
         yield numbers, Chunk(held)
 
 
+def _perhaps_equal(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which strings share a slot with another one, by a checksum of their words: all that are equal, and few others."""
+    h = np.zeros(len(at), np.uint64)
+    for k in (0, 8, 16, 24, 32, 42):
+        h = (h ^ words[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    bits = len(at).bit_length() + 2
+    slot = (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+    last, number = np.empty(1 << bits, np.int32), np.arange(len(at), dtype=np.int32)
+    last[slot] = number
+    many = np.zeros(1 << bits, bool)
+    many[slot[last[slot] != number]] = True
+    return np.flatnonzero(many[slot])
+
+
 def equal_windows(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(order, new)``: strings that occur more than once, equal ones side by side; ``new`` marks a run's first."""
     words = np.ndarray((max(0, len(buf) - 7),), np.uint64, buffer=buf, strides=(1,))
-    order, run = np.arange(len(at)), np.zeros(len(at), np.int64)
-    new = np.zeros(len(at), bool)
-    if len(at):
-        new[0] = True
+    order = _perhaps_equal(words, at)
+    run, new = np.zeros(len(order), np.int64), np.zeros(len(order), bool)
+    new[:1] = True
     for k in (GRAM, 0, 32, 42, 24, 8, 40):
         if len(order) < 2:
             return order[:0], new[:0]
@@ -221,8 +237,12 @@ def _same_text(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return texts.join(other, (F.col("doc_id") == F.col("_of")) & (F.col("digest") == F.col("_digest")), how).drop("_of", "_digest")
 
 
-def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """``(digest, hashes)``: for each text some of its anchor hashes that occur in another text too; together, all of them."""
+def shared_anchors(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """``(part, hashes, digests, counts)``: anchor hashes that occur in another text too, packed by text; together, all of them.
+
+    A row holds what one chunk, or one bucket of hashes, has to tell the texts of a part: all whose digests agree modulo
+    ``parts``. Rows follow chunks and buckets, not the texts that meet in them.
+    """
 
     def post(batches):
         for b in batches:
@@ -260,13 +280,16 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     def told(digest, h):
         if not len(h):
             return
-        o = np.argsort(digest, kind="stable")
-        digest, h = digest[o], h[o]
-        cut = np.flatnonzero(np.r_[True, digest[1:] != digest[:-1]])
-        none = pa.nulls(len(cut), pa.binary())
+        names, number, counts = np.unique(digest, return_inverse=True, return_counts=True)
+        h = h[np.argsort(number, kind="stable")]
+        ends = np.cumsum(counts)
+        part = names % parts
+        rows = [(p, np.flatnonzero(part == p)) for p in np.unique(part).tolist()]
         yield _cols(
-            kind=pa.array(np.ones(len(cut), np.int32)), key=pa.array(digest[cut]),
-            a=pa.array([h[s:e].tobytes() for s, e in zip(cut, np.r_[cut[1:], len(h)], strict=True)], pa.binary()), b=none, c=none, d=none,
+            kind=pa.array(np.ones(len(rows), np.int32)), key=pa.array([p for p, _ in rows], pa.int64()),
+            a=pa.array([np.concatenate([h[ends[i] - counts[i] : ends[i]] for i in own]).tobytes() for _, own in rows], pa.binary()),
+            b=pa.array([names[own].tobytes() for _, own in rows], pa.binary()),
+            c=pa.array([counts[own].astype(np.int32).tobytes() for _, own in rows], pa.binary()), d=pa.nulls(len(rows), pa.binary()),
         )
 
     def match(t: pa.Table) -> pa.Table:
@@ -283,20 +306,41 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
         good = ((np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) | np.logical_or.reduceat(m, first))[run]
         found = list(told(d[good], h[good]))
-        return pa.Table.from_batches(found).select(["key", "a"]).rename_columns(["digest", "hashes"]) if found else out_schema.empty_table()
+        return packed(pa.Table.from_batches(found)) if found else out_schema.empty_table()
+
+    def packed(t: pa.Table) -> pa.Table:
+        return t.select(["key", "a", "b", "c"]).rename_columns(out_schema.names)
 
-    out_schema = pa.schema([("digest", pa.int64()), ("hashes", pa.binary())])
+    out_schema = pa.schema([("part", pa.int64()), ("hashes", pa.binary()), ("digests", pa.binary()), ("counts", pa.binary())])
     texts = docs.select(F.xxhash64(text_of()).alias("digest"), text_of().alias("text"))
     posted = texts.mapInArrow(post, "kind int, key long, a binary, b binary, c binary, d binary")
     # told rows pass through their own group of one bucket, so that the texts are hashed once
     key = F.when(F.col("kind") == 0, F.col("key")).otherwise(F.lit(buckets) + F.pmod("key", F.lit(buckets))).alias("bucket")
 
     def either(t: pa.Table) -> pa.Table:
-        if t.column("kind")[0].as_py() == 1:
-            return t.select(["key", "a"]).rename_columns(["digest", "hashes"])
-        return match(t)
+        return packed(t) if t.column("kind")[0].as_py() == 1 else match(t)
+
+    return posted.withColumn("bucket", key).groupBy("bucket").applyInArrow(either, "part long, hashes binary, digests binary, counts binary")
+
+
+def anchors_of(reps: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
+    """``(doc_id, digest, hashes)``: the rows of ``reps`` that have shared anchors, with all of them."""
+
+    def gather(own: pa.Table, told: pa.Table) -> pa.Table:
+        hashes, digests, counts = (_numbers(told.column(x).to_pylist(), kind) for x, kind in (("hashes", np.uint64), ("digests", np.int64), ("counts", np.int32)))
+        of = np.repeat(digests, counts)
+        hashes = hashes[np.argsort(of, kind="stable")]
+        names, counts = np.unique(of, return_counts=True)
+        ends = np.cumsum(counts)
+        digest = own.column("digest").to_numpy()
+        at = np.searchsorted(names, digest)
+        met = np.flatnonzero(at < len(names))
+        met = met[names[at[met]] == digest[met]]
+        blobs = [hashes[ends[i] - counts[i] : ends[i]].tobytes() for i in at[met]]
+        return pa.table({"doc_id": pa.array(own.column("doc_id").to_numpy()[met], pa.int64()), "digest": pa.array(digest[met], pa.int64()), "hashes": pa.array(blobs, pa.binary())})
 
-    return posted.withColumn("bucket", key).groupBy("bucket").applyInArrow(either, "digest long, hashes binary")
+    own = reps.select(F.col("doc_id").cast("long"), "digest", F.pmod("digest", F.lit(parts)).alias("part"))
+    return own.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(gather, "doc_id long, digest long, hashes binary")
 
 
 def splitters(docs: DataFrame, n_docs: int, buckets: int) -> np.ndarray:
@@ -320,9 +364,9 @@ def removed_windows(docs: DataFrame, reps: DataFrame, n_docs: int, n_bytes: int)
     """``(doc_id, digest, runs)``: packed (place, number) pairs of strings that a smaller doc_id has."""
     spark: SparkSession = docs.sparkSession
     buckets = max(partitions(spark), -(-n_bytes // BUCKET_BYTES))
-    shared = store(shared_anchors(docs, max(partitions(spark), -(-n_bytes // ANCHOR_BYTES))), "suffix-anchors")
-    told = shared.groupBy("digest").agg(F.collect_list("hashes").alias("hashes"))  # the anchors of one text
-    wanted = reps.select("doc_id", "digest").join(told, "digest")
+    parts = max(partitions(spark), -(-n_bytes // PART_BYTES))
+    shared = store(shared_anchors(docs, max(partitions(spark), -(-n_bytes // ANCHOR_BYTES)), parts), "suffix-anchors")
+    wanted = anchors_of(reps, shared, parts)
     cuts = spark.sparkContext.broadcast(splitters(docs, n_docs, buckets))
     # only the texts that have shared anchors go on
     texts = _same_text(packed_texts(docs), wanted, "inner").select("doc_id", "digest", "z", "hashes")
@@ -378,7 +422,7 @@ def removed_windows(docs: DataFrame, reps: DataFrame, n_docs: int, n_bytes: int)
                 hit = np.zeros(len(c.anchors), bool)
                 for k, (i, _) in enumerate(numbers):
                     s, e = np.searchsorted(doc_no, (k, k + 1))
-                    hit[s:e] = np.isin(c.hashes[s:e], _numbers(blobs[i], np.uint64))
+                    hit[s:e] = np.isin(c.hashes[s:e], np.frombuffer(blobs[i], np.uint64))
                 chosen = np.flatnonzero(hit)
                 if not len(chosen):
                     continue

@@ -217,6 +217,39 @@ def test_suffix_dedup_planted(spark, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest()), r.doc_id
 
 
+def test_shared_anchors_are_told_in_packed_rows(spark):
+    """A row for each chunk or bucket and part of the texts, not for each bucket and text; every shared anchor is told."""
+    rng = np.random.default_rng(5)
+    passages = [rng.bytes(60).hex() for _ in range(40)]
+    df = spark.createDataFrame([(i, rng.bytes(20).hex() + "".join(rng.permutation(passages)[:20])) for i in range(120)], "doc_id long, text string").repartition(3)
+    shared = suffix_dedup.shared_anchors(df, 16, 2).collect()
+    assert len(shared) <= (3 + 16) * 2
+    told = {}
+    for r in shared:
+        names, counts = np.frombuffer(r.digests, np.int64), np.frombuffer(r.counts, np.int32)
+        assert set(names % 2) == {r.part}
+        for name, h in zip(np.repeat(names, counts).tolist(), np.frombuffer(r.hashes, np.uint64).tolist(), strict=True):
+            told.setdefault(name, set()).add(h)
+    texts = {r.d: suffix_dedup.Chunk([r.text.encode()]).hashes.tolist() for r in df.selectExpr("xxhash64(text) d", "text").collect()}
+    n = collections.Counter(h for hashes in texts.values() for h in set(hashes))
+    assert told == {d: {h for h in hashes if n[h] > 1} for d, hashes in texts.items()}
+    reps = df.selectExpr("doc_id", "xxhash64(text) digest")
+    got = suffix_dedup.anchors_of(reps, spark.createDataFrame(shared), 2).collect()
+    assert sorted(r.digest for r in got) == sorted(told) and all(set(np.frombuffer(r.hashes, np.uint64).tolist()) == told[r.digest] for r in got)
+
+
+def test_windows_without_an_equal_one_are_left_out():
+    rng = np.random.default_rng(6)
+    buf = rng.integers(0, 3, 30_000).astype(np.uint8)
+    buf[20_000:20_400] = buf[100:500]
+    at = np.arange(len(buf) - 49)
+    words = np.ndarray((len(buf) - 7,), np.uint64, buffer=buf, strides=(1,))
+    some = suffix_dedup._perhaps_equal(words, at)
+    assert len(some) < len(at) / 2 and {*range(100, 451), *range(20_000, 20_351)} <= set(some.tolist())
+    order, new = suffix_dedup.equal_windows(buf, at)
+    assert sorted(order.tolist()) == [*range(100, 451), *range(20_000, 20_351)] and new.sum() == 351
+
+
 def test_html_articles(folder):
     from html import unescape
 
