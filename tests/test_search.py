@@ -4,7 +4,9 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from storyloom.operators import search, similarity
 
@@ -152,3 +154,56 @@ def test_similar_pairs_of_common_grams_meet_by_blocks(spark, monkeypatch, thresh
     assert len(two) == len(want) and {(r.a, r.b): round(r.similarity, 9) for r in two} == want
     # no row for each meeting of two texts in a gram
     assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
+def _titles(n, seed):
+    rng = random.Random(seed)
+    parts = ["er", "th", "ing", "on", "ti", "and", "re", "es", "ou", "le"]
+    return sorted({" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 9)))[:80] for _ in range(n)})
+
+
+def test_similar_pairs_of_common_grams_make_no_prefixes(spark, monkeypatch):
+    texts = _titles(300, 3)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+
+    def made(*_):
+        raise AssertionError("a row for each gram of each text")
+
+    monkeypatch.setattr(similarity, "MEETINGS", 4)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", (64, 64))
+    monkeypatch.setattr(similarity, "_prefixes", made)
+    want = {}
+    for a, b in itertools.combinations(texts, 2):
+        x, y = _grams(a), _grams(b)
+        if len(x & y) / len(x | y) >= 0.6:
+            want[a, b] = round(len(x & y) / len(x | y), 9)
+    got = similarity.similar_pairs(df, threshold=0.6).collect()
+    assert want and len(got) == len(want) and {(r.a, r.b): round(r.similarity, 9) for r in got} == want
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+def test_least_meetings_are_no_more_than_those_of_the_prefixes(spark, threshold):
+    own = similarity._texts(spark.createDataFrame([(t,) for t in [*_titles(200, 4), "zq", "xy qz", "jj kk ll"]], "text string"))
+    sets = similarity.gram_sets(own)
+    counts = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    prefixes = similarity._prefixes(sets, counts, threshold)
+    least = similarity._least_meetings(counts, own, threshold)
+    assert 0 < least <= similarity._meetings(prefixes, prefixes) + 1e-9
+    assert similarity._least_meetings(counts.limit(0), own.limit(0), threshold) == 0
+
+
+def test_packed_blocks_hold_the_grams_of_the_texts_in_few_bytes(spark):
+    odd = ["İstanbul", "ΣΑΣ", "ß-Straße", "𝔸x 𝔹", "١٢ Ⅷ", "a\u0301b", "a\nb\tc", "x", " y  z ", "ﬁn\u0000e"]
+    texts = _titles(3_000, 6)
+    df = spark.createDataFrame([(t,) for t in texts + odd], "text string")
+    own = similarity._texts(df)
+    plan = [(r.n, 1, 0, 2) for r in own.select("n").distinct().collect()]
+    pieces = [(r.bytes, r.data) for r in similarity._packed(own, plan).collect()]
+    known = {}
+    block = similarity._Block(pieces, known)
+    letters = lambda c: "".join(map(chr, (c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF)))
+    names = [letters(c) for c in known]
+    got = {t: {names[g] for g in block.grams(np.array([i]))[0]} for i, t in enumerate(block.texts.to_pylist())}
+    assert got == {r.text: set(r.grams) for r in df.select("text", similarity.trigrams(F.col("text")).alias("grams")).collect()}
+    assert [len(got[t]) for t in block.texts.to_pylist()] == block.n.tolist() == sorted(block.n)
+    assert sum(len(d) for _, d in pieces) < sum(len(t.encode()) for t in texts + odd)  # a number for each gram would be eight times that
