@@ -34,10 +34,10 @@ SLACK = 1e-9
 #: Meetings that the join of the prefixes may make for each of its rows.
 MEETINGS = 64
 #: Texts of a block: a SHARE-th of all, within these.
-BLOCK_ROWS = (2_048, 131_072)
+BLOCK_ROWS = (2_048, 98_304)
 SHARE = 12
 #: Bytes of the texts, words and grams of a block, and of a packed piece of one.
-BLOCK_BYTES = 96 * 1024 * 1024
+BLOCK_BYTES = 64 * 1024 * 1024
 PIECE_BYTES = 4 * 1024 * 1024
 #: Words of 64 bits kept of a text, at most, and of the second look at texts that the first leaves.
 WORDS = 32
@@ -174,13 +174,13 @@ class _Block:
             one = one[np.diff(one, prepend=-1) != 0]
             sizes.append(np.bincount(one >> 32, minlength=len(both) // 2))
             flat.append((one & 0xFFFFFFFF).astype(np.int32))
-        n, flat = np.concatenate(sizes), np.concatenate(flat)
-        order = np.argsort(n, kind="stable")
-        begin = (np.cumsum(n) - n)[order]
+        self.n, self.flat = np.concatenate(sizes), np.concatenate(flat)
+        self.begin = np.cumsum(self.n) - self.n
+        order = np.argsort(self.n, kind="stable")
         self.texts = pa.concat_arrays(texts).take(pa.array(order))
-        self.n = n[order]
+        self.flat = np.concatenate([self.grams(order[lo : lo + LOOKED_AT])[0] for lo in range(0, len(order), LOOKED_AT)])
+        self.n = self.n[order]
         self.begin = np.cumsum(self.n) - self.n
-        self.flat = flat[np.repeat(begin - self.begin, self.n) + np.arange(len(flat))]
 
     def grams(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The grams of some texts, one after another, and where each begins."""
